@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, sharding, simhash, urlfilter, warczip
+from . import decontaminate, fingerprints, linededup, mixing, sharding, simhash, urlfilter, warczip
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,4 +49,4 @@ def op10_warc(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op5_url_filter, op6_line_dedup, op7_simhash, op8_mixing, op9_sharding, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_url_filter, op6_line_dedup, op7_simhash, op8_mixing, op9_sharding, op10_warc)}
