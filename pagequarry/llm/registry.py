@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, linededup, mixing, sharding, simhash, urlfilter, warczip
+from . import decontaminate, fingerprints, linededup, mixing, sharding, simhash, toxicity, urlfilter, warczip
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -49,4 +53,4 @@ def op10_warc(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_url_filter, op6_line_dedup, op7_simhash, op8_mixing, op9_sharding, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op4_toxicity, op5_url_filter, op6_line_dedup, op7_simhash, op8_mixing, op9_sharding, op10_warc)}
