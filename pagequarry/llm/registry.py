@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, linededup, mixing, sharding, simhash, toxicity, urlfilter, warczip
+from . import decontaminate, fingerprints, linededup, mixing, quality, sharding, simhash, toxicity, urlfilter, warczip
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("threshold"), "keep")
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,4 +59,4 @@ def op10_warc(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op4_toxicity, op5_url_filter, op6_line_dedup, op7_simhash, op8_mixing, op9_sharding, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_quality, op4_toxicity, op5_url_filter, op6_line_dedup, op7_simhash, op8_mixing, op9_sharding, op10_warc)}
