@@ -140,16 +140,14 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, whole and with all their columns."""
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """The documents that leak no item, whole and with all their columns.  A document leaks if hits make up one in
+    ``SHARE`` of its words or more, or if a run of hits is as long as a window."""
     taken = {"runs", "items", "spans", "n_words"} & set(docs.columns)
     safe = docs.withColumnsRenamed({c: f"doc__{c}" for c in taken})
-    found = find_hits(safe, items, **options)
+    found = find_hits(safe, items, window, **options)
     hit = F.aggregate("runs", F.lit(0), lambda acc, r: acc + r["end"] - r["start"])
-    kept = found.where(~((hit > 0) & (SHARE * hit >= F.col("n_words"))))
+    long_run = F.exists("runs", lambda r: r["end"] - r["start"] >= window)
+    kept = found.where(~(long_run | ((hit > 0) & (SHARE * hit >= F.col("n_words")))))
     back = [F.decode("text", "UTF-8").alias("text") if c == "text" else F.col(f"doc__{c}" if c in taken else c).alias(c) for c in docs.columns]
     return kept.select(*back)
-
-
-def sha256_hex(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

@@ -42,7 +42,7 @@ from .storage import materialize, utf8_rows
 SAMPLE, FILE_LIMIT = 2048, 256
 HASH_SEED = 42
 #: Sketch of near_groups: bins, bands and rows of a band; files of up to PAIR_LIMIT are paired, larger ones meet LEADERS.
-BINS, BANDS, ROWS, PAIR_LIMIT, LEADERS = 256, 42, 6, 24, 6
+BINS, BANDS, ROWS, PAIR_LIMIT, LEADERS = 256, 24, 6, 24, 6
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -328,8 +328,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id (of repeated rows, one)."""
-    groups = near_groups(docs, **options)
+    """``docs`` with one row of each group: the one with the smallest id.  Rows that share an id are one document,
+    of which one row stays; rows without an id stay."""
+    groups = materialize(near_groups(docs.where("doc_id is not null"), **options), "near-groups")
     heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("head_id")).distinct()
     kept = docs.join(heads, F.col("doc_id") == F.col("head_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))
