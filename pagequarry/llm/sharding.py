@@ -149,12 +149,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
     def look(stretches):
         ranges = merged(stretches)
         each = max(64, KNOTS // len(ranges))
-        blocks = None
+        blocks = None  # one flat CASE: nested ones take the optimizer exponential time
         for k, (a, b) in enumerate(ranges):
             width = max(1, -(-(b - a) // each))
             here = (F.col("cum") > a) & (F.col("cum") <= b)
-            code = F.when(here, F.lit(k * each * 4) + F.floor((F.col("cum") - 1 - a) / width))
-            blocks = code if blocks is None else F.coalesce(blocks, code)
+            code = F.lit(k * each * 4) + F.floor((F.col("cum") - 1 - a) / width)
+            blocks = F.when(here, code) if blocks is None else blocks.when(here, code)
         found = ordered.select("cum", blocks.alias("block")).where("block is not null").groupBy("block").agg(F.max("cum").alias("end"), F.count(F.lit(1)).alias("count"))
         return [(r["end"], r["count"]) for r in found.collect()]  # KNOTS rows at most
 
@@ -168,8 +168,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
             first_id, grp = last[end]
             past = (F.col("first_id") > first_id) | ((F.col("first_id") == first_id) & (F.col("grp") > binary(grp)))
             shard = shard + past.cast("int")
-    for k, grp in enumerate(giants):
-        shard = F.when(F.col("grp") == binary(grp), n_shards - len(giants) + k).otherwise(shard)
+    if giants:
+        own_shard = None
+        for k, grp in enumerate(giants):
+            here, number = F.col("grp") == binary(grp), F.lit(n_shards - len(giants) + k)
+            own_shard = F.when(here, number) if own_shard is None else own_shard.when(here, number)
+        shard = own_shard.otherwise(shard)
     several = groups.where("n > 1").select("grp", F.col("first_id").alias("head"))
     own = F.coalesce("head", "doc_id", F.lit(NULL_ID))
     placed = rows.join(several, "grp", "left").select("doc_id", "size", "text_crc32", "grp", own.alias("first_id")).withColumn("shard", shard.cast("int"))
