@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import save
 from .findings import finding, lines, spread
 
 MAX_HOPS = 20
@@ -36,7 +37,8 @@ def chains(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> Dat
         seen = F.array_contains("path", F.col("next"))
         finished = here.where(ends | seen).select("url", F.when(~ends, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), (~ends).alias("loops"))
         done = finished if done is None else done.union(finished)
-        walks = here.where(~ends & ~seen).select("url", F.concat("path", F.array("next")).alias("path"), F.lit(False).alias("loops")).cache()
+        walks = here.where(~ends & ~seen).select("url", F.concat("path", F.array("next")).alias("path"), F.lit(False).alias("loops"))
+        walks = save(walks)
         if walks.limit(1).count() == 0:
             return done
     return done.union(walks)

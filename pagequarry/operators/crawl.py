@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import save
 from .traps import admitted
 
 MAX_PAGES, MAX_DEPTH = 500, 10
@@ -16,13 +15,12 @@ def queue_limit(max_pages: int) -> int:
     return min(max(10 * max_pages, 1000), 100_000)
 
 
-def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, seeds: DataFrame | None = None, disallowed: DataFrame | None = None, redirects: DataFrame | None = None, save: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, seeds: DataFrame | None = None, disallowed: DataFrame | None = None, redirects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages (site, url, depth) in the order of a breadth-first crawl, and skipped URLs (site, url, reason).
 
     ``starts``, ``seeds``, ``disallowed``: site, url; ``links``: site, source, target; ``redirects``: url, final_url.
     All sites go forward a level at a time; a level is joined with the links, cleared of URLs seen, and filtered by
     depth, robots, traps, queue and page limit, each site for itself.  Levels are at most max_depth + 1."""
-    save = save or (lambda df: df.cache())
     level = save(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
     pages, skipped, seen = level, None, level.select("site", "url")
     for depth in range(1, max_depth + 2):
@@ -45,6 +43,7 @@ def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_d
             judged = judged.join(shut, ["site", "url"], "left")
         else:
             judged = judged.withColumn("shut", F.lit(None).cast("boolean"))
+        judged = save(judged)
         allowed = admitted(judged.where("shut is null"), "url", ["url"]).withColumnRenamed("trap", "reason")
         shut = judged.where("shut").withColumn("reason", F.lit("robots-disallowed"))
         ranked = allowed.where("reason is null").withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("url")))
@@ -60,7 +59,7 @@ def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_d
             break
     if skipped is None:
         skipped = starts.select("site", "url", F.lit("").alias("reason")).limit(0)
-    return pages, skipped
+    return pages, save(skipped)
 
 
 def skip_counts(skipped: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming, simhash
 from ..functions.text import tokens
+from ..storage import save
 
 NEAR_BITS = 5
 #: Six bands of 64 bits: two hashes within five bits agree on one of them.
@@ -45,14 +46,12 @@ def near_pairs(hashes: DataFrame, key: str, bits: int = NEAR_BITS) -> DataFrame:
     return near.where(F.col("band") == first).select("a", "b", "distance")
 
 
-def leader_groups(pairs: DataFrame, checkpoint=None) -> DataFrame:
+def leader_groups(pairs: DataFrame) -> DataFrame:
     """(representative, duplicates): in key order a page joins its first near representative, else becomes one.
 
     Resolved in rounds, without one task seeing all pages.  A page whose smaller neighbours are all settled is
     settled: it joins its least leader among them or leads.  Each round settles at least the smallest open page of
-    every component, in practice nearly all."""
-    spark = pairs.sparkSession
-    save = checkpoint or (lambda df: df.cache())
+    every component, in practice nearly all; pages without near neighbours take no part."""
     edges = save(pairs.select("a", "b"))  # a < b
     nodes = edges.select(F.col("a").alias("k")).union(edges.select("b")).distinct()
     settled = save(nodes.join(edges, F.col("k") == F.col("b"), "left_anti").select("k", F.lit(None).cast(nodes.schema["k"].dataType).alias("leader")))

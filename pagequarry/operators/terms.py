@@ -26,7 +26,11 @@ def term_counts(docs: DataFrame, key: str, text: str, most: int = 1) -> DataFram
 def zone_counts(pages: DataFrame, key: str = "url", zones: dict[str, int] | None = None) -> DataFrame:
     """(key, term, n, meta, heading): zone-weighted unigram counts and the zones a term occurs in."""
     zones = zones or ZONE_WEIGHTS
-    parts = [F.transform(tokens(F.col(z)), lambda t, z=z, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"), F.lit(z in ("title", "description")).alias("meta"), F.lit(z == "headings").alias("heading"))) for z, w in zones.items()]
+    def tagged(zone: str, weight: int):
+        meta, heading = F.lit(zone in ("title", "description")), F.lit(zone == "headings")
+        return F.transform(tokens(F.col(zone)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"), meta.alias("meta"), heading.alias("heading")))
+
+    parts = [tagged(z, w) for z, w in zones.items()]
     rows = pages.select(key, F.explode(F.concat(*parts)).alias("t")).select(key, "t.*")
     return rows.groupBy(key, "term").agg(F.sum("w").alias("n"), F.max("meta").alias("meta"), F.max("heading").alias("heading"))
 

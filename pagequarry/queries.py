@@ -576,5 +576,5 @@ def url_parts(spark, sf_dir):
 
 @query
 def gram_counts(spark, sf_dir):
-    g = F.size(grams(tokens(F.col("text"))))
-    return documents(spark, sf_dir).select("doc_id", g.cast("long").alias("n_grams"))
+    words = documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size(grams(F.col("w"))).cast("long").alias("n_grams"))
