@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import materialize, utf8_rows
 
-SAMPLE, FILE_LIMIT = 2048, 256
+SAMPLE, FILE_LIMIT, BROADCAST_IDS = 2048, 256, 2_000_000
 HASH_SEED = 42
 #: Sketch of near_groups: bins, bands and rows of a band; files of up to PAIR_LIMIT are paired, larger ones meet LEADERS.
 BINS, BANDS, ROWS, PAIR_LIMIT, LEADERS = 256, 24, 6, 24, 6
@@ -329,10 +329,15 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id.  Rows that share an id are one document,
-    of which one row stays; rows without an id stay."""
+    which stays if any of them heads a group, with one row; rows without an id stay.
+
+    The ids that go are fewer than those that stay; up to BROADCAST_IDS of them are broadcast, else they are shuffled."""
     groups = materialize(near_groups(docs.where("doc_id is not null"), **options), "near-groups")
-    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("head_id")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("head_id"), "left_semi")
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    by_id = groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("heads"), F.count(F.lit(1)).alias("n"))
+    judged = materialize(by_id.where("heads = 0 or n > 1"), "near-judged")
+    gone = judged.where("heads = 0").select(F.col("doc_id").alias("gone_id"))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    if judged.where("n > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return kept
