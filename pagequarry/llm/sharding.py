@@ -36,10 +36,14 @@ class Knots:
     def __init__(self, total: int):
         self.pos, self.full, self.total = [0, total], [False], total
 
-    def refine(self, found: list[tuple[int, int]]) -> None:
-        """``found``: (end, ends in its block, itself included); they cover whole open stretches."""
-        known = {p: f for p, f in zip(self.pos[1:], self.full, strict=True)}
-        known.update({end: count == 1 for end, count in found})
+    def refine(self, found: list[tuple[int, int, int]]) -> None:
+        """``found``: (first end, last end, number of ends) of blocks that cover whole open stretches.
+
+        A block's first end follows the known end before it directly, so each open block yields a new knot."""
+        known = dict(zip(self.pos[1:], self.full, strict=True))
+        for first, last, count in found:
+            known[last] = count <= 2
+            known[first] = True
         self.pos = [0, *sorted(known)]
         self.full = [known[p] for p in self.pos[1:]]
 
@@ -80,8 +84,8 @@ class Knots:
 
 
 def minimax_cuts(look, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
-    """(capacity, cumulative ends of the shards).  ``look(stretches)`` returns (end, ends in its block)
-    for finer blocks of the given open stretches."""
+    """(capacity, cumulative ends of the shards).  ``look(stretches)`` returns (first end, last end,
+    number of ends) of finer blocks of the given open stretches."""
     knots = Knots(total)
     if not total:
         return 0, [0] * shards
@@ -155,8 +159,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
             here = (F.col("cum") > a) & (F.col("cum") <= b)
             code = F.lit(k * each * 4) + F.floor((F.col("cum") - 1 - a) / width)
             blocks = F.when(here, code) if blocks is None else blocks.when(here, code)
-        found = ordered.select("cum", blocks.alias("block")).where("block is not null").groupBy("block").agg(F.max("cum").alias("end"), F.count(F.lit(1)).alias("count"))
-        return [(r["end"], r["count"]) for r in found.collect()]  # KNOTS rows at most
+        found = ordered.select("cum", blocks.alias("block")).where("block is not null").groupBy("block").agg(F.min("cum").alias("first"), F.max("cum").alias("last"), F.count(F.lit(1)).alias("n"))
+        return [(r["first"], r["last"], r["n"]) for r in found.collect()]  # KNOTS rows at most
 
     _, ends = minimax_cuts(look, rest, largest, shards)
     # A group's shard is the number of cuts before its end; a cut becomes the key of the first group behind it.
