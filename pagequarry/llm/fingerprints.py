@@ -92,10 +92,10 @@ def successors(rows: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text and of its edited text (the last quarter replaced by the next document's head)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), F.xxhash64("text").alias("key_hash"), "text")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), text.alias("text"))
+    base = base.select("key_id", F.xxhash64("text").alias("key_hash"), "text")
     order = materialize(successors(base.select("key_id", "key_hash", F.char_length("text").alias("n_chars"))), "successors")
-    # One exchange of the texts serves both joins.
+    # One exchange of the texts serves both joins, for both need the same columns of it.
     marked = with_fingerprint(base, "text", "fingerprint")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     want = order.select(F.col("key_id").alias("own_id"), F.col("key_hash").alias("own_hash"), "next_id", "next_hash", "n_chars", quarter.alias("cut"))
@@ -104,6 +104,6 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         heads = heads.dropDuplicates(["own_id", "own_hash"])
     both = marked.join(heads, (F.col("key_id") == F.col("own_id")) & (F.col("key_hash") == F.col("own_hash")))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("cut")), F.col("head"))
-    out = both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    out = both.select(F.nullif(F.col("key_id"), F.lit(NULL_ID)).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     out = with_fingerprint(out.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fingerprint")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
