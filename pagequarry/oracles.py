@@ -255,6 +255,7 @@ SELECT 'new' AS change, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION AL
     "group_diff": f"""WITH {doc_findings("cur", "source <> 'src1'")}, {doc_findings("base", "source <> 'src2'")}, a AS (SELECT DISTINCT grp FROM cur WHERE grp <> 'metadata'), b AS (SELECT DISTINCT grp FROM base WHERE grp <> 'content')
 SELECT grp, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT grp, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     # crawl, network, log
+    "crawl_levels": f"WITH RECURSIVE {GRAPH}, reach(url, depth) AS (SELECT url, 0 FROM page WHERE is_start UNION SELECT target, depth + 1 FROM reach JOIN link ON source = url WHERE depth < 4) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY url",
     "rate_limiter_schedule": "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS due, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) SELECT event_id, CAST(n * 200000 + max(due - n * 200000) OVER (PARTITION BY user_id ORDER BY due, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start FROM e",
     "fetch_tallies": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "ip_classes": f"WITH {values_sql('addresses')}, prefix(ord, version, low, high, kind) AS (VALUES {', '.join(f"({o}, {v}, '{a}', '{b}', '{k}')" for o, v, a, b, k in prefix_rows())}), a AS (SELECT ip, list_reduce(list_transform(string_split(ip, '.'), lambda x: CAST(x AS BIGINT)), lambda s, x: s * 256 + x) AS v FROM addresses), k AS (SELECT ip, lpad(lower(to_hex(v)), 32, '0') AS key FROM a), c AS (SELECT ip, arg_min(kind, ord) AS ip_class FROM k JOIN prefix ON version = 4 AND key BETWEEN low AND high GROUP BY ip) SELECT ip, ip_class, ip_class IN ('public', 'loopback', 'private', 'link-local', 'shared') AS private_ok FROM c",

@@ -11,6 +11,7 @@ from ..operators import canonical, checks, duplicates, findings, hreflang, links
 from ..operators.crawl import is_html
 from ..sources.html import parse_pages
 from ..storage import save
+from . import site_files
 
 
 @dataclass
@@ -25,8 +26,9 @@ class Audit:
     scores: DataFrame
 
 
-def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None) -> Audit:
-    """``corpus``: url (requested), depth, status, error, redirects, final_url, content_type, headers (map), html.
+def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None, robots_files: DataFrame | None = None, sitemap_files: DataFrame | None = None) -> Audit:
+    """``corpus``: url (requested), depth, status, error, redirects, final_url, content_type, headers (map), html;
+    ``robots_files``: url, final_url, status, error, body; ``sitemap_files``: url, status, error, body.
 
     One site.  HTML is parsed once and written; every analysis reads the parsed columns that it needs."""
     fetched = corpus.select("url", "depth", "status", F.coalesce("error", F.lit("")).alias("error"), "redirects", "final_url", "content_type", "headers")
@@ -83,6 +85,16 @@ def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None)
         checks.hygiene_findings(hygiene, "depth"),
         checks.mixed_content(pages),
     ]
+    if robots_files is not None:
+        parsed_robots = save(site_files.read_robots(robots_files))
+        parts.append(site_files.robots_part(parsed_robots, start_url))
+        if sitemap_files is not None:
+            own = F.coalesce("canonical", F.lit(""))
+            noindex = pages.select(F.col("requested").alias("url"), F.col("url").alias("page_url"), "noindex")
+            state = observed.join(noindex, "url", "left")
+            bad = F.col("failed") | (F.col("redirects") > 0) | F.coalesce("noindex", F.lit(False)) | ((own != "") & (own != F.col("page_url")))
+            seeds = site_files.declared_seeds(parsed_robots).union(site_files.default_seed(start_url, corpus.sparkSession))
+            parts.append(site_files.sitemap_part(sitemap_files, seeds, state.select("url", F.coalesce(bad, F.lit(False)).alias("bad")), parsed_robots))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

@@ -41,8 +41,20 @@ def site(spark):
 
 
 @pytest.fixture(scope="module")
-def result(site):
-    return audit(site, "https://s.test/", ["gravel", "absent"])
+def result(site, spark):
+    robots_txt = "User-agent: *\nDisallow: /b\nDisallow: /$\nUser-agent: bingbot\nSitemap: https://s.test/m.xml\nSitemap: rel.xml\nwrong"
+    files = spark.createDataFrame([("https://s.test/robots.txt", "https://s.test/robots.txt", 200, "", robots_txt)], "url string, final_url string, status int, error string, body string")
+    listed = "".join(f"<url><loc>https://{x}</loc></url>" for x in ("s.test/a", "s.test/b", "s.test/dup1", "s.test/gone", "o.test/"))
+    maps = spark.createDataFrame([("https://s.test/m.xml", 200, "", f"<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>{listed}</urlset>"), ("https://s.test/sitemap.xml", 404, "", None)], "url string, status int, error string, body string")
+    return audit(site, "https://s.test/", ["gravel", "absent"], files, maps)
+
+
+def test_robots_and_sitemap_findings(result):
+    have = {(r["id"], r["url"].removeprefix("https://s.test"), tuple(r["evidence"])) for r in result.findings.where("id like 'SEO-ROBOTS%' or id like 'SEO-SITEMAP%'").collect()}
+    ids = {(i, u) for i, u, _ in have}
+    assert {("SEO-ROBOTS-003", "/"), ("SEO-ROBOTS-005", "/robots.txt"), ("SEO-ROBOTS-007", "/robots.txt"), ("SEO-SITEMAP-006", ""), ("SEO-SITEMAP-010", "/a"), ("SEO-SITEMAP-010", "/b"), ("SEO-SITEMAP-010", "/gone")} <= ids
+    assert not {("SEO-ROBOTS-004", "/"), ("SEO-ROBOTS-006", "/robots.txt"), ("SEO-SITEMAP-001", ""), ("SEO-SITEMAP-010", "/dup1"), ("SEO-SITEMAP-002", "/sitemap.xml")} & ids
+    assert ("SEO-SITEMAP-010", "/b", ("disallowed by robots.txt",)) in have
 
 
 def test_findings_of_a_small_site(result):
@@ -54,13 +66,13 @@ def test_findings_of_a_small_site(result):
 
 def test_report_forms_and_comparison(result, spark, tmp_path):
     report = build_report(result, "https://s.test/")
-    assert report["summary"]["pages"] == 9 and report["summary"]["highest_severity"] == "high" and 0 <= report["scores"]["seo"] <= 100
+    assert report["summary"]["pages"] == 9 and report["summary"]["highest_severity"] == "critical" and 0 <= report["scores"]["seo"] <= 100
     assert {t["term"] for t in report["terms"]} >= {"gravel", "absent"}
     for form in ("text", "detailed", "json", "html", "quick-wins"):
         assert "s.test" in render(report, form)
     assert "\x1b" not in render({**report, "summary": {**report["summary"], "start_url": "https://s.test/\x1b[31m"}})
     assert any("high" in w for w in highlights(report)[1])
-    assert exit_code(report, "high") == 1 and exit_code(report, "critical") == 0
+    assert exit_code(report, "critical") == 1 and exit_code(report) == 0
     path = tmp_path / "r.json"
     path.write_text(render(report, "json"))
     loaded = report_findings(load_report(spark, str(path)))
