@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .storage import materialize, utf8_rows
 
 ORDER, SLACK = 4, 1.0
-CHUNK_BYTES, SHARD_BYTES, BROADCAST_IDS, MERGE_KEYS = 1 << 21, 64_000_000, 2_000_000, 4_000_000
+CHUNK_BYTES, SHARD_BYTES, BROADCAST_IDS, MERGE_KEYS, SLICE_ROWS = 1 << 19, 64_000_000, 2_000_000, 1_000_000, 1000
 
 _FREE_ZERO = bytes([1, *range(1, 256)])  # 0 stands for "before the text"
 
@@ -50,6 +50,13 @@ def chunks(raws: list[bytes]):
         yield start, raws[start:]
 
 
+def slices(batches):
+    """Arrow batches of at most SLICE_ROWS rows, so that a worker holds few texts twice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def grams(raws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the ``order`` bytes ending at each byte of the texts, and where each text's keys end."""
     lead = bytes(order - 1)
@@ -73,7 +80,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
         import pyarrow as pa
 
         parts, held = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for _, raws in chunks(utf8_rows(batch)):
                 keys, counts = np.unique(grams(raws, order)[0], return_counts=True)
                 parts.append((keys, counts))
@@ -206,7 +213,7 @@ def with_scores(docs: DataFrame, shards: list[Shard]) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
-            for batch in batches:
+            for batch in slices(batches):
                 raws = utf8_rows(batch)
                 arrays = [batch.column(c) for c in names] + [pa.array([len(r) for r in raws], pa.int64()), pa.array(shared.value.scores(raws), pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, "n_bytes", "log_p"])
