@@ -233,7 +233,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, file_limit:
     """(doc_id, fingerprint, component_id) of every row."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    named = label(nodes, links(nodes, tau, file_limit))
+    named = materialize(label(nodes, links(nodes, tau, file_limit)), "named")  # so that a hot fingerprint's join can be split
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -323,7 +323,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
     near = links(by_fp.select("fp"), tau)
     ends = by_fp.select(F.col("fp").alias("f"), "head")
     carried = near.join(ends.withColumnsRenamed({"f": "fa", "head": "ha"}), F.col("a") == F.col("fa")).join(ends.withColumnsRenamed({"f": "fb", "head": "hb"}), F.col("b") == F.col("fb")).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    named = label(nodes.select(F.col("text_key").alias("fp"), "first_id"), alike.union(same).union(carried))
+    named = materialize(label(nodes.select(F.col("text_key").alias("fp"), "first_id"), alike.union(same).union(carried)), "near-named")
     return keyed.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("fp")).select("doc_id", "component_id")
 
 
