@@ -145,8 +145,12 @@ class Shard:
                 own.sort()
                 self.tables[kind, k] = np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own], np.float64)
 
-    def __getstate__(self):
-        return self.__dict__
+    @classmethod
+    def of(cls, state: dict) -> Shard:
+        """A shard from another's attributes, which are plain values."""
+        shard = cls([], state["order"], state["number"], state["shards"])
+        shard.tables = state["tables"]
+        return shard
 
     def _find(self, kind: int, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have, values = self.tables[kind, k]
@@ -207,15 +211,16 @@ def with_scores(docs: DataFrame, shards: list[Shard]) -> DataFrame:
     kept = docs.columns
 
     def scored(df, shard):
-        shared = spark.sparkContext.broadcast(shard)
+        shared = spark.sparkContext.broadcast(vars(shard))
         names = df.columns
 
         def run(batches):
             import pyarrow as pa
 
+            own = Shard.of(shared.value)
             for batch in slices(batches):
                 raws = utf8_rows(batch)
-                arrays = [batch.column(c) for c in names] + [pa.array([len(r) for r in raws], pa.int64()), pa.array(shared.value.scores(raws), pa.float64())]
+                arrays = [batch.column(c) for c in names] + [pa.array([len(r) for r in raws], pa.int64()), pa.array(own.scores(raws), pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, "n_bytes", "log_p"])
 
         return df.mapInArrow(run, widened(df, "n_bytes long, log_p double"))

@@ -251,12 +251,15 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = (remainder(F.col("doc_id")) == HELD_OUT).alias("held_out")
     if isinstance(model, float):
         return rows.select("doc_id", held, F.lit(model).alias("score"), F.lit(int(model >= CUT)).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    words, beginnings, trees, knots = model
+    shared = docs.sparkSession.sparkContext.broadcast((words, beginnings, trees.edges, trees.base, trees.trees, knots))  # plain values only
 
     def run(batches):
         import pyarrow as pa
 
-        words, beginnings, trees, knots = shared.value
+        words, beginnings, edges, base, grown, knots = shared.value
+        trees = Boosted(edges, base)
+        trees.trees = grown
         for batch in batches:
             x = np.array([features(raw, words, beginnings) for raw in utf8_rows(batch)]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(calibrated(knots, trees.margin(x)), pa.float64())], ["doc_id", "score"])
