@@ -119,8 +119,20 @@ ALTF = f"""{_ALT}, decl AS (SELECT *, lower(target) AS k FROM alternates),
 valid AS (SELECT *, k = 'x-default' OR (regexp_matches(k, '^[a-z]{{2}}(-[a-z]{{4}})?(-[a-z]{{2}})?$') AND k[1:2] IN ({_LANGS}) AND NOT ends_with(k, '-uk')) AS ok FROM decl),
 own AS (SELECT * FROM decl WHERE href = url AND k <> 'x-default')"""
 
+MAIN = unescaped("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')")
+ZONES = f"""{URL}, zone AS (
+  SELECT page_id, 4 AS w, true AS meta, false AS heading, {tokens_sql(TITLE)} AS ts FROM u
+  UNION ALL SELECT page_id, 3, false, true, {tokens_sql(H1)} FROM u
+  UNION ALL SELECT page_id, 1, false, false, {tokens_sql(MAIN)} FROM u
+), cnt AS (SELECT page_id, term, sum(w) AS n, bool_or(meta) AS meta, bool_or(heading) AS heading FROM (SELECT page_id, w, meta, heading, unnest(ts) AS term FROM zone) GROUP BY ALL)"""
+
 ORACLES: dict[str, str] = {
     # text
+    "weak_terms": f"""WITH {ZONES}, freq AS (SELECT term, count(*) AS df FROM cnt GROUP BY term), total AS (SELECT count(*) AS docs FROM pages),
+site AS (SELECT term, sum((1 + ln(n)) * (1 + ln((1 + docs) / (1 + df)))) / any_value(docs) AS v, bool_or(meta) AS meta, bool_or(heading) AS heading FROM cnt JOIN freq USING (term), total GROUP BY term),
+strong AS (SELECT *, floor(v / max(v) OVER () * 1000 + 0.5) / 10 AS strength, length(regexp_replace(term, '\\P{{L}}', '', 'g')) AS letters, length(term) AS size FROM site),
+fit AS (SELECT term, strength, CASE WHEN meta THEN 0 WHEN heading THEN 1 ELSE 2 END AS tier FROM strong WHERE strength > 0 AND strength < 50 AND letters > 0 AND size >= 2 AND (letters >= 3 OR (size >= 3 AND letters >= 2)))
+SELECT row_number() OVER (ORDER BY tier, strength, term) AS rank, term, strength, CAST(tier AS BIGINT) AS tier FROM fit ORDER BY tier, strength, term LIMIT 10""",
     "tokenize_documents": f"WITH {TOK} SELECT doc_id, array_to_string(w, ' ') AS tokens FROM tok",
     "token_counts": f"WITH {TOK} SELECT doc_id, len(w) AS n_tokens FROM tok",
     "thin_content": f"WITH {TOK} SELECT doc_id, CASE WHEN len(w) = 0 THEN 'SEO-CONTENT-003' ELSE 'SEO-CONTENT-002' END AS rule FROM tok WHERE len(w) < 40",
@@ -164,6 +176,13 @@ SELECT trap, count(*) AS n, min(url) AS first_url FROM j GROUP BY trap""",
     "outbound_counts": f"WITH {LINKS}, o AS (SELECT url, count(DISTINCT target) AS n FROM link WHERE target <> url GROUP BY url) SELECT DISTINCT u.url, coalesce(n, 0) AS outbound FROM u LEFT JOIN o USING (url)",
     "anchor_reuse_page": f"WITH {LINKS} SELECT url, lower(anchor) AS anchor, count(*) AS n, count(DISTINCT target) AS targets FROM link WHERE anchor <> '' AND NOT regexp_matches(lower(target), '\\.({'|'.join(RESOURCE_EXTENSIONS)})$') GROUP BY 1, 2 HAVING count(DISTINCT target) >= 2",
     "anchor_reuse_site": f"WITH {LINKS} SELECT lower(anchor) AS anchor, count(DISTINCT target) AS targets FROM link GROUP BY 1 HAVING count(DISTINCT target) >= 2",
+    "page_findings": f"""WITH {PAGE}, {RULE}, k(id, n, grp) AS (
+  SELECT CASE WHEN title = '' THEN 'SEO-TITLE-002' WHEN length(title) < 15 THEN 'SEO-TITLE-005' ELSE 'SEO-TITLE-006' END, count(*), 'metadata' FROM page WHERE length(title) NOT BETWEEN 15 AND 65 GROUP BY 1
+  UNION ALL SELECT 'SEO-HEADING-003', count(*), 'metadata' FROM page WHERE h1 = ''
+  UNION ALL SELECT unnest(['SEO-DESC-001', 'SEO-CANONICAL-001']), count(*), 'metadata' FROM page
+  UNION ALL SELECT unnest(['WEB-HYGIENE-002', 'WEB-HYGIENE-003', 'WEB-HYGIENE-007', 'WEB-HYGIENE-008']), count(*), 'web-hygiene' FROM page
+  UNION ALL SELECT CASE WHEN url LIKE 'https:%' THEN 'WEB-HYGIENE-006' ELSE 'WEB-HYGIENE-001' END, count(*), 'web-hygiene' FROM page GROUP BY 1
+) SELECT id, severity_name, category, grp, n FROM k JOIN rule USING (id) WHERE n > 0""",
     # link graph
     "link_graph_inbound": f"WITH {GRAPH} SELECT url, n FROM inb",
     "link_orphans": f"WITH {GRAPH} SELECT 'SEO-LINK-001' AS id, url FROM page WHERE indexable AND NOT is_start AND url NOT IN (SELECT url FROM inb)",
