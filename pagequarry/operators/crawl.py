@@ -22,7 +22,7 @@ def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_d
     All sites go forward a level at a time; a level is joined with the links, cleared of URLs seen, and filtered by
     depth, robots, traps, queue and page limit, each site for itself.  Levels are at most max_depth + 1."""
     level = save(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
-    pages, skipped, seen = level, None, level.select("site", "url")
+    pages, skipped, seen, passed = level, None, level.select("site", "url"), None
     for depth in range(1, max_depth + 2):
         reached = level.join(links.withColumnRenamed("site", "site_"), (F.col("url") == F.col("source")) & (F.col("site") == F.col("site_"))).select("site", F.col("target").alias("url"))
         if depth == 1 and seeds is not None:
@@ -44,7 +44,12 @@ def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_d
         else:
             judged = judged.withColumn("shut", F.lit(None).cast("boolean"))
         judged = save(judged)
-        allowed = admitted(judged.where("shut is null"), "url", ["url"]).withColumnRenamed("trap", "reason")
+        # The trap limits hold for the whole crawl: what earlier levels let through counts first.
+        fresh = judged.where("shut is null").select("site", "url", F.lit(depth).alias("depth"))
+        guarded = fresh if passed is None else passed.unionByName(fresh)
+        allowed = save(admitted(guarded, "url", ["depth", "url"]).where(F.col("depth") == depth).withColumnRenamed("trap", "reason"))
+        through = allowed.where("reason is null").select("site", "url", "depth")
+        passed = through if passed is None else save(passed.unionByName(through))
         shut = judged.where("shut").withColumn("reason", F.lit("robots-disallowed"))
         ranked = allowed.where("reason is null").withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("url")))
         room = pages.groupBy("site").agg((F.lit(max_pages) - F.count(F.lit(1))).alias("room"))

@@ -111,6 +111,14 @@ def test_traps_and_crawl(spark):
     assert {(r["url"], r["reason"]) for r in skipped.collect()} == {("https://s.test/no", "robots-disallowed"), ("https://s.test/c", "max-depth")}
 
 
+def test_trap_limits_hold_across_levels(spark):
+    u = "https://s.test/"
+    links = [("s.test", u, u + "hub")] + [("s.test", u, f"{u}c/{i}") for i in range(70)] + [("s.test", u + "hub", f"{u}c/{i}") for i in range(70, 150)]
+    start = spark.createDataFrame([("s.test", u)], "site string, url string")
+    pages, skipped = crawl.crawl(start, spark.createDataFrame(links, "site string, source string, target string"), max_depth=2)
+    assert pages.count() == 102 and {(r["reason"], r["n"]) for r in crawl.skip_counts(skipped).collect()} == {("path-pattern-explosion", 50)}
+
+
 def test_leader_groups_follow_key_order(spark):
     # 1-2, 2-3, 3-4: 2 joins 1, 3 leads, 4 joins 3; 10-11, 10-12
     pairs = spark.createDataFrame([(1, 2, 0), (2, 3, 0), (3, 4, 0), (10, 11, 0), (10, 12, 0)], "a long, b long, distance int")
