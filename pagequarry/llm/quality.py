@@ -136,19 +136,19 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
 class Shard:
     """The part of the model for positions whose last context byte b has b mod shards = number."""
 
-    def __init__(self, rows: list, order: int, number: int = 0, shards: int = 1):
+    def __init__(self, order: int, number: int = 0, shards: int = 1, rows: dict[str, np.ndarray] | None = None):
+        """``rows``: columns kind, ord, key and value of the model."""
         self.order, self.number, self.shards = order, number, shards
         self.tables = {}
-        for kind in (0, 1):
-            for k in range(1, order + 1):
-                own = [(key, v) for what, o, key, v in rows if what == kind and o == k]
-                own.sort()
-                self.tables[kind, k] = np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own], np.float64)
+        for kind, k in [(kind, k) for kind in (0, 1) for k in range(1, order + 1)] if rows else ():
+            own = np.flatnonzero((rows["kind"] == kind) & (rows["ord"] == k))
+            own = own[np.argsort(rows["key"][own])]
+            self.tables[kind, k] = rows["key"][own].astype(np.uint64), rows["value"][own]
 
     @classmethod
     def of(cls, state: dict) -> Shard:
         """A shard from another's attributes, which are plain values."""
-        shard = cls([], state["order"], state["number"], state["shards"])
+        shard = cls(state["order"], state["number"], state["shards"])
         shard.tables = state["tables"]
         return shard
 
@@ -201,7 +201,8 @@ def shards_of(model: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYT
     out = []
     for k in range(n):
         rows = model.where(everywhere | (F.pmod(before, F.lit(n)) == k)) if n > 1 else model
-        out.append(Shard([(r["kind"], r["ord"], r["key"], r["value"]) for r in rows.collect()], order, k, n))
+        columns = rows.select("kind", "ord", "key", "value").toArrow()
+        out.append(Shard(order, k, n, {c: columns.column(c).to_numpy() for c in columns.column_names}))
     return out
 
 
