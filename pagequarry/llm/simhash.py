@@ -41,8 +41,9 @@ from .storage import materialize, utf8_rows
 
 SAMPLE, FILE_LIMIT, BROADCAST_IDS = 2048, 256, 2_000_000
 HASH_SEED = 42
-#: Sketch of near_groups: bins, bands and rows of a band; files of up to PAIR_LIMIT are paired, larger ones meet LEADERS.
-BINS, BANDS, ROWS, PAIR_LIMIT, LEADERS = 256, 24, 6, 24, 6
+#: Sketch of near_groups: bins, bands and rows of a band; files of up to PAIR_LIMIT are paired in SQL, larger ones compared
+#: block by block, a block having about BLOCK sketches.
+BINS, BANDS, ROWS, PAIR_LIMIT, BLOCK = 256, 24, 6, 24, 1024
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -285,7 +286,46 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, sig binary, bands array<long>")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.03, tau: int = 2) -> DataFrame:
+def sketch_forest(sigs: np.ndarray, least: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest (row numbers) of the links among the sketches; given ``side``, of those between two sides."""
+    left, out = np.ones(len(sigs), bool), []
+    for i in range(len(sigs)):
+        if not left[i]:
+            continue
+        left[i], queue = False, [i]
+        while queue:
+            at = queue.pop()
+            rest = np.flatnonzero(left if side is None else left & (side != side[at]))
+            for j in rest[(sigs[rest] == sigs[at]).mean(1) >= least].tolist():
+                left[j] = False
+                out.append((at, j))
+                queue.append(j)
+    return out
+
+
+def block_links(members: DataFrame, sig: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) among the ``members`` (band, value, n, text_key) of each file: a forest of each two of its blocks.
+
+    A file is cut into blocks by hash, and every block meets itself and every other one, each two in a group of their
+    own, so all pairs of a file are verified and no task holds more than two blocks of it at a time."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("text_key", "band"), blocks).cast("int")).join(sig, "text_key")
+    met = dealt.select("band", "value", "text_key", "sig", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = met.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_key", "sig", "own")
+
+    def verify(group):
+        import pyarrow as pa
+
+        keys = group.column("text_key").to_numpy()
+        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
+        side = group.column("own").to_numpy() if group.column("i")[0] != group.column("j")[0] else None
+        found = sketch_forest(sigs, least, side)
+        return pa.table([pa.array([int(keys[e[k]]) for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return met.groupBy("band", "value", "i", "j").applyInArrow(verify, "a long, b long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.03, tau: int = 2, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id): groups of rows linked by similar texts, repeated rows included.
 
     A pair is verified on its sketches: the share of equal bins, corrected for chance, has a standard error of
@@ -298,12 +338,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
     shared = materialize(filed.join(files, ["band", "value"]), "sketch-files")
     small = shared.where(F.col("n") <= PAIR_LIMIT).groupBy("band", "value").agg(F.sort_array(F.collect_list("text_key")).alias("keys"))
     own = small.select(F.explode(F.flatten(F.transform("keys", lambda a: F.transform(F.filter("keys", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    # A larger file meets LEADERS of its members: the least ones by as many hashes.
-    ranks = [F.min_by("text_key", F.xxhash64("text_key", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    led = shared.where(F.col("n") > PAIR_LIMIT)
-    heads = led.groupBy("band", "value").agg(*ranks)
-    stars = led.select("band", "value", "text_key").join(heads, ["band", "value"]).select(F.col("text_key").alias("a"), F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("b")).where("a <> b")
-    pairs = own.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    pairs = own.distinct()
     sig = nodes.select("text_key", "sig")
     both = pairs.join(sig.withColumnsRenamed({"text_key": "ka", "sig": "sa"}), F.col("a") == F.col("ka")).join(sig.withColumnsRenamed({"text_key": "kb", "sig": "sb"}), F.col("b") == F.col("kb"))
     least = 1 / 256 + (similarity - slack) * (1 - 1 / 256)
@@ -316,7 +351,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
             keep = [bool(x == y or (x and y and (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= least)) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    alike = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    alike = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").union(block_links(shared.where(F.col("n") > PAIR_LIMIT), sig, least, block))
     # The fingerprints' own links, carried over to the texts of a fingerprint.
     by_fp = nodes.groupBy(F.col("node_fp").alias("fp")).agg(F.min("text_key").alias("head"))
     same = nodes.join(by_fp, F.col("node_fp") == F.col("fp")).where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b"))

@@ -462,6 +462,37 @@ def test_near_groups_find_copies_and_spare_others(spark):
 # ---------------------------------------------------------------- 8
 
 
+@pytest.mark.parametrize("block", [1024, 60])
+def test_near_groups_lose_no_link_of_a_large_file(spark, block):
+    import itertools
+
+    rng = random.Random(1)
+    texts, hub = [], [f"w{rng.randrange(10**9)}" for _ in range(304)]
+    for _ in range(300):  # edits of one text: like it, less like each other
+        words = list(hub)
+        for at in rng.sample(range(0, 300, 5), 6):
+            words[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate([" ".join(hub), *texts])), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    assert all(jaccard(s, shingles(" ".join(hub))) >= 0.8 for s in sets) and all(jaccard(a, b) < 0.8 for a, b in itertools.pairwise(sets))
+    rows = simhash.sketches(df, 5).collect()
+    sigs = np.array([np.frombuffer(r["sig"], np.uint8) for r in rows])
+    fps = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+    files = Counter(b for r in rows for b in enumerate(r["bands"]))
+    assert max(files.values()) > 2 * simhash.PAIR_LIMIT
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        met = any(a == b for a, b in zip(rows[i]["bands"], rows[j]["bands"], strict=True))
+        if met and (sigs[i] == sigs[j]).mean() >= 1 / 256 + 0.77 * 255 / 256 or int(fps[i] ^ fps[j]).bit_count() <= 2:
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    ids = [r["doc_id"] for r in rows]
+    want = {ids[i]: min(ids[j] for j in range(len(ids)) if root[j] == root[i]) for i in range(len(ids))}
+    assert sum(w == 0 for w in want.values()) > 250
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df, block=block).collect()} == want
+
+
 def test_mix_meets_targets(docs, none):
     rows, df = docs
     out = got(mixing.mix(df))
