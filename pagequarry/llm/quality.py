@@ -6,11 +6,13 @@ continuation counts of the lower orders, counts of counts (the three discounts
 of each order), and the totals and type counts of every context.  Probabilities
 are joined up from the lowest order, p_k = (c - D(c)) / total + gamma * p_(k-1).
 
-Scoring: model and text positions are cut into shards by the byte before the
-scored one, so every n-gram and context that a position can ask for is in its
-shard.  A shard is a few sorted arrays of a bounded size, sent to the workers
-and joined to the positions of every document; with several shards the
-documents' sums are added up by a shuffle.  Perplexity is per byte.
+Scoring: a join at every size, in which neither model nor texts pass the driver.
+Texts are cut into blocks of about ``BLOCK_BYTES``, and each block's distinct
+n-grams are dealt by the two bytes before the scored one.  Model rows are dealt
+by the same bytes, so a shard has every n-gram and context that its share can ask
+for (orders 1 and 2, of 65,792 n-grams at most, are in every shard).  A shard
+answers each block with log-probabilities in the order of its n-grams; a second
+join brings the answers to the block's texts.  Perplexity is per byte.
 
 Thresholds: for each language, from the quantiles of log-perplexity among its
 trusted documents: the 0.99 quantile and ``SLACK`` times its distance from the
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .storage import materialize, utf8_rows
 
 ORDER, SLACK = 4, 1.0
-CHUNK_BYTES, SHARD_BYTES, BROADCAST_IDS, MERGE_KEYS, SLICE_ROWS = 1 << 19, 64_000_000, 2_000_000, 1_000_000, 1000
+CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES, BROADCAST_IDS, MERGE_KEYS, SLICE_ROWS = 1 << 19, 1 << 23, 2_000_000, 2_000_000, 1_000_000, 1000
 
 _FREE_ZERO = bytes([1, *range(1, 256)])  # 0 stands for "before the text"
 
@@ -119,7 +121,7 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(1, order + 1):
         d1, d2, d3 = discounts(tables[k])
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = tables[k].withColumn("ctx", F.shiftright("key", 8))
+        rows = tables[k].withColumn("ctx", F.shiftrightunsigned("key", 8))
         ctx = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(off).alias("taken")).withColumn("gamma", F.col("taken") / F.col("total"))
         joined = rows.join(ctx, "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
         if below is None:
@@ -134,23 +136,16 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Shard:
-    """The part of the model for positions whose last context byte b has b mod shards = number."""
+    """The part of the model that a share of the positions asks for."""
 
-    def __init__(self, order: int, number: int = 0, shards: int = 1, rows: dict[str, np.ndarray] | None = None):
+    def __init__(self, order: int, rows: dict[str, np.ndarray]):
         """``rows``: columns kind, ord, key and value of the model."""
-        self.order, self.number, self.shards = order, number, shards
-        self.tables = {}
-        for kind, k in [(kind, k) for kind in (0, 1) for k in range(1, order + 1)] if rows else ():
+        self.order, self.tables = order, {}
+        keys = rows["key"].astype(np.int64).view(np.uint64)
+        for kind, k in [(kind, k) for kind in (0, 1) for k in range(1, order + 1)]:
             own = np.flatnonzero((rows["kind"] == kind) & (rows["ord"] == k))
-            own = own[np.argsort(rows["key"][own])]
-            self.tables[kind, k] = rows["key"][own].astype(np.uint64), rows["value"][own]
-
-    @classmethod
-    def of(cls, state: dict) -> Shard:
-        """A shard from another's attributes, which are plain values."""
-        shard = cls(state["order"], state["number"], state["shards"])
-        shard.tables = state["tables"]
-        return shard
+            own = own[np.argsort(keys[own])]
+            self.tables[kind, k] = keys[own], rows["value"][own]
 
     def _find(self, kind: int, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have, values = self.tables[kind, k]
@@ -177,62 +172,112 @@ class Shard:
         out[left] += np.log(1 / 256)
         return out
 
-    def scores(self, raws: list[bytes]) -> np.ndarray:
-        sums = np.zeros(len(raws))
-        for first, part in chunks(raws):
-            keys, ends = grams(part, self.order)
-            if self.shards > 1:
-                mine = (keys >> np.uint64(8) & np.uint64(255)) % np.uint64(self.shards) == self.number
-                logs = np.zeros(len(keys))
-                logs[mine] = self.log_probabilities(keys[mine])
-            else:
-                logs = self.log_probabilities(keys)
-            total = np.concatenate([[0.0], np.cumsum(logs)])
-            ends = np.concatenate([[0], ends])
-            sums[first : first + len(part)] = total[ends[1:]] - total[ends[:-1]]
-        return sums
 
+class Shards:
+    """A model (kind, ord, key, value) and the number of shards that it is dealt to."""
+
+    def __init__(self, model: DataFrame, order: int, count: int):
+        self.model, self.order, self.count = model, order, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def rows(self) -> DataFrame:
+        """The model's rows with their ``shard``."""
+        before = F.when(F.col("kind") == 0, F.shiftrightunsigned("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(0xFFFF))
+        own = self.model.where("ord > 2").withColumn("shard", (before * 40503 % 65521 % self.count).cast("int"))
+        low = self.model.where("ord <= 2").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.count - 1))))
+        return own.unionByName(low)
 
-def shards_of(model: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> list[Shard]:
-    """The model in shards of about ``shard_bytes``; each is fetched and sent on its own."""
-    n = max(1, min(256, -(-model.count() * 16 // shard_bytes)))
-    before = F.when(F.col("kind") == 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(255))
-    everywhere = (F.col("ord") == 1) if order > 1 else F.lit(True)
-    out = []
-    for k in range(n):
-        rows = model.where(everywhere | (F.pmod(before, F.lit(n)) == k)) if n > 1 else model
-        columns = rows.select("kind", "ord", "key", "value").toArrow()
-        out.append(Shard(order, k, n, {c: columns.column(c).to_numpy() for c in columns.column_names}))
-    return out
 
+def dealt(keys: np.ndarray, count: int) -> np.ndarray:
+    """The shard of each n-gram, by the two bytes before its last."""
+    return ((keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64) * 40503 % 65521 % count).astype(np.int32)
 
-def with_scores(docs: DataFrame, shards: list[Shard]) -> DataFrame:
-    """``docs`` with n_bytes and log_p.  With one shard the rows pass through; with more, the sums are joined back."""
-    spark = docs.sparkSession
-    kept = docs.columns
 
-    def scored(df, shard):
-        shared = spark.sparkContext.broadcast(vars(shard))
-        names = df.columns
+def distinct_grams(raws: list[bytes], order: int) -> np.ndarray:
+    found = np.zeros(0, np.uint64)
+    for _, part in chunks(raws):
+        found = np.union1d(found, grams(part, order)[0])
+    return found
 
-        def run(batches):
-            import pyarrow as pa
 
-            own = Shard.of(shared.value)
-            for batch in slices(batches):
-                raws = utf8_rows(batch)
-                arrays = [batch.column(c) for c in names] + [pa.array([len(r) for r in raws], pa.int64()), pa.array(own.scores(raws), pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "n_bytes", "log_p"])
+def packed(keys: np.ndarray) -> bytes:
+    """Rising keys as planes of bytes of their differences, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def shards_of(model: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> Shards:
+    """The model in shards of about ``shard_bytes``."""
+    return Shards(model, order, max(1, min(4096, -(-model.count() * 16 // shard_bytes))))
+
+
+def with_scores(docs: DataFrame, shards: Shards, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with n_bytes and log_p."""
+    from pyspark.sql.types import StructType
 
-        return df.mapInArrow(run, widened(df, "n_bytes long, log_p double"))
+    order, count, names = shards.order, shards.count, docs.columns
+    fields = StructType([*StructType.fromDDL("block_ long, shard_ int, keys_ binary").fields, *docs.schema.fields])
+    for f in fields:
+        f.nullable = True
+
+    def cut(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        def asked(block, raws):
+            keys = distinct_grams(raws, order)
+            of = dealt(keys, count)
+            for shard in np.unique(of).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([packed(keys[of == shard])], pa.binary()), *[pa.nulls(1, t) for t in types]], columns)
+
+        block, raws, held, types, columns = TaskContext.get().partitionId() << 32, [], 0, [], ["block_", "shard_", "keys_", *names]
+        for batch in slices(batches):
+            types = [batch.column(c).type for c in names]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *[batch.column(c) for c in names]], columns)
+            new = utf8_rows(batch)
+            raws += new
+            held += sum(map(len, new))
+            if held >= block_bytes:
+                yield from asked(block, raws)
+                block, raws, held = block + 1, [], 0
+        if held:
+            yield from asked(block, raws)
+
+    both = materialize(docs.mapInArrow(cut, fields), "blocks")
+
+    def answer(questions, model):
+        import pyarrow as pa
+
+        own = Shard(order, {c: model.column(c).to_numpy() for c in ("kind", "ord", "key", "value")})
+        logs = [own.log_probabilities(unpacked(raw.as_py())).tobytes() for raw in questions.column("keys_")]
+        return pa.table([questions.column("block_"), questions.column("shard_"), pa.array(logs, pa.binary())], ["block_", "shard_", "logs_"])
+
+    questions = both.where("shard_ is not null").select("block_", "shard_", "keys_")
+    answers = questions.groupBy("shard_").cogroup(shards.rows().groupBy("shard")).applyInArrow(answer, "block_ long, shard_ int, logs_ binary")
+
+    def add_up(texts, answers):
+        import pyarrow as pa
+
+        raws = utf8_rows(texts.combine_chunks().to_batches()[0]) if texts.num_rows else []
+        keys = distinct_grams(raws, order)
+        of, logs, sums = dealt(keys, count), np.zeros(len(keys)), np.zeros(len(raws))
+        for shard, found in zip(answers.column("shard_").to_pylist(), answers.column("logs_"), strict=True):
+            logs[of == shard] = np.frombuffer(found.as_py(), np.float64)
+        for first, part in chunks(raws):
+            asked, ends = grams(part, order)
+            total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, asked)])])
+            ends = np.concatenate([[0], ends])
+            sums[first : first + len(part)] = total[ends[1:]] - total[ends[:-1]]
+        return pa.table([*[texts.column(c) for c in names], pa.array([len(r) for r in raws], pa.int64()), pa.array(sums, pa.float64())], [*names, "n_bytes", "log_p"])
 
-    if len(shards) == 1:
-        return scored(docs, shards[0])
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    one = keyed.dropDuplicates(["text_key"]).select("text", "text_key")
-    parts = [scored(one, s).select("text_key", "n_bytes", "log_p") for s in shards]
-    sums = reduce(DataFrame.union, parts).groupBy("text_key").agg(F.first("n_bytes").alias("n_bytes"), F.sum("log_p").alias("log_p"))
-    return keyed.join(sums, "text_key").select(*kept, "n_bytes", "log_p")
+    texts = both.where("shard_ is null").select("block_", *names)
+    return texts.groupBy("block_").cogroup(answers.groupBy("block_")).applyInArrow(add_up, widened(docs, "n_bytes long, log_p double"))
 
 
 def widened(df: DataFrame, more: str):
@@ -251,10 +296,10 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, slack: float = SLACK) -> DataFrame:
     """``docs`` with n_bytes, log_perplexity (per byte), threshold and keep."""
-    spark = docs.sparkSession
     trusted = trusted_rows(docs.select("doc_id", "text", "lang"), labels)
-    shards = shards_of(train(trusted, order), order)
-    if not len(shards[0].tables[0, 1][0]):
+    model = train(trusted, order)
+    shards = shards_of(model, order)
+    if not model.limit(1).count():
         sized = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
         return docs.withColumn("n_bytes", sized).withColumn("log_perplexity", F.lit(None).cast("double")).withColumn("threshold", F.lit(None).cast("double")).withColumn("keep", F.col("n_bytes") > 0)
     known = with_scores(trusted.select("lang", "text"), shards).where("n_bytes > 0").select("lang", (-F.col("log_p") / F.col("n_bytes")).alias("x"))

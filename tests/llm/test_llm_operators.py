@@ -250,6 +250,20 @@ def test_judge_rejects_noise_and_keeps_the_rest(spark, docs, none):
     assert all(r["keep"] == bool(r["text"]) for r in got(quality.judge(df, labels.limit(0))))
 
 
+@pytest.mark.parametrize("order", [2, 4, 8])
+def test_scores_are_joined_and_the_model_is_not_fetched(spark, monkeypatch, order):
+    texts = [t for t in sample_texts(30) if t is None or len(t) < 2000] + ["ñandú über café " * 3, "\U0001f600 été"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(15)] + [(len(texts) - 1, 1)], "doc_id long, quality int")
+    score = kneser_ney([*texts[:15], texts[-1]], order)
+    monkeypatch.setattr(type(df), "toArrow", lambda self: pytest.fail("fetched"))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: pytest.fail("sent"))
+    assert {r["doc_id"] for r in quality.judge(df, labels, order).collect()} == set(range(len(texts)))
+    shards = quality.shards_of(quality.train(df.join(labels, "doc_id", "left_semi"), order), order, shard_bytes=20_000)
+    for r in quality.with_scores(df, shards, block_bytes=3000).collect():
+        assert r["text"] == texts[r["doc_id"]] and r["log_p"] == pytest.approx(score(r["text"]), rel=1e-9, abs=1e-9)
+
+
 # ---------------------------------------------------------------- 4
 
 
