@@ -14,9 +14,12 @@ for (orders 1 and 2, of 65,792 n-grams at most, are in every shard).  A shard
 answers each block with log-probabilities in the order of its n-grams; a second
 join brings the answers to the block's texts.  Perplexity is per byte.
 
-Thresholds: for each language, from the quantiles of log-perplexity among its
-trusted documents: the 0.99 quantile and ``SLACK`` times its distance from the
-median above it.  Languages without trusted text take the thresholds of all.
+Thresholds: for each language, from the quantiles of log-perplexity among the
+trusted documents held out of training (one in ``HELD_OUT``, by hash of the text;
+n-grams of texts that were counted say little about others): the 0.99 quantile and
+``SLACK`` times its distance from the median above it.  Languages with fewer than
+``LEAST_HELD`` of them take the thresholds of all; where all are fewer, nothing is
+held out and the quantiles are those of all trusted documents.
 
 Cases: null and empty texts have no perplexity and are rejected; a null language
 is one more language; labels that repeat an id count once (quality 1 if any row
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize, utf8_rows
 
-ORDER, SLACK = 4, 1.0
+ORDER, SLACK, HELD_OUT, LEAST_HELD = 6, 1.0, 10, 20
 CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES, BROADCAST_IDS, MERGE_KEYS, SLICE_ROWS = 1 << 19, 1 << 23, 2_000_000, 2_000_000, 1_000_000, 1000
 
 _FREE_ZERO = bytes([1, *range(1, 256)])  # 0 stands for "before the text"
@@ -297,17 +300,19 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, slack: float = SLACK) -> DataFrame:
     """``docs`` with n_bytes, log_perplexity (per byte), threshold and keep."""
     trusted = trusted_rows(docs.select("doc_id", "text", "lang"), labels)
-    model = train(trusted, order)
+    held_out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    apart = trusted.where(held_out & (F.octet_length("text") > 0)).count() >= LEAST_HELD
+    model = train(trusted.where(~held_out) if apart else trusted, order)
     shards = shards_of(model, order)
     if not model.limit(1).count():
         sized = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
         return docs.withColumn("n_bytes", sized).withColumn("log_perplexity", F.lit(None).cast("double")).withColumn("threshold", F.lit(None).cast("double")).withColumn("keep", F.col("n_bytes") > 0)
-    known = with_scores(trusted.select("lang", "text"), shards).where("n_bytes > 0").select("lang", (-F.col("log_p") / F.col("n_bytes")).alias("x"))
+    known = with_scores((trusted.where(held_out) if apart else trusted).select("lang", "text"), shards).where("n_bytes > 0").select("lang", (-F.col("log_p") / F.col("n_bytes")).alias("x"))
     known = materialize(known, "trusted-scores")
     q = F.percentile_approx("x", F.array(F.lit(0.5), F.lit(0.99)), F.lit(10_000))
     limit = lambda c: c[1] + slack * (c[1] - c[0])
     overall = known.agg(q.alias("q")).select(limit(F.col("q")).alias("t")).first()["t"]
-    by_lang = known.groupBy(F.col("lang").alias("known_lang")).agg(q.alias("q")).select("known_lang", limit(F.col("q")).alias("limit_"))  # a row for each language
+    by_lang = known.groupBy(F.col("lang").alias("known_lang")).agg(q.alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= (LEAST_HELD if apart else 1)).select("known_lang", limit(F.col("q")).alias("limit_"))  # a row for each language
     scored = with_scores(docs, shards)
     joined = scored.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("known_lang")), "left")
     ppl = F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes"))

@@ -264,6 +264,14 @@ def test_scores_are_joined_and_the_model_is_not_fetched(spark, monkeypatch, orde
         assert r["text"] == texts[r["doc_id"]] and r["log_p"] == pytest.approx(score(r["text"]), rel=1e-9, abs=1e-9)
 
 
+def test_language_model_grows_with_the_text(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeinrs") for _ in range(rng.randrange(3, 8)))
+    texts = [" ".join(word() for _ in range(200)) for _ in range(100)]
+    rows = [quality.train(spark.createDataFrame([(t,) for t in texts[:n]], "text string")).where(f"kind = 0 and ord = {quality.ORDER}").count() for n in (10, 100)]
+    assert rows[1] > 3 * rows[0]
+
+
 # ---------------------------------------------------------------- 4
 
 
