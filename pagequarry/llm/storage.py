@@ -44,6 +44,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, ordered: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder in buckets of ``key`` and read it back: joining or grouping by ``key``
+    moves none of its rows.  ``ordered``: each bucket is one file, sorted by ``key``."""
+    spark = df.sparkSession
+    path, count = new_path(spark, name), partitions(spark)
+    called = f"pagequarry_{uuid.uuid4().hex}"
+    writer = (df.repartition(count, key) if ordered else df).write.bucketBy(count, key).format("parquet").option("path", path)
+    (writer.sortBy(key) if ordered else writer).saveAsTable(called)
+    out = spark.table(called)
+    spark.sql(f"DROP TABLE {called}")  # from the catalog; the files stay
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
