@@ -1,17 +1,22 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table (line, n_docs, last_doc) range-partitioned and sorted
-by ``line``, the 128-bit hash of a line's key.  Each batch of documents becomes
-a run of level 0; when a level holds ``fanout`` runs they are merged (counts
-added, last id kept) into one run of the next level, so a table of any size
-costs a logarithmic number of rewrites.  ``unseen`` is the merge-anti-join of a
-new batch's lines against all runs; ``repeated`` merges the runs into the lines
-that at least ``min_docs`` documents hold.
+A run is a Parquet table (line, n_docs, last_doc) in buckets of ``line``, the
+128-bit hash of a line's key, each bucket sorted.  Documents arrive in batches of
+about ``BATCH_LINES`` lines (``LEAST_BATCHES`` at least).  A batch's lines are
+merge-anti-joined with every run: what no run holds becomes a run of level 0, so
+a line is in one run only; what some run holds is noted beside the runs as a
+repetition.  The batch is dealt by line once, and the runs, being bucketed, do
+not move.  When a level holds ``fanout`` runs they are merged into one run of the
+next level, so a table of any size costs a logarithmic number of rewrites.
+``repeated`` joins the repetitions to the runs and gives the lines that at least
+``min_docs`` documents hold.
 
 Cases: null or empty text is one empty line, kept; repeated lines inside a
 document count once; rows that share a doc_id are one document, so a line of
 theirs is counted once and each row loses or keeps it alike; a null id loses
-no line and counts as no document; empty tables give empty results.
+no line and counts as no document; columns of any name are carried, and
+``dedup_lines`` replaces those named like its results; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import ascii_lower, materialize, new_path, partitions, stripped
+from .storage import ascii_lower, bucketed, materialize, stripped
 
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
+MIN_CHARS, MIN_DOCS, LEAST_BATCHES, BATCH_LINES, FANOUT = 20, 3, 4, 200_000_000, 2
+RESULTS = ("lines", "kept", "n_dropped")
 
 
 def line_hash(line):
@@ -36,59 +42,73 @@ def lines_of(text):
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def summed(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+
 class LineRuns:
-    """Levels of sorted runs in the shared folder."""
+    """Levels of sorted runs in the shared folder, and what was seen again."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
+        self.again: list[DataFrame] = []
 
-    def _write(self, run: DataFrame) -> DataFrame:
-        path = new_path(self.spark, "line-run")
-        run.repartitionByRange(max(1, partitions(self.spark) // 4), "line").sortWithinPartitions("line").write.parquet(path)
-        return self.spark.read.schema(run.schema).parquet(path)
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """Rows of ``lines`` whose ``line`` is in no run."""
-        for run in (r for level in self.levels for r in level):
+        for run in self.runs():
             lines = lines.join(run.select("line"), "line", "left_anti")
         return lines
 
+    def seen(self, lines: DataFrame) -> list[DataFrame]:
+        """The other rows, by run."""
+        return [lines.join(run.select("line"), "line", "left_semi") for run in self.runs()]
+
     def add(self, batch: DataFrame) -> None:
         """``batch``: distinct (line, doc_id) of documents that came in no earlier batch."""
-        run = self._write(batch.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")))
-        level = 0
+        own = batch.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        if self.runs():
+            own = bucketed(own, "line", "line-batch", ordered=True)
+            self.again.append(materialize(reduce(DataFrame.unionByName, self.seen(own)), "line-again"))
+            if len(self.again) > self.fanout:
+                self.again = [materialize(summed(self.again), "line-again")]
+        run, level = bucketed(self.unseen(own), "line", "line-run", ordered=True), 0
         while True:
             if len(self.levels) == level:
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            run, self.levels[level] = self._write(self._merge(self.levels[level])), []
+            run, self.levels[level] = bucketed(reduce(DataFrame.unionByName, self.levels[level]), "line", "line-run", ordered=True), []
             level += 1
 
     def repeated(self, min_docs: int) -> DataFrame:
-        runs = [r for level in self.levels for r in level]
-        return self._merge(runs).where(F.col("n_docs") >= min_docs)
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with ``lines`` (array), ``kept`` (text) and ``n_dropped``."""
-    spark = docs.sparkSession
-    named = docs.where("doc_id is not null")
-    hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_hash), lambda h: h.isNotNull()))
-    held = named.select("doc_id", F.explode(hashes).alias("line")).distinct()
-    held = materialize(held.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "line-held")
+        if not self.again:
+            return reduce(DataFrame.unionByName, self.runs()).where(F.col("n_docs") >= min_docs)
+        again = materialize(summed(self.again).select("line", F.col("n_docs").alias("more"), F.col("last_doc").alias("later")), "line-again")
+        both = [run.join(again, "line", "left") for run in self.runs()]
+        total, last = F.col("n_docs") + F.coalesce("more", F.lit(0)), F.greatest("last_doc", "later")
+        return reduce(DataFrame.unionByName, both).select("line", total.alias("n_docs"), last.alias("last_doc")).where(F.col("n_docs") >= min_docs)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
+    """``docs`` with ``lines`` (array), ``kept`` (text) and ``n_dropped``, instead of columns of those names."""
+    spark, names = docs.sparkSession, docs.columns
+    inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    spread = inner.where(own_id.isNotNull()).select(own_id.alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.transform(lines_of(text), line_hash)).alias("pos", "line"))
+    held = materialize(spread.where("line is not null"), "line-held")
+    batches = batches or max(LEAST_BATCHES, -(-held.count() // BATCH_LINES))
     runs = LineRuns(spark, fanout)
     for k in range(batches):
-        runs.add(held.where(F.col("batch") == k).select("line", "doc_id"))
+        runs.add(held.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("line", "doc_id").distinct())
     repeated = materialize(runs.repeated(min_docs).select("line", "last_doc"), "line-repeated")
-    drops = held.join(repeated, "line").where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
-    drops = drops.withColumnRenamed("doc_id", "drop_id")
-    joined = docs.join(drops, F.col("doc_id") == F.col("drop_id"), "left").withColumn("lines", lines_of(F.col("text")))
-    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("gone"), line_hash(x)), F.lit(False)))
-    out = joined.withColumn("kept_lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
-    return out.withColumn("kept", F.array_join("kept_lines", "\n")).withColumn("n_dropped", F.size("lines") - F.size("kept_lines")).drop("drop_id", "gone", "kept_lines")
+    gone = held.join(repeated, "line").where("doc_id < last_doc").groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("gone"))  # positions in one text
+    joined = inner.join(gone, (own_id == F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key")), "left").withColumn("lines", lines_of(text))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    out = joined.withColumn("kept_lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda k: F.get("lines", k))))
+    own = [F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c.lower() not in RESULTS]
+    return out.select(*own, "lines", F.array_join("kept_lines", "\n").alias("kept"), (F.size("lines") - F.size("kept_lines")).alias("n_dropped"))
