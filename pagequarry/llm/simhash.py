@@ -19,7 +19,9 @@ no link between components is lost and no group is spelled out in pairs.
 of 0.8 on five-word shingles.  There fingerprints of similar texts differ by 10
 bits of 64 in the median and by up to 14, where every choice of parts files most
 of the corpus together; so candidates come from bands of one-permutation MinHash
-sketches and are verified on those, next to the fingerprints' own links.
+sketches, next to the fingerprints' own links.  Every pair that shares a band is
+compared by its sketches, and those near the threshold by their shingle sets;
+each group of texts that meet gives a spanning forest of its links.
 
 Cases: null and empty texts have the fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; repeated rows and equal
@@ -41,9 +43,8 @@ from .storage import materialize, utf8_rows
 
 SAMPLE, FILE_LIMIT, BROADCAST_IDS = 2048, 256, 2_000_000
 HASH_SEED = 42
-#: Sketch of near_groups: bins, bands and rows of a band; files of up to PAIR_LIMIT are paired in SQL, larger ones compared
-#: block by block, a block having about BLOCK sketches.
-BINS, BANDS, ROWS, PAIR_LIMIT, BLOCK = 256, 24, 6, 24, 1024
+#: near_groups: bins of a sketch, bands and bins of a band, texts of a block, and how far an estimate decides.
+BINS, BANDS, ROWS, BLOCK, MARGIN = 512, 24, 6, 256, 0.08
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -249,23 +250,21 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
     mixed = np.sort(mixed ^ (mixed >> np.uint64(32)))
     where = (mixed >> np.uint64(64 - int(bins).bit_length() + 1)).astype(np.int64)
-    first, at = np.unique(where, return_index=True)
-    out[first], have[first] = mixed[at], True
+    first = np.flatnonzero(np.diff(where, prepend=-1) != 0)
+    out[where[first]], have[where[first]] = mixed[first], True
     empty, step = np.flatnonzero(~have), 0
-    while len(empty) and have.any():
+    while len(empty):
         step += 1
         draw = (empty * 40503 + step * (2 * empty + 1) * 7919) % bins
         filled = have[draw]
         out[empty[filled]] = out[draw[filled]]
         empty = empty[~filled]
-        if step > 2 * bins:
-            out[empty] = mixed[0]
-            break
     return out
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, sig, bands): fingerprint, low bytes of the sketch, and a key for each band."""
+    """(doc_id, text_key, fp, sig, bands): hash of the text, fingerprint, low bytes of the sketch, and a key for each
+    band; texts without words have no bands."""
 
     def run(batches):
         import pyarrow as pa
@@ -275,104 +274,263 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             fps, sigs, keys = [], [], []
             for raw in utf8_rows(batch):
                 hashes = shingle_hashes(raw, shingle)
-                full = sketch(hashes) if len(hashes) else np.zeros(BINS, np.uint64)
                 fps.append(fingerprint(hashes))
-                sigs.append((full & np.uint64(255)).astype(np.uint8).tobytes() if len(hashes) else b"")
-                packed = full.tobytes()
-                wide = 8 * ROWS
-                keys.append([signed(xxh64_intdigest(packed[k * wide : (k + 1) * wide], k)) for k in range(BANDS)] if len(hashes) else [0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "bands"])
+                full = sketch(hashes) if len(hashes) else np.zeros(0, np.uint64)
+                sigs.append(full.astype(np.uint8).tobytes())
+                packed, wide = full.tobytes(), 8 * ROWS
+                keys.append([signed(xxh64_intdigest(packed[k * wide : (k + 1) * wide], k)) for k in range(BANDS if packed else 0)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "sig", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, fp long, sig binary, bands array<long>")
+
+
+def likeness(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each sketch to one: equal bins, less those equal by chance."""
+    return ((sigs == one).mean(1) - 1 / 256) / (1 - 1 / 256)
+
+
+def shared_part(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, as sorted arrays."""
+    both = np.concatenate([a, b])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return same / (len(both) - same)
+
+
+class FileComparison:
+    """The texts of a file (or of two of its blocks) against each other: ``keys``, ``sigs`` (a row for each), and
+    ``probe``: only pairs of a probing and another text are of interest; None: all."""
+
+    def __init__(self, keys: np.ndarray, sigs: np.ndarray, probe: np.ndarray | None, similarity: float, margin: float):
+        self.keys, self.sigs, self.probe = keys, sigs, probe
+        self.low, self.least, self.high = similarity - margin, similarity, similarity + margin
+
+    def candidates(self, at: int) -> np.ndarray:
+        ok = np.ones(len(self.keys), bool) if self.probe is None else self.probe != self.probe[at]
+        return ok & (self.keys != self.keys[at])
+
+    def forest(self, sets: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Edges of a spanning forest, and the number of each text's component.  Pairs are alike if their estimate is
+        ``high`` or, given the shingle sets, if it is ``low`` and their similarity is enough."""
+        component, edges = np.full(len(self.keys), -1), []
+        for i in range(len(self.keys)):
+            if component[i] >= 0:
+                continue
+            component[i], queue = i, [i]
+            while queue:
+                at = queue.pop()
+                rest = np.flatnonzero(self.candidates(at) & (component < 0))
+                near = likeness(self.sigs[rest], self.sigs[at])
+                alike = near >= self.high
+                if sets is not None:
+                    for k in np.flatnonzero((near >= self.low) & ~alike).tolist():
+                        alike[k] = shared_part(sets[at], sets[rest[k]]) >= self.least
+                for j in rest[alike].tolist():
+                    component[j] = i
+                    edges.append((int(self.keys[at]), int(self.keys[j])))
+                    queue.append(j)
+        return edges, component
+
+    def doubtful(self, component: np.ndarray) -> np.ndarray:
+        """Texts of which some pair, not joined yet, has an estimate between ``low`` and ``high``."""
+        out = np.zeros(len(self.keys), bool)
+        for at in range(len(self.keys)):
+            rest = np.flatnonzero(self.candidates(at) & (component != component[at]))
+            out[at] = bool((likeness(self.sigs[rest], self.sigs[at]) >= self.low).any())
+        return out
+
+
+GROUP = ["band", "value", "i", "j"]
+
+
+def by_group(batches, sizes=8192):
+    """Tables of whole groups from batches sorted by GROUP."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+
+    def cut(table, last):
+        columns = [table.column(c).to_numpy() for c in GROUP]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        starts = np.flatnonzero(new).tolist()
+        stops = [*starts[1:], table.num_rows]
+        ready = list(zip(starts, stops, strict=True))
+        tail = None if last or not ready else table.slice(ready.pop()[0])
+        return [table.slice(a, b - a) for a, b in ready], tail
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= sizes:
+            done, tail = cut(pa.concat_tables(held).combine_chunks(), False)
+            yield from done
+            held, rows = [tail], tail.num_rows
+    if rows:
+        yield from cut(pa.concat_tables(held).combine_chunks(), True)[0]
+
+
+def compared(met: DataFrame, similarity: float, margin: float) -> DataFrame:
+    """``met`` (GROUP, text_key, probe, sig and, for the exact pass, hashes) group by group: links (a, b), and without
+    hashes also the doubtful texts (GROUP, a; b is null)."""
+    exact = "hashes" in met.columns
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, sig binary, bands array<long>")
+    def run(batches):
+        import pyarrow as pa
 
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        names = [*GROUP, "a", "b", "probe"]
+        out = []
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for group in by_group(batches):
+            if group.num_rows < 2:
+                continue
+            keys = group.column("text_key").to_numpy()
+            sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
+            probe = None if group.column("probe")[0].as_py() is None else group.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+            own = FileComparison(keys, sigs, probe, similarity, margin)
+            sets = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()] if exact else None
+            edges, component = own.forest(sets)
+            out += [(None, None, None, None, a, b, None) for a, b in edges]
+            if not exact:
+                at = [group.column(c)[0].as_py() for c in GROUP]
+                out += [(*at, int(keys[k]), None, None if probe is None else bool(probe[k])) for k in np.flatnonzero(own.doubtful(component)).tolist()]
+            if len(out) > 20_000:
+                yield rows()
+                out = []
+        if out:
+            yield rows()
+
+    dealt = met.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return dealt.mapInArrow(run, "band int, value long, i int, j int, a long, b long, probe boolean")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(key, hashes): the sorted distinct shingle hashes of the texts named in ``wanted`` (text_key, first_id)."""
 
-def sketch_forest(sigs: np.ndarray, least: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest (row numbers) of the links among the sketches; given ``side``, of those between two sides."""
-    left, out = np.ones(len(sigs), bool), []
-    for i in range(len(sigs)):
-        if not left[i]:
-            continue
-        left[i], queue = False, [i]
-        while queue:
-            at = queue.pop()
-            rest = np.flatnonzero(left if side is None else left & (side != side[at]))
-            for j in rest[(sigs[rest] == sigs[at]).mean(1) >= least].tolist():
-                left[j] = False
-                out.append((at, j))
-                queue.append(j)
-    return out
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in utf8_rows(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(sets, pa.binary())], ["key", "hashes"])
 
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(side.withColumnRenamed("text_key", "wanted_key"), (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    return own.select("text_key", "text").mapInArrow(run, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
-def block_links(members: DataFrame, sig: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among the ``members`` (band, value, n, text_key) of each file: a forest of each two of its blocks.
 
-    A file is cut into blocks by hash, and every block meets itself and every other one, each two in a group of their
-    own, so all pairs of a file are verified and no task holds more than two blocks of it at a time."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("text_key", "band"), blocks).cast("int")).join(sig, "text_key")
-    met = dealt.select("band", "value", "text_key", "sig", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = met.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_key", "sig", "own")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough; two texts without words are alike."""
 
-    def verify(group):
+    def run(batches):
         import pyarrow as pa
 
-        keys = group.column("text_key").to_numpy()
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
-        side = group.column("own").to_numpy() if group.column("i")[0] != group.column("j")[0] else None
-        found = sketch_forest(sigs, least, side)
-        return pa.table([pa.array([int(keys[e[k]]) for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for batch in batches:
+            both = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)
+            keep = [x == y or shared_part(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in both]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.groupBy("band", "value", "i", "j").applyInArrow(verify, "a long, b long")
+    hashes = sets.select("key", "hashes")
+    joined = pairs.join(hashes.toDF("ka", "ha"), F.col("a") == F.col("ka")).join(hashes.toDF("kb", "hb"), F.col("b") == F.col("kb"))
+    return joined.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.03, tau: int = 2, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id): groups of rows linked by similar texts, repeated rows included.
+def meetings(shared: DataFrame, sig: DataFrame, high: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(groups to compare, links found on the way) for the files ``shared`` (band, value, n, text_key).
 
-    A pair is verified on its sketches: the share of equal bins, corrected for chance, has a standard error of
-    0.025 at 0.8, so ``slack`` is taken off the threshold."""
-    rows = materialize(sketches(docs, shingle), "sketches")
-    keyed = rows.withColumn("text_key", F.xxhash64("sig", "fp"))
-    nodes = materialize(keyed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("node_fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "sketch-nodes")
-    filed = nodes.select("text_key", F.posexplode("bands").alias("band", "value"))
-    files = filed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("text_key").alias("head")).where("n > 1")
-    shared = materialize(filed.join(files, ["band", "value"]), "sketch-files")
-    small = shared.where(F.col("n") <= PAIR_LIMIT).groupBy("band", "value").agg(F.sort_array(F.collect_list("text_key")).alias("keys"))
-    own = small.select(F.explode(F.flatten(F.transform("keys", lambda a: F.transform(F.filter("keys", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    pairs = own.distinct()
-    sig = nodes.select("text_key", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"text_key": "ka", "sig": "sa"}), F.col("a") == F.col("ka")).join(sig.withColumnsRenamed({"text_key": "kb", "sig": "sb"}), F.col("b") == F.col("kb"))
-    least = 1 / 256 + (similarity - slack) * (1 - 1 / 256)
+    A file of up to ``block`` texts is one group.  In a larger one all texts first meet one of them, the pivot; those
+    like it are linked to it and so to each other.  The others probe the whole file: blocks of them meet blocks of all
+    texts, each two in a group of their own, so that no pair is left out and no task holds more than two blocks."""
+    plain = lambda c, kind: F.lit(c).cast(kind)
+    few = shared.where(F.col("n") <= block).select("band", "value", plain(0, "int").alias("i"), plain(0, "int").alias("j"), "text_key", plain(None, "boolean").alias("probe"))
+    many = shared.where(F.col("n") > block)
+    pivots = many.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("text_key", F.lit(1)).alias("h"), "text_key")).alias("p")).select(F.col("band").alias("b_"), F.col("value").alias("v_"), F.col("p.text_key").alias("pivot"))
+    pivots = materialize(pivots.join(sig.toDF("k_", "pivot_sig"), F.col("pivot") == F.col("k_")).drop("k_"), "pivots")
 
-    def verify(batches):
+    def star(batches):
         import pyarrow as pa
 
         for batch in batches:
-            left, right = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            keep = [bool(x == y or (x and y and (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= least)) for x, y in zip(left, right, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    alike = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").union(block_links(shared.where(F.col("n") > PAIR_LIMIT), sig, least, block))
-    # The fingerprints' own links, carried over to the texts of a fingerprint.
+            if not batch.num_rows:
+                continue
+            own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "pivot_sig"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "value", "n", "text_key", "pivot")), pa.array(likeness(own, pivot) >= high)], ["band", "value", "n", "text_key", "pivot", "linked"])
+
+    beside = many.join(sig.withColumnRenamed("text_key", "s_"), F.col("text_key") == F.col("s_")).join(pivots, (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_")))
+    stars = materialize(beside.select("band", "value", "n", "text_key", "pivot", "sig", "pivot_sig").mapInArrow(star, "band int, value long, n long, text_key long, pivot long, linked boolean"), "stars")
+    found = stars.where("linked and text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b"))
+    others = stars.where("not linked").groupBy("band", "value").agg(F.count(F.lit(1)).alias("m")).select(F.col("band").alias("b_"), F.col("value").alias("v_"), "m")
+    rest = stars.join(others, (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_")))
+    wide, tall = F.ceil(F.col("m") / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
+    number = lambda count, seed: F.pmod(F.xxhash64("text_key", F.lit(seed)), count).cast("int")
+    probing = rest.where("not linked").select("band", "value", number(wide, 2).alias("i"), F.explode(F.sequence(F.lit(0), tall - 1)).alias("j"), "text_key", plain(True, "boolean").alias("probe"))
+    probed = rest.select("band", "value", F.explode(F.sequence(F.lit(0), wide - 1)).alias("i"), number(tall, 3).alias("j"), "text_key", plain(False, "boolean").alias("probe"))
+    return few.union(probing).union(probed), found
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 2, block: int = BLOCK, margin: float = MARGIN) -> DataFrame:
+    """(doc_id, text_key, root, component_id) of every row: groups linked by similar texts, repeated rows included; root
+    is the least text hash of a group, component_id its least doc_id.
+
+    Candidates share a band.  A pair's estimate has a standard error of 0.018 at 0.8; what lies further than
+    ``margin`` (4.5 times that) from ``similarity`` is decided by the estimate, all other pairs by their shingle sets."""
+    rows = materialize(sketches(docs, shingle), "sketches")
+    nodes = materialize(rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("node_fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "sketch-nodes")
+    filed = nodes.select("text_key", F.posexplode("bands").alias("band", "value"))
+    mixed = F.xxhash64("text_key")
+    files = filed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64(mixed)).alias("y")).where("n > 1")
+    # Bands that file the same texts together need one look.
+    files = files.groupBy("n", "x", "y").agg(F.min(F.struct("band", "value")).alias("f")).select("n", F.col("f.band").alias("b_"), F.col("f.value").alias("v_"))
+    shared = materialize(filed.join(files, (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_"))).select("band", "value", "n", "text_key"), "sketch-files")
+    sig = nodes.select("text_key", "sig")
+    met, starred = meetings(shared, sig, similarity + margin, block)
+    signed_rows = met.join(sig.toDF("s_", "sig"), F.col("text_key") == F.col("s_")).drop("s_")
+    first = materialize(compared(signed_rows, similarity, margin), "compared")
+    doubt = first.where("b is null").select(*GROUP, F.col("a").alias("text_key"), "probe")
+    # The fingerprints' own links, carried over to texts: candidates like the others.
     by_fp = nodes.groupBy(F.col("node_fp").alias("fp")).agg(F.min("text_key").alias("head"))
     same = nodes.join(by_fp, F.col("node_fp") == F.col("fp")).where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b"))
-    near = links(by_fp.select("fp"), tau)
     ends = by_fp.select(F.col("fp").alias("f"), "head")
-    carried = near.join(ends.withColumnsRenamed({"f": "fa", "head": "ha"}), F.col("a") == F.col("fa")).join(ends.withColumnsRenamed({"f": "fb", "head": "hb"}), F.col("b") == F.col("fb")).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    named = materialize(label(nodes.select(F.col("text_key").alias("fp"), "first_id"), alike.union(same).union(carried)), "near-named")
-    return keyed.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("fp")).select("doc_id", "component_id")
+    carried = links(by_fp.select("fp"), tau).join(ends.toDF("fa", "ha"), F.col("a") == F.col("fa")).join(ends.toDF("fb", "hb"), F.col("b") == F.col("fb")).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    pairs = materialize(same.union(carried).distinct(), "fingerprint-pairs")
+    unsure = doubt.select("text_key").union(pairs.select("a")).union(pairs.select("b")).distinct().toDF("d_")
+    wanted = materialize(nodes.select("text_key", "first_id", "sig").join(unsure, F.col("text_key") == F.col("d_"), "left_semi"), "doubtful")
+    sets = materialize(wanted.join(shingle_sets(docs, wanted.select("text_key", "first_id"), shingle), F.col("text_key") == F.col("key")).select("key", "sig", "hashes"), "shingle-sets")
+    second = compared(doubt.join(sets, F.col("text_key") == F.col("key")).drop("key"), similarity, margin)
+    alike = first.where("b is not null").select("a", "b").union(second.select("a", "b")).union(starred).union(verified(pairs, sets, similarity))
+    roots = components(alike)
+    rooted = materialize(nodes.join(roots, F.col("text_key") == F.col("node"), "left").select("text_key", "first_id", F.coalesce("root", "text_key").alias("root")), "near-roots")
+    firsts = rooted.groupBy(F.col("root").alias("r_")).agg(F.min("first_id").alias("component_id"))
+    named = materialize(rooted.join(firsts, F.col("root") == F.col("r_")).select(F.col("text_key").alias("t_"), "root", "component_id"), "near-named")
+    return rows.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("t_")).select("doc_id", "text_key", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id.  Rows that share an id are one document,
-    which stays if any of them heads a group, with one row; rows without an id stay.
-
-    The ids that go are fewer than those that stay; up to BROADCAST_IDS of them are broadcast, else they are shuffled."""
-    groups = materialize(near_groups(docs.where("doc_id is not null"), **options), "near-groups")
-    by_id = groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("heads"), F.count(F.lit(1)).alias("n"))
-    judged = materialize(by_id.where("heads = 0 or n > 1"), "near-judged")
-    gone = judged.where("heads = 0").select(F.col("doc_id").alias("gone_id"))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    if judged.where("n > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    """``docs`` with one row of each group: that with the smallest id (null last) and, among rows of one id, the
+    smallest text hash; of rows equal in both, one.
+
+    The rows that go are fewer than those that stay; up to BROADCAST_IDS of their keys are broadcast, else they are
+    shuffled.  Columns of any name are carried."""
+    names = docs.columns
+    inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own_id, own_text = F.col(f"c{names.index('doc_id')}").cast("long"), F.xxhash64(f"c{names.index('text')}")
+    groups = near_groups(docs.select("doc_id", "text"), **options)
+    rows = materialize(groups.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n")), "near-rows")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    heads = rows.groupBy(F.col("root").alias("r_")).agg(F.min(rank).alias("head"))
+    judged = materialize(rows.join(heads, F.col("root") == F.col("r_")).withColumn("stays", rank == F.col("head")).where("not stays or n > 1").select("doc_id", "text_key", "stays"), "near-judged")
+
+    def side(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+    match = own_id.eqNullSafe(F.col("doc_id")) & (own_text == F.col("text_key"))
+    kept = inner.join(side(judged.where("not stays").select("doc_id", "text_key")), match, "left_anti")
+    again = judged.where("stays").select("doc_id", "text_key")  # rows that are there more than once
+    if again.limit(1).count():
+        several = kept.withColumn("id_", own_id).withColumn("text_", own_text).join(side(again), match, "left_semi")
+        kept = kept.join(side(again), match, "left_anti").union(several.dropDuplicates(["id_", "text_"]).drop("id_", "text_"))
+    return kept.toDF(*names)
