@@ -16,7 +16,7 @@ from pagequarry.llm.storage import materialize, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text does not find odd."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
