@@ -16,26 +16,23 @@ dlatego gdy gdyby gdyż gdzie go ich im iż ja jak jako jego jej jest jestem jes
 którego której który którzy ku lecz lub ma mają mam mi mnie mogą może można mój mu na nad nam nas nasze nie niego niej nim niż o od ona one
 oni ono oraz oto po pod ponieważ potem przez przy się skąd sobie są ta tak także tam te tego tej ten teraz też tu tutaj twoja twój u w wam
 wasz więc wszystko z za ze zatem że żeby żaden żadna żadne żadnego żadnej""".split()
-MAX_TOKEN_CHARS, MAX_TEXT_CHARS, MAX_GRAM = 40, 1024, 3
+MAX_TOKEN_CHARS, MAX_GRAM = 40, 3
 
 STOPWORDS = [*ENGLISH, *POLISH]
 STOP_LIST = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and decimal digits without stopwords and overlong ones.  Text must be NFC."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{Nd}]+)"), 1)
+    """Lower-cased runs of letters and decimal digits of the composed text, without stopwords and overlong ones."""
+    words = F.regexp_extract_all(F.lower(nfc(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{Nd}]+)"), 1)
     return F.filter(words, lambda w: (F.char_length(w) <= MAX_TOKEN_CHARS) & ~w.isin(STOPWORDS))
 
 
 def nfc(text: Column) -> Column:
-    """Composed Unicode form (an Arrow UDF: Spark has no such function)."""
-
-    @F.pandas_udf("string")
-    def composed(s):
-        return s.str.normalize("NFC")
-
-    return composed(text)
+    """Composed Unicode form, by the ICU library that Spark's collations use.  Characters below U+0300 compose with
+    nothing, so only texts with others are looked at."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), composed).otherwise(text)
 
 
 def grams(token_array: Column, most: int = MAX_GRAM) -> Column:
@@ -58,10 +55,6 @@ def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[\s\p{Z}\x85]+", " "))
 
 
-def clip(text: Column, most: int = MAX_TEXT_CHARS) -> Column:
-    return F.substring(text, 1, most)
-
-
 def shortened(text: Column, most: int) -> Column:
     """At most ``most`` characters, the last an ellipsis where something is cut."""
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)

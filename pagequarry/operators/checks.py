@@ -255,7 +255,7 @@ def anchor_reuse(pages: DataFrame) -> DataFrame:
     return grouped.where("targets >= 2")
 
 
-# ---------------------------------------------------------------- content, structured data, hygiene
+# ---------------------------------------------------------------- content, hygiene
 
 
 def content_findings(pages: DataFrame) -> DataFrame:
@@ -270,12 +270,6 @@ def content_findings(pages: DataFrame) -> DataFrame:
     )
 
 
-def structured_findings(pages: DataFrame) -> DataFrame:
-    rules = {"SEO-SCHEMA-001": "schema_errors", "SEO-SCHEMA-002": "schema_untyped", "SEO-SCHEMA-003": "schema_context", "SEO-SCHEMA-004": "schema_required", "SEO-SCHEMA-005": "schema_recommended", "SEO-SCHEMA-006": "schema_bad_urls", "SEO-BREADCRUMB-001": "crumb_errors", "SEO-BREADCRUMB-002": "crumb_issues", "SEO-BREADCRUMB-003": "crumb_dups"}
-    found = [finding("structured-data", rule, F.col("url"), F.col(field), F.size(field) > 0) for rule, field in rules.items()]
-    return spread(pages, *found, finding("structured-data", "SEO-SCHEMA-007", F.col("url"), when=F.col("schema_truncated")))
-
-
 def header(name: str) -> Column:
     """A header's value by name in any case, or an empty string; ``headers`` is a map."""
     hit = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name)
@@ -302,5 +296,16 @@ def hygiene_findings(fetches: DataFrame, order: str | None = None) -> DataFrame:
     )
 
 
+def upgrade_findings(start_url: str, log: DataFrame) -> DataFrame:
+    """Does the http form of an https start URL lead to https?  ``log``: url, status, error, redirects, final_url."""
+    plain = "http" + start_url.removeprefix("https")
+    rows = log.sparkSession.createDataFrame([(start_url, plain)] if start_url.startswith("https:") else [], "start string, plain string")
+    asked = rows.join(log.where(F.col("url") == plain).dropDuplicates(["url"]).withColumnRenamed("url", "plain"), "plain", "left")
+    unknown = F.col("status").isNull() | (F.coalesce("error", F.lit("")) != "")
+    stays = (F.coalesce("redirects", F.lit(0)) == 0) | ~F.coalesce("final_url", F.lit("")).startswith("https:")
+    told = lines(F.when(unknown, "no answer over http").otherwise(F.coalesce("final_url", "plain")))
+    return spread(asked, finding("web-hygiene", "WEB-HYGIENE-004", F.col("start"), told, unknown | stays))
+
+
 def mixed_content(pages: DataFrame) -> DataFrame:
     return spread(pages, finding("web-hygiene", "WEB-HYGIENE-005", F.col("url"), F.col("mixed"), F.size("mixed") > 0))

@@ -2,66 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming, simhash
+from ..functions.hashing import hamming, token_simhash
 from ..functions.text import tokens
 from ..storage import save
 
-NEAR_BITS = 5
-#: Six bands of 64 bits: two hashes within five bits agree on one of them.
-BANDS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+NEAR_BITS, PARTS, SHARED, LISTED = 5, 8, 3, 21
+#: Of eight bytes, five bits touch five at most, so near hashes share three whole bytes.
+BANDS = list(combinations(range(PARTS), SHARED))
+
+
+def worded(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text hash, words) of the texts that have words."""
+    return docs.select(key, F.sha2(F.col(text), 256).alias("sha"), tokens(F.col(text)).alias("words")).where(F.size("words") > 0)
 
 
 def exact_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(representative, duplicates) of equal non-empty texts with tokens; the smallest key stands for a group."""
-    rows = docs.where(F.size(tokens(F.col(text))) > 0).select(key, F.sha2(F.col(text), 256).alias("sha"))
+    """(representative, duplicate) of equal texts with words; the smallest key stands for a group."""
+    rows = worded(docs, key, text).select(key, "sha")
     first = rows.groupBy("sha").agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    others = rows.join(first, "sha").where(F.col(key) > F.col("representative"))
-    return others.groupBy("representative").agg(F.sort_array(F.collect_list(key)).alias("duplicates"))
+    return rows.join(first, "sha").where(F.col(key) > F.col("representative")).select("representative", F.col(key).alias("duplicate"))
+
+
+def listed(groups: DataFrame, most: int = LISTED) -> DataFrame:
+    """(representative, duplicates, n): the first ``most`` duplicates of each representative and how many there are, so a
+    group of any size stays one small row."""
+    sizes = groups.groupBy("representative").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("representative").orderBy("duplicate"))
+    few = groups.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("representative").agg(F.sort_array(F.collect_list("duplicate")).alias("duplicates"))
+    return few.join(sizes, "representative")
 
 
 def representatives(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each distinct text with tokens: the one with the smallest key."""
-    rows = docs.where(F.size(tokens(F.col(text))) > 0)
-    return rows.groupBy(F.sha2(F.col(text), 256).alias("sha")).agg(F.min_by(text, key).alias(text), F.min(key).alias(key)).select(key, text)
+    """(key, words): one row for each distinct text with words, that with the smallest key."""
+    rows = worded(docs, key, text)
+    return rows.groupBy("sha").agg(F.min_by("words", key).alias("words"), F.min(key).alias(key)).select(key, "words")
 
 
-def document_simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
-    words = docs.select(key, F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    return simhash(words, key, "word", "n")
+def document_simhash(docs: DataFrame, key: str) -> DataFrame:
+    """(key, simhash) of rows (key, words)."""
+    return token_simhash(docs, key, "words")
 
 
 def near_pairs(hashes: DataFrame, key: str, bits: int = NEAR_BITS) -> DataFrame:
-    """(a, b, distance) with a < b within ``bits`` bits: a banded self-join, each pair kept in its first shared band."""
-    band = lambda h, i: F.shiftrightunsigned(h, BANDS[i][0]).bitwiseAND(F.lit((1 << BANDS[i][1]) - 1))
-    filed = hashes.select(key, "simhash", F.posexplode(F.array(*[band(F.col("simhash"), i) for i in range(len(BANDS))])).alias("band", "value"))
+    """(a, b, distance) with a < b within ``bits`` bits: hashes are filed under every three of their eight bytes (24 bits)
+    and met there; a pair is kept in the file of the first three bytes that it shares."""
+    if bits > PARTS - SHARED:
+        raise ValueError(f"at most {PARTS - SHARED} bits")
+    mask = lambda parts: sum(255 << (8 * p) for p in parts)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    masks = F.array(*[F.lit(signed(mask(parts))).cast("long") for parts in BANDS])
+    filed = hashes.select(key, "simhash", F.posexplode(F.transform(masks, lambda m: F.col("simhash").bitwiseAND(m))).alias("band", "value"))
     left = filed.select(F.col(key).alias("a"), F.col("simhash").alias("ha"), "band", "value")
     right = filed.select(F.col(key).alias("b"), F.col("simhash").alias("hb"), "band", "value")
     near = left.join(right, ["band", "value"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= bits)
-    first = F.lit(None).cast("int")
-    for i in reversed(range(len(BANDS))):
-        first = F.when(band(F.col("ha"), i) == band(F.col("hb"), i), i).otherwise(first)
-    return near.where(F.col("band") == first).select("a", "b", "distance")
+    apart = F.col("ha").bitwiseXOR(F.col("hb"))
+    same = F.filter(F.array(*[F.when(F.shiftrightunsigned(apart, 8 * p).bitwiseAND(F.lit(255)) == 0, p) for p in range(PARTS)]), lambda p: p.isNotNull())
+    first = F.get(F.array(*[F.array(*map(F.lit, parts)) for parts in BANDS]), F.col("band"))
+    return near.where(F.slice(same, 1, SHARED) == first).select("a", "b", "distance")
 
 
 def leader_groups(pairs: DataFrame) -> DataFrame:
-    """(representative, duplicates): in key order a page joins its first near representative, else becomes one.
+    """(representative, duplicate): in key order a page joins its first near representative, else becomes one.
 
     Resolved in rounds, without one task seeing all pages.  A page whose smaller neighbours are all settled is
     settled: it joins its least leader among them or leads.  Each round settles at least the smallest open page of
-    every component, in practice nearly all; pages without near neighbours take no part."""
+    every component, in practice nearly all, and leaves only the edges of open pages to the next; pages without near
+    neighbours take no part."""
     edges = save(pairs.select("a", "b"))  # a < b
     nodes = edges.select(F.col("a").alias("k")).union(edges.select("b")).distinct()
-    settled = save(nodes.join(edges, F.col("k") == F.col("b"), "left_anti").select("k", F.lit(None).cast(nodes.schema["k"].dataType).alias("leader")))
-    open_ = save(nodes.join(settled, "k", "left_anti"))
-    while open_.limit(1).count():
-        state = settled.select(F.col("k").alias("a"), F.lit(True).alias("known"), F.col("leader").isNull().alias("leads"))
-        seen = edges.join(open_, F.col("b") == F.col("k"), "left_semi").join(state, "a", "left")
-        judged = seen.groupBy("b").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("leader"), F.min(F.when(F.col("known").isNull(), F.col("a"))).alias("waits"))
-        done = judged.where(F.col("waits").isNull() | (F.col("leader") < F.col("waits"))).select(F.col("b").alias("k"), "leader")
-        settled = save(settled.union(done))
-        open_ = save(open_.join(settled, "k", "left_anti"))
-    joined = settled.where("leader is not null")
-    return joined.groupBy(F.col("leader").alias("representative")).agg(F.sort_array(F.collect_list("k")).alias("duplicates"))
+    state = save(nodes.join(edges, F.col("k") == F.col("b"), "left_anti").select("k", F.lit(None).cast(nodes.schema["k"].dataType).alias("leader")))
+    done, waiting = [state], edges
+    while True:
+        # Of the edges whose larger end is open, those to settled pages give up what they know.
+        waiting = save(waiting.join(state, F.col("b") == F.col("k"), "left_anti").select("a", "b", *([] if "leads" not in waiting.columns else ["leads"])))
+        if not waiting.limit(1).count():
+            break
+        known = state.select(F.col("k").alias("k_"), F.col("leader").isNull().alias("leads_"))
+        own = F.col("leads") if "leads" in waiting.columns else F.lit(None).cast("boolean")
+        waiting = save(waiting.join(known, F.col("a") == F.col("k_"), "left").select("a", "b", F.coalesce(own, "leads_").alias("leads")))
+        judged = waiting.groupBy("b").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("leader"), F.min(F.when(F.col("leads").isNull(), F.col("a"))).alias("waits"))
+        state = save(judged.where(F.col("waits").isNull() | (F.col("leader") < F.col("waits"))).select(F.col("b").alias("k"), "leader"))
+        done.append(state)
+    joined = reduce(DataFrame.union, done).where("leader is not null")
+    return joined.select(F.col("leader").alias("representative"), F.col("k").alias("duplicate"))

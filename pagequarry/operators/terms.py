@@ -48,8 +48,8 @@ def weights(counts: DataFrame, key: str, n_docs: Column) -> DataFrame:
 
 def page_strengths(weighed: DataFrame, key: str) -> DataFrame:
     """(key, term, strength): weight as a percentage of the page's largest."""
-    most = weighed.groupBy(key).agg(F.max("v").alias("most"))
-    return weighed.join(most, key).select(key, "term", tenths(F.col("v") / F.col("most")).alias("strength"))
+    most = F.max("v").over(Window.partitionBy(key))
+    return weighed.select(key, "term", tenths(F.col("v") / most).alias("strength"))
 
 
 def site_weights(weighed: DataFrame, n_docs: Column) -> DataFrame:

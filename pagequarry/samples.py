@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES: dict[str, tuple[str, list[tuple]]] = {
@@ -185,10 +187,68 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "id int, error string, kind string",
         [(1, "", ""), (2, "network blocked: private address", "blocked"), (3, "redirect loop", "redirect-loop"), (4, "too many redirects", "too-many-redirects"), (5, "body too large", "too-large"), (6, "context deadline exceeded", "timeout"), (7, "unsupported content encoding br", "unsupported-encoding"), (8, "unsupported URL", "invalid-url"), (9, "request canceled", "canceled"), (10, "connection refused", "network")],
     ),
+    "hops": (
+        "url string, status int, location string, error string",
+        [
+            ("https://s.test/ok", 200, "", ""),
+            ("https://s.test/one", 301, "https://s.test/ok", ""),
+            ("https://s.test/relative", 302, "/one", ""),
+            ("https://s.test/turn", 307, "/turn-back", ""),
+            ("https://s.test/turn-back", 308, "/turn", ""),
+            ("https://s.test/self", 303, "/self", ""),
+            ("https://s.test/mute", 301, "", ""),
+            ("https://s.test/not-modified", 304, "/ok", ""),
+            ("https://s.test/lost", 301, "/missing", ""),
+            ("https://s.test/down", 0, "", "timeout"),
+            ("https://s.test/to-down", 302, "/down", ""),
+            ("https://s.test/bad", 302, "ftp://s.test/", ""),
+            *((f"https://s.test/step{k}", 301, f"/step{k + 1}", "") for k in range(12)),
+            ("https://s.test/step12", 200, "", ""),
+        ],
+    ),
+    "resolved": (
+        "host string, ip string",
+        [
+            ("fine.test", "8.8.8.8"),
+            ("fine.test", "1.1.1.1"),
+            ("mixed.test", "8.8.8.8"),
+            ("mixed.test", "10.0.0.1"),
+            ("meta.test", "169.254.169.254"),
+            ("localhost", "8.8.8.8"),
+            ("App.LOCALHOST.", None),
+            ("localhost.test", "8.8.8.8"),
+            ("nothing.test", None),
+        ],
+    ),
     "terms": ("term string", [(t,) for t in ("seo", "a1", "ab", "x", "2024", "web design", "a bc", "pl 2", "café", "12ab", "c3po rd2")]),
 }
 
 
+def _as_html(blocks: list) -> str:
+    return f'<html><head><script type="application/ld+json">{json.dumps(blocks)}</script></head><body></body></html>'
+
+
+def _ld_pages() -> list[tuple]:
+    """``schema_items`` as pages: an array of items; those below the top hang on another one."""
+    pages: dict[str, dict] = {}
+    for url, item, kind, top, name, value in TABLES["schema_items"][1]:
+        pages.setdefault(url, {}).setdefault(item, (kind, top, {}))[2][name] = value
+    lead = {"@context": "https://schema.org"}
+    return [(url, _as_html([{**lead, "@type": kind, **props} if top else {**lead, "@type": "Thing", "about": {"@type": kind, **props}} for kind, top, props in items.values()])) for url, items in pages.items()]
+
+
+def _crumb_pages() -> list[tuple]:
+    """``crumbs`` as pages with a breadcrumb list each."""
+    pages: dict[str, list] = {}
+    for url, _, _, position, name, item in TABLES["crumbs"][1]:
+        pages.setdefault(url, []).append({"@type": "ListItem", "position": position, "name": name, **({"item": item} if item else {})})
+    return [(url, _as_html([{"@context": "https://schema.org", "@type": "BreadcrumbList", "itemListElement": entries}])) for url, entries in pages.items()]
+
+
+TABLES["ld_pages"] = ("url string, html string", _ld_pages())
+TABLES["crumb_pages"] = ("url string, html string", _crumb_pages())
+
+
 def frame(spark: SparkSession, name: str) -> DataFrame:
     schema, rows = TABLES[name]
     return spark.createDataFrame(rows, schema)

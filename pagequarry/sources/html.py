@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
@@ -11,22 +10,21 @@ from pyspark.sql import DataFrame
 
 from ..functions.urls import is_resource, site_key_of, try_normalize
 from .dom import Node, parse_html
-from .structured import StructuredData
+from .structured import FACTS, StructuredData
 
 MAX_TEXT, MAX_HEADINGS, MAX_LINKS, MAX_IMAGES, MAX_CANONICALS, MAX_ROBOTS, MAX_SOCIAL, MAX_ALTERNATES = 1024, 500, 1000, 500, 20, 20, 10, 100
 MAX_MAIN_BYTES, MAX_MAIN_NODES, MAX_MIXED = 64 << 10, 20_000, 20
 CHROME = frozenset("head script style noscript nav header footer aside form template svg math".split())
 ROBOT_AGENTS = ("robots", "googlebot", "googlebot-news", "bingbot")
 
-STRUCT_FIELDS = """titles array<string>, descriptions array<string>, headings array<struct<level:int,text:string>>,
+STRUCT_FIELDS = f"""titles array<string>, descriptions array<string>, headings array<struct<level:int,text:string>>,
 canonicals array<struct<href:string,url:string,source:string,relative:boolean,in_head:boolean,error:string>>,
 robots array<struct<source:string,agent:string,value:string>>,
 links array<struct<href:string,url:string,external:boolean,resource:boolean,nofollow:boolean,new_tab:boolean,anchor:string>>,
 images array<struct<src:string,has_alt:boolean,width:int,height:int,loading:string,alt:string,external:boolean,resource:boolean>>,
 hreflangs array<struct<href:string,target:string>>, social array<struct<property:string,value:string>>, lang string,
 main_text string, text_bytes long, mixed array<string>, schema_types array<string>, schema_errors array<string>, schema_untyped array<string>,
-schema_context array<string>, schema_required array<string>, schema_recommended array<string>, schema_bad_urls array<string>,
-schema_truncated boolean, crumb_errors array<string>, crumb_issues array<string>, crumb_dups array<string>"""
+schema_context array<string>, schema_truncated boolean, {FACTS}"""
 
 
 def squeeze(text: str) -> str:
@@ -69,6 +67,36 @@ def header_robots(value: str) -> tuple[str, str]:
     return (name, rest) if colon and name not in known and not re.search(r"[ ,]", name) else ("robots", value)
 
 
+def charset_of(raw: bytes, headers: dict[str, str] | None = None) -> str:
+    """The encoding of a page's bytes: by byte order mark, Content-Type, a meta element in the first 1,024 bytes, or else
+    UTF-8 where the bytes are that and windows-1252 where not."""
+    import codecs
+
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if raw.startswith(mark):
+            return name
+    sent = next((v for k, v in (headers or {}).items() if k.lower() == "content-type"), "")
+    named = [m[1] for m in re.finditer(r"(?i)charset\s*=\s*[\"']?([^\s;\"'/>]+)", sent)]
+    named += [m[1] for m in re.finditer(r"(?is)<meta[^>]*?charset\s*=\s*[\"']?([^\s;\"'/>]+)", raw[:1024].decode("latin-1"))]
+    for name in named:
+        try:
+            found = codecs.lookup(name).name
+        except LookupError:
+            continue
+        # Labels that browsers read as another encoding: ASCII and Latin-1 as windows-1252; a page that could be read for
+        # its meta element is not UTF-16.
+        return {"ascii": "cp1252", "iso8859-1": "cp1252", "utf-16": "utf-8", "utf-16-le": "utf-8", "utf-16-be": "utf-8"}.get(found, found)
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return "cp1252"
+    return "utf-8"
+
+
+def decoded(raw: bytes, headers: dict[str, str] | None = None) -> str:
+    return raw.decode(charset_of(raw, headers), "replace").removeprefix("\ufeff")
+
+
 class PageParser:
     """Fills one page's struct; ``scope`` is the audited site's key."""
 
@@ -96,7 +124,8 @@ class PageParser:
     def robots(self, source: str, agent: str, value: str) -> None:
         self._put("robots", MAX_ROBOTS, {"source": source, "agent": agent, "value": squeeze(value)[:MAX_TEXT]})
 
-    def parse(self, html: str, headers: dict[str, str] | None = None) -> dict:
+    def parse(self, html: str, headers: dict[str, str] | None = None, parts=("main", "structured")) -> dict:
+        """``parts``: what to look for beside the elements' own fields."""
         root = parse_html(html)
         base = next((n.attrs["href"] for n in root.walk() if n.tag == "base" and "href" in n.attrs), None)
         if base is not None:
@@ -113,7 +142,7 @@ class PageParser:
             elif name.lower() == "x-robots-tag":
                 agent, directives = header_robots(value)
                 self.robots("header", agent, directives)
-        return {**self.page, **main_content(root), **self._structured(root)}
+        return {**self.page, **(main_content(root) if "main" in parts else {}), **(self._structured(root) if "structured" in parts else {})}
 
     def _element(self, node: Node, headings) -> None:
         tag, a = node.tag, node.attrs
@@ -163,11 +192,8 @@ class PageParser:
                     continue
                 data.add_block("".join(c.text for c in node.children))
         data.add_microdata(root, self.base)
-        required, recommended, bad = data.property_lines()
-        crumbs = data.breadcrumbs()
-        lines = lambda kind: [f"{c['source']} {c['where']}: {line}" for c in crumbs for line in c[kind]]
         types = sorted({t for i in [*data.items, *data.micro] for t in i["types"]})
-        return {"schema_types": types, "schema_errors": data.errors, "schema_untyped": data.untyped, "schema_context": data.context, "schema_required": required, "schema_recommended": recommended, "schema_bad_urls": bad, "schema_truncated": data.truncated, "crumb_errors": lines("errors"), "crumb_issues": lines("issues"), "crumb_dups": lines("dups")}
+        return {"schema_types": types, "schema_errors": data.errors, "schema_untyped": data.untyped, "schema_context": data.context, "schema_truncated": data.truncated, "schema_items": data.item_facts(), "crumbs": data.crumb_facts()}
 
 
 MAX_BLOCKS = 50
@@ -190,13 +216,13 @@ def main_content(root: Node) -> dict:
     return {"main_text": re.sub(r"[ \t\r\n]+", " ", text).strip(), "text_bytes": total}
 
 
-def parse_page(url: str, html: str, scope: str | None = None, headers: dict[str, str] | None = None) -> dict:
+def parse_page(url: str, html: str | bytes, scope: str | None = None, headers: dict[str, str] | None = None, parts=("main", "structured")) -> dict:
     url = url or ""
-    return PageParser(url, site_key_of(url) if scope is None else scope).parse(html or "", headers)
+    return PageParser(url, site_key_of(url) if scope is None else scope).parse(decoded(html, headers) if isinstance(html, bytes) else html or "", headers, parts)
 
 
-def parse_pages(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", headers: str | None = None) -> DataFrame:
-    """``keep`` columns, ``url`` in normal form, its ``site``, and the struct fields of each page.
+def parse_pages(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", headers: str | None = None, fields=None) -> DataFrame:
+    """``keep`` columns, ``url`` in normal form, its ``site``, and the struct fields of each page (only ``fields``, if given).
 
     Each page is its own site's; the html column does not leave the Python worker."""
     import pyarrow as pa
@@ -205,7 +231,9 @@ def parse_pages(pages: DataFrame, keep: list[str], url: str = "url", html: str =
     from pyspark.sql.types import StructType
 
     wanted = [c for c in keep if c not in (url, "url", "site")]
-    schema = StructType([*pages.select(*wanted).schema.fields, *StructType.fromDDL(f"url string, site string, {STRUCT_FIELDS}").fields])
+    own = [f for f in StructType.fromDDL(STRUCT_FIELDS).fields if fields is None or f.name in fields]
+    parts = [name for name, has in (("main", {"main_text", "text_bytes"}), ("structured", {f.name for f in own if f.name.startswith(("schema_", "crumbs"))})) if has & {f.name for f in own}]
+    schema = StructType([*pages.select(*wanted).schema.fields, *StructType.fromDDL("url string, site string").fields, *own])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -214,14 +242,10 @@ def parse_pages(pages: DataFrame, keep: list[str], url: str = "url", html: str =
             for i in range(0, len(rows), 500):
                 out = []
                 for row in rows[i : i + 500]:
-                    own = try_normalize(row["__url"]) or (row["__url"] or "")
-                    site = site_key_of(own)
-                    out.append({**{c: row[c] for c in wanted}, "url": own, "site": site, **parse_page(own, row["__html"], site, dict(row.get("__headers") or {}))})
+                    own_url = try_normalize(row["__url"]) or (row["__url"] or "")
+                    site = site_key_of(own_url)
+                    out.append({**{c: row[c] for c in wanted}, "url": own_url, "site": site, **parse_page(own_url, row["__html"], site, dict(row.get("__headers") or {}), parts)})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     given = [F.col(url).alias("__url"), F.col(html).alias("__html"), *([F.col(headers).alias("__headers")] if headers else [])]
     return pages.select(*wanted, *given).mapInArrow(run, schema)
-
-
-def composed(text: str) -> str:
-    return unicodedata.normalize("NFC", text)
