@@ -13,6 +13,39 @@ from .rules import SEVERITIES
 FORMS = ("text", "detailed", "json", "html", "quick-wins")
 
 
+def number(low: int, high: int):
+    """A whole number from ``low`` to ``high``."""
+
+    def whole(text: str) -> int:
+        value = int(text)
+        if not low <= value <= high:
+            raise ValueError
+        return value
+
+    whole.__name__ = f"number from {low} to {high}"
+    return whole
+
+
+def start_address(text: str) -> str:
+    """A start URL in normal form; https where no scheme is given."""
+    from .functions.urls import BadUrl, normalize
+
+    bare = text.strip()
+    if not bare:
+        raise BadUrl("invalid")
+    return normalize(bare if "://" in bare else f"https://{bare}")
+
+
+def overrides(given: list[str]) -> dict[str, str]:
+    out = {}
+    for text in given:
+        rule, _, severity = text.partition("=")
+        if severity not in SEVERITIES:
+            raise ValueError(f"unknown severity in {text}")
+        out[rule] = severity
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pagequarry")
     sub = p.add_subparsers(dest="command", required=True)
@@ -25,7 +58,12 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--format", choices=FORMS, default="text")
     a.add_argument("--output")
     a.add_argument("--baseline")
+    a.add_argument("--diff", action="store_true", help="only the changes since the baseline")
     a.add_argument("--fail-on", choices=list(SEVERITIES))
+    a.add_argument("--other-fetches", help="fetch log of external links and of the start URL over http")
+    a.add_argument("--max-pages", type=number(1, 1_000_000))
+    a.add_argument("--max-depth", type=number(0, 1000))
+    a.add_argument("--severity", action="append", default=[], metavar="RULE=SEVERITY", help="another severity for a rule")
     d = sub.add_parser("diff", help="compare two saved reports")
     d.add_argument("baseline")
     d.add_argument("current")
@@ -53,9 +91,11 @@ def diff_text(diff: dict) -> str:
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
-    from .functions.urls import BadUrl, normalize
+    from .functions.urls import BadUrl
+    from .operators.findings import with_severity
     from .plans import report as reports
     from .plans.audit import audit
+    from .plans.stored_crawl import crawl_corpus
     from .sources.reports import load_report, report_findings
 
     try:
@@ -72,17 +112,28 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(diff, ensure_ascii=False) if args.json else diff_text(diff), end="\n" if args.json else "")
         return reports.EXIT_OK
     try:
-        start = normalize(args.start_url)
-    except BadUrl as e:
-        print(f"start URL: {e}", file=sys.stderr)
+        start, severities = start_address(args.start_url), overrides(args.severity)
+    except (BadUrl, ValueError) as e:
+        print(f"invalid argument: {e}", file=sys.stderr)
+        return reports.EXIT_USAGE
+    if args.diff and not args.baseline:
+        print("--diff needs --baseline", file=sys.stderr)
         return reports.EXIT_USAGE
     read = lambda p: spark.read.parquet(p) if p else None
-    corpus = read(args.corpus)
-    result = audit(corpus, start, [k.strip() for k in args.keywords.split(",") if k.strip()], read(args.robots), read(args.sitemaps))
-    report = reports.build_report(result, start)
+    corpus, robots_files = read(args.corpus), read(args.robots)
+    reason, skipped = "completed", {}
+    if args.max_pages is not None or args.max_depth is not None:
+        limits = {k: v for k, v in (("max_pages", args.max_pages), ("max_depth", args.max_depth)) if v is not None}
+        crawled = crawl_corpus(corpus, start, robots_files=robots_files, **limits)
+        corpus, reason, skipped = crawled.corpus, crawled.stop_reason, crawled.skip_counts()
+    result = audit(corpus, start, [k.strip() for k in args.keywords.split(",") if k.strip()], robots_files, read(args.sitemaps), read(args.other_fetches))
+    if severities:
+        result.findings = with_severity(result.findings, severities)
+    report = reports.build_report(result, start, reason, skipped)
     text = reports.render(report, args.format)
     if args.baseline:
-        text += diff_text(reports.compare(result.findings, report_findings(load_report(spark, args.baseline))))
+        changes = diff_text(reports.compare(result.findings, report_findings(load_report(spark, args.baseline))))
+        text = changes if args.diff else text + changes
     if args.output:
         path = Path(args.output)
         path.touch(mode=0o600)
@@ -90,7 +141,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         sys.stdout.write(text)
     failed = corpus.where((F.col("url") == start) & (F.coalesce("error", F.lit("")) != "")).limit(1).count() > 0
-    return reports.exit_code(report, args.fail_on, failed)
+    return reports.exit_code(report, args.fail_on, failed or reason == "start-disallowed")
 
 
 if __name__ == "__main__":

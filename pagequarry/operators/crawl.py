@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import is_resource_url
 from ..storage import save
 from .traps import admitted
 
@@ -67,6 +68,27 @@ def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_d
     return pages, save(skipped)
 
 
+def followed_links(pages: DataFrame) -> DataFrame:
+    """(site, source, target): what a crawl of ``pages`` (site, url, links, images) follows: links inside the site and its
+    own images, each target once."""
+    own = lambda field, place: F.transform(F.filter(field, lambda x: ~x["external"] & (x[place] != "")), lambda x: x[place])
+    targets = F.array_distinct(F.concat(own("links", "url"), own("images", "src")))
+    return pages.select("site", F.col("url").alias("source"), F.explode(targets).alias("target"))
+
+
+def request_method(url: Column) -> Column:
+    """Files other than pages are only asked for their head."""
+    return F.when(is_resource_url(url), "HEAD").otherwise("GET")
+
+
+def stop_reasons(pages: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(site, pages, stop_reason): why a site's crawl ended: its page limit, its depth limit, or nothing left to follow."""
+    counts = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    hit = skipped.groupBy("site").agg(F.max((F.col("reason") == "max-pages").cast("int")).alias("full"), F.max((F.col("reason") == "max-depth").cast("int")).alias("deep"))
+    reason = F.when(F.col("full") == 1, "max-pages").when(F.col("deep") == 1, "max-depth").otherwise("completed")
+    return counts.join(hit, "site", "left").select("site", "pages", reason.alias("stop_reason"))
+
+
 def skip_counts(skipped: DataFrame) -> DataFrame:
     return skipped.groupBy("site", "reason").agg(F.count(F.lit(1)).alias("n"))
 

@@ -18,16 +18,16 @@ def lines(*parts) -> Column:
     return F.array(*cols).cast("array<string>") if cols else F.array().cast("array<string>")
 
 
-def limited(evidence: Column) -> Column:
-    """At most MAX_EVIDENCE lines of MAX_EVIDENCE_CHARS, and how many more there are."""
+def limited(evidence: Column, total: Column | None = None) -> Column:
+    """At most MAX_EVIDENCE lines of MAX_EVIDENCE_CHARS, and how many more there are (of ``total``)."""
     short = F.transform(F.slice(evidence, 1, MAX_EVIDENCE), lambda x: shortened(x, MAX_EVIDENCE_CHARS))
-    more = F.size(evidence) - MAX_EVIDENCE
+    more = (F.size(evidence) if total is None else total) - MAX_EVIDENCE
     return F.when(more > 0, F.concat(short, F.array(F.concat(F.lit("... and "), more.cast("string"), F.lit(" more"))))).otherwise(short)
 
 
-def finding(group: str, rule: str, url: Column, evidence: Column | None = None, when: Column | None = None) -> Column:
+def finding(group: str, rule: str, url: Column, evidence: Column | None = None, when: Column | None = None, total: Column | None = None) -> Column:
     """A finding struct, null unless ``when``."""
-    body = F.struct(F.lit(group).alias("grp"), F.lit(rule).alias("id"), url.alias("url"), limited(evidence if evidence is not None else lines()).alias("evidence"))
+    body = F.struct(F.lit(group).alias("grp"), F.lit(rule).alias("id"), url.alias("url"), limited(evidence if evidence is not None else lines(), total).alias("evidence"))
     return body if when is None else F.when(when, body)
 
 
@@ -52,6 +52,19 @@ def at_least(found: DataFrame, severity: str) -> DataFrame:
     return found.where(F.col("severity") >= SEVERITIES[severity])
 
 
+def with_severity(found: DataFrame, overrides: dict[str, str]) -> DataFrame:
+    """``found`` (as of ``with_rules``) with other severities for some rules."""
+    name = F.coalesce(*[F.when(F.col("id") == rule, severity) for rule, severity in overrides.items()], F.col("severity_name"))
+    rank = F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])
+    return found.withColumn("severity_name", name).withColumn("severity", rank[F.col("severity_name")].cast("int"))
+
+
+def worst_by_group(found: DataFrame) -> DataFrame:
+    """(grp, n, severity, severity_name): each group's number of findings and worst severity."""
+    worst = found.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("severity", "severity_name")).alias("w"))
+    return worst.select("grp", "n", "w.severity", "w.severity_name")
+
+
 def severity_counts(found: DataFrame) -> DataFrame:
     """(severity_name, n) of all five levels."""
     spark = found.sparkSession

@@ -61,9 +61,20 @@ def link_metrics(pages: DataFrame) -> DataFrame:
     return pages.select("url").distinct().join(into, "url", "left").join(out, "url", "left").select("url", zero("inbound"), zero("outbound"))
 
 
-def external_urls(pages: DataFrame, most: int = 100) -> DataFrame:
-    """The first ``most`` distinct external targets, by URL."""
-    return pages.select(F.explode("links").alias("x")).where("x.external and x.url <> ''").select("x.url").distinct().orderBy("url").limit(most)
+MAX_EXTERNAL = 100
+
+
+def external_urls(pages: DataFrame, most: int = MAX_EXTERNAL) -> DataFrame:
+    """The ``most`` distinct external targets that come first, by the page's depth and URL and the link's place."""
+    rows = pages.select("depth", F.col("url").alias("page"), F.posexplode("links").alias("pos", "x")).where("x.external and x.url <> ''")
+    first = rows.groupBy(F.col("x.url").alias("url")).agg(F.min(F.struct("depth", "page", "pos")).alias("at"))
+    return first.orderBy("at", "url").limit(most).select("url")
+
+
+def external_findings(pages: DataFrame, log: DataFrame) -> DataFrame:
+    """External targets that ``log`` (url, status, error) shows to fail; targets that it lacks were not asked for."""
+    failed = log.where((F.coalesce("error", F.lit("")) != "") | (F.col("status") >= 400)).select("url").distinct()
+    return spread(external_urls(pages).join(failed, "url", "left_semi"), finding("internal-linking", "SEO-LINK-008", F.col("url")))
 
 
 def failed_images(pages: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Prefixes in order of precedence, by class.
@@ -68,6 +68,21 @@ def is_permitted(ip_class: Column, allow_private: bool = False) -> Column:
     return ip_class.isin(*(WITH_PRIVATE if allow_private else ("public",)))
 
 
+def host_class(host: Column) -> Column:
+    """loopback for names that always mean the local machine, else null; addresses are for ``classify``."""
+    bare = F.regexp_replace(F.lower(host), r"\.$", "")
+    return F.when((bare == "localhost") | bare.endswith(".localhost"), "loopback")
+
+
+def host_verdicts(resolved: DataFrame, allow_private: bool = False) -> DataFrame:
+    """(host, permitted, blocked_class) of rows (host, ip), a row for each address of a host (null: none found).
+
+    A host is refused if its name is, or if any of its addresses is; the class named is the least of those."""
+    rows = classify(resolved.where("ip is not null"), "ip").select("host", F.when(~is_permitted(F.col("ip_class"), allow_private), F.col("ip_class")).alias("blocked"))
+    named = resolved.select("host", (F.lit(None).cast("string") if allow_private else host_class(F.col("host"))).alias("blocked"))
+    return rows.union(named).groupBy("host").agg(F.min("blocked").alias("blocked_class")).select("host", F.col("blocked_class").isNull().alias("permitted"), "blocked_class")
+
+
 def error_kind(error: Column) -> Column:
     """One of ERROR_KINDS from an error's text; empty without an error."""
     low = F.lower(error)
@@ -94,7 +109,3 @@ def spaced_starts(requests: DataFrame, key: str, at: str, order: list[str], inte
     n = F.row_number().over(w)
     lead = F.max(F.col(at) - F.col("n_") * interval).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return requests.withColumn("n_", n).withColumn("start", F.col("n_") * interval + lead).drop("n_")
-
-
-def prefixes_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(prefix_rows(), "ord int, version int, low string, high string, kind string")

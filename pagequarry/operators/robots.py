@@ -27,12 +27,13 @@ def rules_for(rules: DataFrame, agents: DataFrame) -> DataFrame:
     """(origin, asked, allow, pattern, line): the rules of the groups that name the asked agent's token, else of ``*``.
 
     ``rules``: origin, agent, allow, pattern, line, a row for each agent of a group, pattern null where a group has no
-    rule; ``agents``: asked.  Agents are a few, so they are broadcast."""
-    named = rules.crossJoin(F.broadcast(agents.select(F.lower("asked").alias("asked"))))
-    own = named.where("asked <> '*' and agent <> '*'").where(agent_token(F.col("agent")) == F.col("asked"))
+    rule; ``agents``: origin, asked."""
+    asked = agents.select("origin", F.lower("asked").alias("asked")).distinct()
+    keyed = rules.withColumn("token", F.when(F.col("agent") != "*", agent_token(F.col("agent"))))
+    own = keyed.join(asked.withColumnRenamed("asked", "token").where("token <> '*'"), ["origin", "token"]).withColumn("asked", F.col("token"))
     has = own.select("origin", "asked").distinct()
-    rest = named.where("agent = '*'").join(has, ["origin", "asked"], "left_anti")
-    return own.unionByName(rest).where("pattern is not null").select("origin", "asked", "allow", "pattern", "line")
+    rest = rules.where("agent = '*'").join(asked.join(has, ["origin", "asked"], "left_anti"), "origin")
+    return own.select("origin", "asked", "allow", "pattern", "line").unionByName(rest.select("origin", "asked", "allow", "pattern", "line")).where("pattern is not null")
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

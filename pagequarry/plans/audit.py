@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import canonical, checks, duplicates, findings, hreflang, links, terms
+from ..operators import canonical, checks, duplicates, findings, hreflang, links, structured, terms
 from ..operators.crawl import is_html
 from ..sources.html import parse_pages
 from ..storage import save
@@ -26,9 +26,10 @@ class Audit:
     scores: DataFrame
 
 
-def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None, robots_files: DataFrame | None = None, sitemap_files: DataFrame | None = None) -> Audit:
+def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None, robots_files: DataFrame | None = None, sitemap_files: DataFrame | None = None, other_fetches: DataFrame | None = None) -> Audit:
     """``corpus``: url (requested), depth, status, error, redirects, final_url, content_type, headers (map), html;
-    ``robots_files``: url, final_url, status, error, body; ``sitemap_files``: url, status, error, body.
+    ``robots_files``: url, final_url, status, error, body; ``sitemap_files``: url, status, error, body; ``other_fetches``:
+    url, status, error, redirects, final_url of external links and of the start URL over http.
 
     One site.  HTML is parsed once and written; every analysis reads the parsed columns that it needs."""
     fetched = corpus.select("url", "depth", "status", F.coalesce("error", F.lit("")).alias("error"), "redirects", "final_url", "content_type", "headers")
@@ -49,11 +50,13 @@ def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None,
         findings.finding("crawlability", "SEO-HTTP-003", F.col("url"), when=F.col("parsed").isNull() & (F.col("error") == "") & is_html(F.col("status"), F.col("content_type"))),
     )
     hygiene = fetched.where("status > 0").select(F.coalesce("final_url", "url").alias("url"), "headers", "depth").withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
+    # In the link graph a parsed page stands where its redirects ended, any other fetch where it began.
+    in_graph = pages.select("url", F.lit(False).alias("failed")).union(fetched.join(pages.select(F.col("requested").alias("url")), "url", "left_anti").select("url", "failed"))
     text = indexable.select("url", F.col("main_text").alias("text"))
     counts = save(terms.term_counts(text, "url", "text"))
     exact = duplicates.exact_groups(text, "url", "text")
-    near = duplicates.leader_groups(duplicates.near_pairs(duplicates.document_simhash(duplicates.representatives(text, "url", "text"), "url", "text"), "url"))
-    group = lambda rows, rule: findings.spread(rows, findings.finding("content", rule, F.col("representative"), F.col("duplicates")))
+    near = duplicates.leader_groups(duplicates.near_pairs(duplicates.document_simhash(duplicates.representatives(text, "url", "text"), "url"), "url"))
+    group = lambda rows, rule: findings.spread(duplicates.listed(rows), findings.finding("content", rule, F.col("representative"), F.col("duplicates"), total=F.col("n")))
     common = findings.spread(terms.common_terms(counts, F.lit(n)), findings.finding("content", "SEO-TERMS-001", F.lit(""), findings.lines(F.concat("term", F.lit(" (site strength "), "strength", F.lit(")")))))
     specific = findings.spread(terms.page_specific(counts, "url"), findings.finding("content", "SEO-TERMS-002", F.col("url"), F.col("terms")))
     profile = findings.spread(terms.duplicate_profiles(counts, "url"), findings.finding("content", "SEO-TERMS-003", F.col("url")))
@@ -78,13 +81,15 @@ def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None,
         common,
         specific,
         profile,
-        checks.structured_findings(pages),
-        links.link_findings(pages, fetched),
+        structured.structured_findings(pages),
+        links.link_findings(pages, in_graph),
         links.failed_images(pages, fetched),
         hreflang.failed_alternates(pages, fetched),
         checks.hygiene_findings(hygiene, "depth"),
         checks.mixed_content(pages),
     ]
+    if other_fetches is not None:
+        parts += [links.external_findings(pages, other_fetches), checks.upgrade_findings(start_url, other_fetches)]
     if robots_files is not None:
         parsed_robots = save(site_files.read_robots(robots_files))
         parts.append(site_files.robots_part(parsed_robots, start_url))

@@ -79,13 +79,15 @@ def render_text(report: dict, detailed: bool = False) -> str:
     out = [f"Audit of {s['start_url']}: {s['pages']} pages, " + ", ".join(f"{n} {name}" for name, n in s["findings"].items() if n)]
     if report["scores"]:
         out.append(f"Scores: SEO {report['scores']['seo']}, web hygiene {report['scores']['web_hygiene']}")
+    if s["stop_reason"] != "completed" or s["skipped"]:
+        out.append(f"Crawl stopped: {s['stop_reason']}" + "".join(f"; {n} {reason}" for reason, n in skipped_rows(report)))
     for title, lines in zip(("Strengths", "Weaknesses"), highlights(report), strict=True):
         out += [f"{title}:"] + [f"  {x}" for x in lines] if lines else []
     for group in GROUPS:
         shown = {True: 0, False: 0}
         fs = report["findings"].get(group, [])
         if fs:
-            out.append(f"\n{CATEGORIES[group]} ({len(fs)})")
+            out.append(f"\n{CATEGORIES[group]} ({len(fs)}, worst: {worst_of(fs)})")
         for f in fs:
             weighty = SEVERITIES[f["severity"]] >= SEVERITIES["medium"]
             shown[weighty] += 1
@@ -99,18 +101,39 @@ def render_text(report: dict, detailed: bool = False) -> str:
 
 
 def instruction(f: dict) -> str:
-    """What to do about one finding, in words that can be handed on."""
-    told = "; ".join(f["evidence"])
-    return f"{f['id']} ({f['severity']}, {f['category']}) on {f['url'] or 'the whole site'}: {f['title']}." + (f" Seen: {told}." if told else "") + f" {f['recommendation']}"
+    """What to do about one finding, in words that can be handed on: to whoever edits the page, or, for findings of no
+    single page, the site's templates and settings."""
+    told = "".join(f"\n- {line}" for line in f["evidence"])
+    place = f"Change the page {f['url']}" if f["url"] else "Change the site's templates or settings, not single pages"
+    return f"{place}: {f['recommendation']} Reason: {f['title']} ({f['id']}, {f['severity']}, {f['category']})." + (f" Seen:{told}" if told else "")
+
+
+def skipped_rows(report: dict) -> list[tuple[str, int]]:
+    """(reason, URLs) in order of reason."""
+    return sorted(report["summary"]["skipped"].items())
+
+
+def severity_sections(report: dict) -> list[tuple[str, list[dict]]]:
+    """Severities from the worst, those without findings left out, with their findings in order of group."""
+    every = [f for g in GROUPS for f in report["findings"].get(g, [])]
+    order = sorted(SEVERITIES, key=SEVERITIES.get, reverse=True)
+    return [(s, own) for s in order if (own := [f for f in every if f["severity"] == s])]
+
+
+def worst_of(findings_: list[dict]) -> str:
+    return max((f["severity"] for f in findings_), key=SEVERITIES.get, default="")
 
 
 def render_html(report: dict, wins_only: bool = False) -> str:
     e = html.escape
-    fs = [f for g in GROUPS for f in report["findings"].get(g, []) if not wins_only or f["id"] in report["quick_wins"]]
-    body = "".join(f"<li class='{e(f['severity'])}'><b>{e(f['id'])}</b> {e(_clean(f['title']))} <code>{e(_clean(f['url']))}</code><p>{e(_clean(instruction(f)))}</p></li>" for f in fs)
+    item = lambda f: f"<li class='{e(f['severity'])}'><b>{e(f['id'])}</b> {e(_clean(f['title']))} <code>{e(_clean(f['url']))}</code><pre>{e(_clean(instruction(f)))}</pre></li>"
+    sections = [(s, [f for f in fs if not wins_only or f["id"] in report["quick_wins"]]) for s, fs in severity_sections(report)]
+    body = "".join(f"<section id='{e(s)}'><h3>{e(s)} ({len(fs)})</h3><ol>{''.join(map(item, fs))}</ol></section>" for s, fs in sections if fs)
+    groups = "".join(f"<tr><td>{e(CATEGORIES[g])}</td><td>{len(fs)}</td><td>{e(worst_of(fs))}</td></tr>" for g in GROUPS if (fs := report["findings"].get(g)))
+    skipped = "".join(f"<tr><td>{e(reason)}</td><td>{n}</td></tr>" for reason, n in skipped_rows(report))
     good, bad = highlights(report)
     listed = lambda xs: "<ul>" + "".join(f"<li>{e(_clean(x))}</li>" for x in xs) + "</ul>"
-    return f"<!doctype html><meta charset='utf-8'><title>Audit</title><h1>{e(report['summary']['start_url'])}</h1><h2>Strengths</h2>{listed(good)}<h2>Weaknesses</h2>{listed(bad)}<h2>Findings</h2><ol>{body}</ol>\n"
+    return f"<!doctype html><meta charset='utf-8'><title>Audit</title><h1>{e(report['summary']['start_url'])}</h1><h2>Strengths</h2>{listed(good)}<h2>Weaknesses</h2>{listed(bad)}<h2>Groups</h2><table>{groups}</table><h2>Findings</h2>{body}<h2>Not fetched</h2><p>Stopped: {e(report['summary']['stop_reason'])}</p><table>{skipped}</table>\n"
 
 
 def render(report: dict, form: str = "text") -> str:

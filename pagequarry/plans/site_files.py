@@ -42,14 +42,13 @@ def robots_part(parsed: DataFrame, start_url: str) -> DataFrame:
     agents = parsed.sparkSession.createDataFrame([(a,) for a in (*robots.AGENTS, PRODUCT)], "asked string")
     start = F.lit(start_url)
     asked = agents.select(robots_address(start).alias("origin"), "asked", request_path(start).alias("path"), start.alias("start"))
-    return robots.robots_findings(parsed, robots.allowed(asked, robots.rules_for(rule_rows(parsed), agents)), PRODUCT)
+    return robots.robots_findings(parsed, robots.allowed(asked, robots.rules_for(rule_rows(parsed), asked)), PRODUCT)
 
 
 def disallowed_urls(urls: DataFrame, parsed: DataFrame, agent: str = PRODUCT) -> DataFrame:
     """(url): those that their robots.txt keeps ``agent`` from; where it is unavailable, all."""
-    agents = parsed.sparkSession.createDataFrame([(agent,)], "asked string")
     asked = urls.select("url").distinct().select("url", robots_address(F.col("url")).alias("origin"), F.lit(agent).alias("asked"), request_path(F.col("url")).alias("path"))
-    shut = robots.allowed(asked, robots.rules_for(rule_rows(parsed), agents)).where("not allowed").select("url")
+    shut = robots.allowed(asked, robots.rules_for(rule_rows(parsed), asked)).where("not allowed").select("url")
     down = asked.join(parsed.where("outcome in ('unavailable', 'blocked')").select(F.col("url").alias("origin")), "origin", "left_semi").select("url")
     return shut.union(down).distinct()
 

@@ -18,3 +18,9 @@ def windowed_tallies(events: DataFrame, every: str = "10 minutes", late: str = "
 def first_fetches(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
     """Each key once, within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def tallies(events: DataFrame) -> DataFrame:
+    """(event_type, n, users) of a whole log, or of a stream in complete or update mode with ``users`` estimated."""
+    users = F.approx_count_distinct("user_id") if events.isStreaming else F.count_distinct("user_id")
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), users.alias("users"))
