@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from urllib.parse import urljoin
+
 from .functions.text import STOP_LIST
 from .functions.urls import RESOURCE_EXTENSIONS
 from .operators.network import prefix_rows
 from .rules import GROUPS, PENALTIES, SEVERITIES, rule_rows
+from .sample_site import ORIGIN, PAGES, START, expected
 from .samples import values_sql
 from .sources.structured import GENERAL, RECOMMENDED, REQUIRED
 
@@ -13,20 +18,20 @@ from .sources.structured import GENERAL, RECOMMENDED, REQUIRED
 
 
 def tokens_sql(text: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: length(t) <= 40 AND t NOT IN ({STOP_LIST}))"
+    return f"list_filter(regexp_extract_all(lower(nfc_normalize(coalesce({text}, ''))), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: length(t) <= 40 AND t NOT IN ({STOP_LIST}))"
 
 
 TOK = f"tok AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents)"
 GRAM = f"""{TOK}, gram AS (
   SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM tok), range(1, 4) AS r(k) WHERE i + k - 1 <= len(w)
 )"""
-UNI = f"{TOK}, cnt AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY ALL)"
-DF = "freq AS (SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY term)"
+UNI = f"{TOK}, cnt AS MATERIALIZED (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY ALL)"
+DF = "freq AS MATERIALIZED (SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY term)"
 DOMINANT = "dom AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM cnt) WHERE rank <= 10)"
 WEIGHED = f"""{UNI}, {DF}, total AS (SELECT count(*) AS docs FROM documents), weighed AS (
   SELECT doc_id, cnt.term, (1 + ln(n)) * (1 + ln((1 + docs) / (1 + df))) AS v FROM cnt JOIN freq USING (term), total
 )"""
-SITE = f"{WEIGHED}, site AS (SELECT term, sum(v) / any_value(docs) AS v FROM weighed, total GROUP BY term), strong AS (SELECT term, floor(v / max(v) OVER () * 1000 + 0.5) / 10 AS strength FROM site)"
+SITE = f"{WEIGHED}, site AS MATERIALIZED (SELECT term, sum(v) / any_value(docs) AS v FROM weighed, total GROUP BY term), strong AS MATERIALIZED (SELECT term, floor(v / (SELECT max(v) FROM site) * 1000 + 0.5) / 10 AS strength FROM site)"
 
 _TEXT = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
@@ -96,11 +101,28 @@ PAIRS = f"{HASHES}, pair AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(
 
 GRAPH = """c AS (SELECT c_custkey AS i, (SELECT count(*) FROM customer) AS n FROM customer),
 page AS (SELECT i, 'https://s.test/' || i AS url, i % 5 <> 0 AS indexable, i = 1 AS is_start, i % 11 = 0 AS failed FROM c),
-link AS (SELECT 'https://s.test/' || i AS source, k, 'https://s.test/' || ((i + (k * 3 - 1) + 1) % n) AS target, (i + (k * 3 - 1)) % 7 = 0 AS nofollow, 'anchor ' || ((i + (k * 3 - 1) + 1) % 50) AS anchor, i % 5 <> 0 AS indexable
-  FROM c, range(20) AS r(k) WHERE (i + 1) % (k + 1) = 0),
+link AS (SELECT 'https://s.test/' || i AS source, k, 'https://s.test/' || ((i + k) % n) AS target, (i + k - 1) % 7 = 0 AS nofollow, 'anchor ' || ((i + k) % 50) AS anchor, i % 5 <> 0 AS indexable FROM c, range(20) AS r(k)),
 uniq AS (SELECT * FROM link QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY k) = 1),
 inb AS (SELECT target AS url, count(*) AS n FROM uniq WHERE indexable AND NOT nofollow AND source <> target AND target IN (SELECT url FROM page) GROUP BY target)"""
 
+CRAWL_DEPTH, CRAWL_PAGES = 10, 500
+
+
+def crawled(with_robots: bool) -> str:
+    """A breadth-first crawl with the default limits, a level for each depth: levelK (url), judgedK (url, reason)."""
+    name = "'https://s.test/' || translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
+    out = [f"""c AS (SELECT c_custkey AS i, (SELECT count(*) FROM customer) AS n FROM customer), shut AS (SELECT {name.format("i")} AS url FROM c WHERE {"i % 11 = 0" if with_robots else "false"}),
+link AS MATERIALIZED (SELECT {name.format("i")} AS source, {name.format("((3 * i + j + 1) % n)")} AS target FROM c, range(20) AS r(j)), level0 AS (SELECT {name.format("1")} AS url)"""]
+    for k in range(1, CRAWL_DEPTH + 2):
+        seen = " UNION ALL ".join(["SELECT url FROM level0", *(f"SELECT url FROM judged{m}" for m in range(1, k))])
+        pages = " + ".join(f"(SELECT count(*) FROM level{m})" for m in range(k))
+        new = f"SELECT DISTINCT target AS url FROM level{k - 1} JOIN link ON source = url WHERE target NOT IN ({seen})"
+        reason = f"CASE WHEN url IN (SELECT url FROM shut) THEN 'robots-disallowed' WHEN row_number() OVER (PARTITION BY url IN (SELECT url FROM shut) ORDER BY url) > {CRAWL_PAGES} - ({pages}) THEN 'max-pages' END" if k <= CRAWL_DEPTH else "'max-depth'"
+        out.append(f"judged{k} AS MATERIALIZED (SELECT url, {reason} AS reason FROM ({new}))")
+        out.append(f"level{k} AS MATERIALIZED (SELECT url FROM judged{k} WHERE reason IS NULL)")
+    return ", ".join(out)
+
+
 _FETCHED = values_sql("fetched")
 TARGETS = f"""{_FETCHED}, states AS (
   SELECT p.url, p.canonical,
@@ -126,6 +148,24 @@ ZONES = f"""{URL}, zone AS (
   UNION ALL SELECT page_id, 1, false, false, {tokens_sql(MAIN)} FROM u
 ), cnt AS (SELECT page_id, term, sum(w) AS n, bool_or(meta) AS meta, bool_or(heading) AS heading FROM (SELECT page_id, w, meta, heading, unnest(ts) AS term FROM zone) GROUP BY ALL)"""
 
+def site_crawl(most: int) -> Counter:
+    """What ``audit_crawl`` reports, by a plain walk over the sample site's pages (SQL has no HTML)."""
+    html = {ORIGIN + p["path"]: p["html"] for p in PAGES if p["status"] == 200 and p["html"]}
+    asked = {ORIGIN + p["path"] for p in PAGES}
+    level, seen, depth, taken, out = [START], {START}, 0, 1, Counter({"depth 0": 1})
+    while level:
+        found = {urljoin(url, ref) for url in level for ref in re.findall(r'<(?:a href|img src)="([^"]+)"', html.get(url, ""))}
+        new = sorted(u for u in found - seen if u.partition("://")[2].startswith("site.test"))
+        seen.update(new)
+        depth += 1
+        free = [u for u in new if u != f"{ORIGIN}/orphan"]
+        level = free[: most - taken]
+        taken += len(level)
+        out.update({f"depth {depth}": len(asked.intersection(level)), "skipped robots-disallowed": len(new) - len(free), "skipped max-pages": len(free) - len(level)})
+    out[f"stopped {'max-pages' if out['skipped max-pages'] else 'completed'}"] = sum(n for what, n in out.items() if what.startswith("depth"))
+    return +out
+
+
 ORACLES: dict[str, str] = {
     # text
     "weak_terms": f"""WITH {ZONES}, freq AS (SELECT term, count(*) AS df FROM cnt GROUP BY term), total AS (SELECT count(*) AS docs FROM pages),
@@ -142,14 +182,14 @@ SELECT row_number() OVER (ORDER BY tier, strength, term) AS rank, term, strength
     "site_wide_terms": f"WITH {UNI}, {DF}, total AS (SELECT count(*) AS docs FROM documents) SELECT term, df, freq.total, format('{{:.1f}}%', floor(df / docs * 1000 + 0.5) / 10) AS strength FROM freq, total WHERE df / docs >= 0.1 ORDER BY df DESC, freq.total DESC, term LIMIT 20",
     "tfidf_page_top20": f"WITH {WEIGHED}, s AS (SELECT doc_id, term, floor(v / max(v) OVER (PARTITION BY doc_id) * 1000 + 0.5) / 10 AS strength FROM weighed) SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY strength DESC, term) AS rank, term, strength FROM s) WHERE rank <= 20",
     "tfidf_site_top20": f"WITH {SITE} SELECT term, strength FROM strong ORDER BY strength DESC, term LIMIT 20",
-    "keyword_strength": f"WITH {SITE}, top AS (SELECT term, strength FROM strong ORDER BY strength DESC, term LIMIT 20), asked(term) AS (VALUES ('licensed'), ('apache license'), ('missingword')) SELECT term, strength FROM top UNION ALL SELECT asked.term, coalesce(strength, 0.0) FROM asked LEFT JOIN strong USING (term) WHERE asked.term NOT IN (SELECT term FROM top)",
+    "keyword_strength": f"WITH {SITE}, top AS MATERIALIZED (SELECT term, strength FROM strong ORDER BY strength DESC, term LIMIT 20), asked(term) AS (VALUES ('licensed'), ('apache license'), ('missingword')) SELECT term, strength FROM top UNION ALL SELECT asked.term, coalesce(strong.strength, 0.0) FROM asked LEFT JOIN strong USING (term) LEFT JOIN top ON top.term = asked.term WHERE top.term IS NULL",
     "page_specific_terms": f"WITH {UNI}, {DF}, {DOMINANT} SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS terms FROM dom JOIN freq USING (term) WHERE df <= 1 GROUP BY doc_id",
     "duplicate_profiles": f"WITH {UNI}, {DOMINANT}, sig AS (SELECT doc_id, string_agg(term, '|' ORDER BY rank) AS profile FROM dom GROUP BY doc_id) SELECT doc_id, profile FROM (SELECT *, min(doc_id) OVER (PARTITION BY profile) AS first FROM sig) WHERE doc_id > first",
     "keyword_predicate": f"WITH {values_sql('terms')}, w AS (SELECT term, string_split(term, ' ') AS ws FROM terms), l AS (SELECT term, list_transform(ws, lambda x: length(regexp_replace(x, '\\P{{L}}', '', 'g'))) AS ls, list_transform(ws, lambda x: length(x)) AS ns FROM w) SELECT term, list_min(ls) > 0 AND list_min(ns) >= 2 AND len(list_filter(list_zip(ls, ns), lambda z: z[1] >= 3 OR (z[2] >= 3 AND z[1] >= 2))) > 0 AS is_keyword FROM l",
     "evidence_text": "SELECT doc_id, CASE WHEN length(text) > 300 THEN text[1:299] || '…' ELSE text END AS line FROM documents",
     "gram_counts": f"WITH {TOK} SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) = 1 THEN 1 ELSE 3 * len(w) - 3 END AS n_grams FROM tok",
     # duplicates
-    "exact_duplicates": f"WITH {TOK}, d AS (SELECT sha256(text) AS sha, doc_id FROM documents JOIN tok USING (doc_id) WHERE len(w) > 0), g AS (SELECT list(doc_id ORDER BY doc_id) AS ids FROM d GROUP BY sha HAVING count(*) > 1) SELECT ids[1] AS representative, array_to_string(ids[2:], ',') AS duplicates FROM g",
+    "exact_duplicates": f"WITH {TOK}, d AS (SELECT sha256(text) AS sha, doc_id FROM documents JOIN tok USING (doc_id) WHERE len(w) > 0), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha) AS representative FROM d) SELECT representative, doc_id AS duplicate FROM g WHERE doc_id > representative",
     "fnv1a_tokens": f"WITH {TOK}, t AS (SELECT DISTINCT unnest(w) AS token FROM tok) SELECT token, lpad(lower(to_hex(CAST({FNV.format('token')} AS UBIGINT))), 16, '0') AS fnv FROM t",
     "simhash_documents": f"WITH {HASHES} SELECT doc_id, lpad(lower(to_hex(h)), 16, '0') AS simhash FROM sim",
     "near_duplicate_pairs": f"WITH {PAIRS} SELECT a, b, CAST(distance AS BIGINT) AS distance FROM pair",
@@ -173,9 +213,9 @@ SELECT trap, count(*) AS n, min(url) AS first_url FROM j GROUP BY trap""",
     "duplicate_h1": f"WITH {PAGE}, g AS (SELECT lower(h1) AS h, list(url ORDER BY url) AS urls FROM page WHERE h1 <> '' GROUP BY 1 HAVING count(*) > 1), m AS (SELECT h, urls, unnest(urls) AS url FROM g) SELECT url, {QUOTED.format('h')} AS h1, array_to_string([{QUOTED.format('h')}] || list_transform(list_filter(urls[1:21], lambda x: x <> url), lambda x: 'also on ' || x), '|') AS evidence FROM m",
     "page_lang_counts": f"WITH {PAGE} SELECT lang, count(*) AS n FROM page GROUP BY lang",
     "page_links": f"WITH {LINKS} SELECT page_id, pos, target AS url, anchor FROM link",
-    "outbound_counts": f"WITH {LINKS}, o AS (SELECT url, count(DISTINCT target) AS n FROM link WHERE target <> url GROUP BY url) SELECT DISTINCT u.url, coalesce(n, 0) AS outbound FROM u LEFT JOIN o USING (url)",
+    "outbound_counts": f"WITH {LINKS}, o AS (SELECT url, count(DISTINCT target) AS n FROM link WHERE target <> url GROUP BY url), i AS (SELECT target AS url, count(DISTINCT link.url) AS m FROM link WHERE target <> link.url GROUP BY target) SELECT DISTINCT u.url, coalesce(m, 0) AS inbound, coalesce(n, 0) AS outbound FROM u LEFT JOIN o USING (url) LEFT JOIN i USING (url)",
     "anchor_reuse_page": f"WITH {LINKS} SELECT url, lower(anchor) AS anchor, count(*) AS n, count(DISTINCT target) AS targets FROM link WHERE anchor <> '' AND NOT regexp_matches(lower(target), '\\.({'|'.join(RESOURCE_EXTENSIONS)})$') GROUP BY 1, 2 HAVING count(DISTINCT target) >= 2",
-    "anchor_reuse_site": f"WITH {LINKS} SELECT lower(anchor) AS anchor, count(DISTINCT target) AS targets FROM link GROUP BY 1 HAVING count(DISTINCT target) >= 2",
+    "anchor_reuse_site": f"WITH {LINKS} SELECT lower(anchor) AS anchor, count(DISTINCT target) AS targets FROM link WHERE trim(anchor) <> '' GROUP BY 1 HAVING count(DISTINCT target) >= 2",
     "page_findings": f"""WITH {PAGE}, {RULE}, k(id, n, grp) AS (
   SELECT CASE WHEN title = '' THEN 'SEO-TITLE-002' WHEN length(title) < 15 THEN 'SEO-TITLE-005' ELSE 'SEO-TITLE-006' END, count(*), 'metadata' FROM page WHERE length(title) NOT BETWEEN 15 AND 65 GROUP BY 1
   UNION ALL SELECT 'SEO-HEADING-003', count(*), 'metadata' FROM page WHERE h1 = ''
@@ -254,11 +294,11 @@ UNION ALL SELECT 'WEB-HYGIENE-008', url, '' FROM h WHERE xfo IS NULL AND coalesc
     "schema_properties": f"""WITH {values_sql("schema_items")}, alias(type, general) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in GENERAL.items())}),
 need(general, k, names, required) AS (VALUES {", ".join([f"('{g}', {i}, '{x}', true)" for g, xs in REQUIRED.items() for i, x in enumerate(xs)] + [f"('{g}', {100 + i}, '{x}', false)" for g, xs in RECOMMENDED.items() for i, x in enumerate(xs.split())])}),
 item AS (SELECT DISTINCT url, item, type, top FROM schema_items)
-SELECT i.url, i.item, i.type, required, array_to_string(list_sort(string_split(names, '|')), '|') AS property FROM item i JOIN alias USING (type) JOIN need USING (general)
+SELECT i.url, '[' || CAST(i.item - 1 AS VARCHAR) || CASE WHEN i.top THEN ']' ELSE '] > about' END AS path, i.type, required, array_to_string(list_sort(string_split(names, '|')), '|') AS property FROM item i JOIN alias USING (type) JOIN need USING (general)
 WHERE (required OR top) AND NOT EXISTS (SELECT 1 FROM schema_items s WHERE s.url = i.url AND s.item = i.item AND trim(s.value) <> '' AND list_contains(string_split(names, '|'), s.property))""",
     "breadcrumb_checks": f"""WITH {values_sql("crumbs")}, c AS (SELECT *, max(idx) OVER (PARTITION BY url, list) AS n, min(idx) OVER (PARTITION BY url, list, position) AS fp, min(idx) OVER (PARTITION BY url, list, item) AS fi FROM crumbs),
 g AS (SELECT url, list, count(*) FILTER ((position > 0 AND fp < idx) OR (item <> '' AND fi < idx)) AS repeats, count(*) FILTER (name = '') AS nameless, count(*) FILTER (item = '' AND idx < n) AS targetless, list_distinct(list(position)) AS ps, max(n) AS n FROM c GROUP BY url, list)
-SELECT url, list, repeats, nameless, targetless, CASE WHEN repeats = 0 AND len(ps) = n THEN list_min(list_filter(range(1, n + 1), lambda x: NOT list_contains(ps, x))) END AS gap FROM g""",
+SELECT url, repeats, nameless, targetless, CASE WHEN repeats = 0 AND len(ps) = n THEN list_min(list_filter(range(1, n + 1), lambda x: NOT list_contains(ps, x))) END AS gap FROM g""",
     # sitemaps
     "sitemap_vs_crawl": f"""WITH {values_sql("sitemap_listed")}, {_FETCHED}, l AS (SELECT DISTINCT url FROM sitemap_listed)
 SELECT 'SEO-SITEMAP-010' AS id, url, '' AS evidence FROM l JOIN fetched f USING (url) WHERE f.error <> '' OR f.status >= 400 OR f.redirects > 0 OR (f.canonical <> '' AND f.canonical <> url)
@@ -274,9 +314,32 @@ SELECT 'new' AS change, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION AL
     "group_diff": f"""WITH {doc_findings("cur", "source <> 'src1'")}, {doc_findings("base", "source <> 'src2'")}, a AS (SELECT DISTINCT grp FROM cur WHERE grp <> 'metadata'), b AS (SELECT DISTINCT grp FROM base WHERE grp <> 'content')
 SELECT grp, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT grp, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     # crawl, network, log
-    "crawl_levels": f"WITH RECURSIVE {GRAPH}, reach(url, depth) AS (SELECT url, 0 FROM page WHERE is_start UNION SELECT target, depth + 1 FROM reach JOIN link ON source = url WHERE depth < 4) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY url",
+    "crawl_levels": f"WITH {crawled(False)} " + " UNION ALL ".join(f"SELECT url, CAST({k} AS BIGINT) AS depth FROM level{k}" for k in range(CRAWL_DEPTH + 1)),
+    "crawl_skips": f"WITH {crawled(True)}, skip AS ({' UNION ALL '.join(f'SELECT reason FROM judged{k} WHERE reason IS NOT NULL' for k in range(1, CRAWL_DEPTH + 2))}), page AS ({' UNION ALL '.join(f'SELECT url FROM level{k}' for k in range(CRAWL_DEPTH + 1))}) SELECT 's.test' AS site, reason, count(*) AS n FROM skip GROUP BY reason UNION ALL SELECT 's.test', 'stopped: ' || (SELECT CASE WHEN bool_or(reason = 'max-pages') THEN 'max-pages' WHEN bool_or(reason = 'max-depth') THEN 'max-depth' ELSE 'completed' END FROM skip), count(*) FROM page",
+    "near_duplicate_groups": f"""WITH RECURSIVE {PAIRS.replace("WITH ", "").replace("pair AS", "pair AS MATERIALIZED")}, node AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT a AS k FROM pair UNION SELECT b FROM pair)),
+near AS MATERIALIZED (SELECT i, k, coalesce(list(a) FILTER (a IS NOT NULL), []) AS before FROM node LEFT JOIN pair ON b = k GROUP BY i, k),
+walk(i, leaders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT near.i, CASE WHEN list_has_any(leaders, before) THEN leaders ELSE list_append(leaders, k) END FROM walk JOIN near ON near.i = walk.i + 1),
+ends AS (SELECT arg_max(leaders, i) AS leaders FROM walk)
+SELECT min(a) AS representative, b AS duplicate FROM pair, ends WHERE list_contains(leaders, a) AND NOT list_contains(leaders, b) GROUP BY b""",
     "rate_limiter_schedule": "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS due, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) SELECT event_id, CAST(n * 200000 + max(due - n * 200000) OVER (PARTITION BY user_id ORDER BY due, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start FROM e",
     "fetch_tallies": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "ip_classes": f"WITH {values_sql('addresses')}, prefix(ord, version, low, high, kind) AS (VALUES {', '.join(f"({o}, {v}, '{a}', '{b}', '{k}')" for o, v, a, b, k in prefix_rows())}), a AS (SELECT ip, list_reduce(list_transform(string_split(ip, '.'), lambda x: CAST(x AS BIGINT)), lambda s, x: s * 256 + x) AS v FROM addresses), k AS (SELECT ip, lpad(lower(to_hex(v)), 32, '0') AS key FROM a), c AS (SELECT ip, arg_min(kind, ord) AS ip_class FROM k JOIN prefix ON version = 4 AND key BETWEEN low AND high GROUP BY ip) SELECT ip, ip_class, ip_class IN ('public', 'loopback', 'private', 'link-local', 'shared') AS private_ok FROM c",
+    "worst_by_group": f"WITH {doc_findings()}, {RULE} SELECT grp, count(*) AS n, arg_max(severity_name, severity) AS severity_name FROM found JOIN rule USING (id) GROUP BY grp",
+    "severity_overrides": f"WITH {doc_findings()}, {RULE}, f AS (SELECT id, CASE id WHEN 'SEO-CONTENT-002' THEN 'high' WHEN 'WEB-HYGIENE-001' THEN 'info' ELSE severity_name END AS severity_name FROM found JOIN rule USING (id)) SELECT id, severity_name, count(*) AS n FROM f WHERE severity_name <> 'info' GROUP BY ALL",
+    "audit_findings": f"WITH {RULE}, want(id, url) AS (VALUES {', '.join(f"('{i}', '{u}')" for i, u in expected())}) SELECT id, severity_name, url, count(*) AS n FROM want JOIN rule USING (id) GROUP BY ALL",
+    "redirect_chains": f"""WITH RECURSIVE {values_sql("hops")}, start(url) AS (SELECT url FROM hops UNION ALL SELECT 'https://s.test/unknown'),
+walk(url, place, n, path, status, error, final) AS (SELECT url, url, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS INTEGER), '', false FROM start
+UNION ALL SELECT w.url, CASE WHEN moves AND NOT bad THEN target ELSE place END, CASE WHEN moves THEN n + 1 ELSE n END, list_append(path, place), CASE WHEN moves AND NOT bad OR over OR again THEN NULL ELSE h.status END,
+  CASE WHEN over THEN 'too many redirects' WHEN again THEN 'redirect loop' WHEN h.url IS NULL THEN 'not stored' WHEN moves AND bad THEN 'invalid redirect' WHEN moves THEN '' ELSE h.error END, NOT moves OR bad
+  FROM (SELECT *, n > 10 AS over, list_contains(path, place) AS again FROM walk WHERE NOT final) w LEFT JOIN hops h ON h.url = w.place,
+  LATERAL (SELECT coalesce(h.status IN (301, 302, 303, 307, 308) AND h.location <> '' AND NOT over AND NOT again, false) AS moves, CASE WHEN h.location LIKE '/%' THEN 'https://s.test' || h.location ELSE h.location END AS target, coalesce(h.location LIKE 'ftp:%', false) AS bad) x)
+SELECT url, place AS final_url, status, n AS redirects, error FROM walk WHERE final""",
+    "host_verdicts": f"""WITH {values_sql("resolved")}, prefix(ord, version, low, high, kind) AS (VALUES {", ".join(f"({o}, {v}, '{a}', '{b}', '{k}')" for o, v, a, b, k in prefix_rows())}),
+a AS (SELECT host, lpad(lower(to_hex(list_reduce(list_transform(string_split(ip, '.'), lambda x: CAST(x AS BIGINT)), lambda s, x: s * 256 + x))), 32, '0') AS key FROM resolved WHERE ip IS NOT NULL),
+c AS (SELECT host, key, arg_min(kind, ord) AS kind FROM a JOIN prefix ON version = 4 AND key BETWEEN low AND high GROUP BY ALL),
+b AS (SELECT host, kind FROM c WHERE kind <> 'public' UNION ALL SELECT host, 'loopback' FROM resolved WHERE regexp_matches(lower(host), '(^|[.])localhost[.]?$'))
+SELECT r.host, min(kind) IS NULL AS permitted, min(kind) AS blocked_class FROM (SELECT DISTINCT host FROM resolved) r LEFT JOIN b USING (host) GROUP BY r.host""",
+    "followed_links": f"WITH {LINKS} SELECT DISTINCT url AS source, target, CASE WHEN regexp_matches(lower(regexp_extract(target, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '[.]({'|'.join(RESOURCE_EXTENSIONS)})$') THEN 'HEAD' ELSE 'GET' END AS method FROM link",
+    "audit_crawl": f"SELECT * FROM (VALUES {', '.join(f"('{what}', {n})" for what, n in site_crawl(40).items())}) AS t(what, n)",
     "error_kinds": f"WITH {values_sql('errors')} SELECT id, kind FROM errors",
 }

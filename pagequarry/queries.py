@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import fnv1a
 from .functions.text import grams, is_keyword, printable, shortened, tokens
 from .functions.urls import is_resource_url, normal_url, path_of, query_of, site_key, url_pattern
-from .operators import canonical, checks, crawl, duplicates, findings, hreflang, links, network, robots, sitemaps, terms, traps
+from . import sample_site
+from .operators import canonical, checks, crawl, duplicates, findings, hreflang, links, network, redirects, robots, sitemaps, structured, terms, traps
+from .plans.audit import audit
+from .plans.stored_crawl import crawl_corpus
 from .samples import frame
 from .sources.html import parse_pages
+from .storage import save
+from .streaming import fetch_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,8 +33,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    """One input file is one split; the text operators want every core."""
-    return load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition(spark.sparkContext.defaultParallelism)
+    return load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 def n_docs(docs: DataFrame):
@@ -52,9 +56,9 @@ def token_counts(spark, sf_dir):
 
 @query
 def thin_content(spark, sf_dir):
-    n = F.size(tokens(F.col("text")))
-    rule = F.when(n == 0, "SEO-CONTENT-003").when(n < checks.MIN_TOKENS, "SEO-CONTENT-002")
-    return documents(spark, sf_dir).select("doc_id", rule.alias("rule")).where("rule is not null")
+    """The content check on documents taken as the main text of pages that are twice as long."""
+    pages = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("main_text"), (2 * F.octet_length("text")).alias("text_bytes"))
+    return checks.content_findings(pages).select(F.col("url").cast("long").alias("doc_id"), F.col("id").alias("rule"))
 
 
 @query
@@ -81,9 +85,10 @@ def site_wide_terms(spark, sf_dir):
 
 
 def _weighed(spark, sf_dir):
+    """Weighed terms, from counts that are written once."""
     docs = documents(spark, sf_dir)
     n = n_docs(docs)
-    return terms.weights(terms.term_counts(docs, "doc_id", "text"), "doc_id", n), n
+    return terms.weights(save(terms.term_counts(docs, "doc_id", "text")), "doc_id", n), n
 
 
 @query
@@ -96,19 +101,19 @@ def tfidf_page_top20(spark, sf_dir):
 @query
 def tfidf_site_top20(spark, sf_dir):
     weighed, n = _weighed(spark, sf_dir)
-    return terms.top_terms(terms.site_strengths(terms.site_weights(weighed, n))).select("term", "strength")
+    return terms.top_terms(terms.site_strengths(save(terms.site_weights(weighed, n)))).select("term", "strength")
 
 
 @query
 def keyword_strength(spark, sf_dir):
     weighed, n = _weighed(spark, sf_dir)
-    site = terms.site_strengths(terms.site_weights(weighed, n))
+    site = terms.site_strengths(save(terms.site_weights(weighed, n)))
     return terms.with_keywords(terms.top_terms(site), site, ["Licensed", "apache license", "the", "missingword"]).select("term", "strength")
 
 
 def _zones(spark, sf_dir):
     """Zones of the pages: title, headings and main text."""
-    parsed = parse_pages(load(spark, sf_dir, "pages"), ["page_id"])
+    parsed = parse_pages(load(spark, sf_dir, "pages"), ["page_id"], fields=("titles", "headings", "main_text"))
     return parsed.select("page_id", "url", "site", F.coalesce(F.get("titles", F.lit(0)), F.lit("")).alias("title"), F.lit("").alias("description"), F.array_join(F.transform("headings", lambda h: h["text"]), " ").alias("headings"), F.col("main_text").alias("body"))
 
 
@@ -116,18 +121,18 @@ def _zones(spark, sf_dir):
 def weak_terms(spark, sf_dir):
     pages = _zones(spark, sf_dir)
     n = n_docs(load(spark, sf_dir, "pages"))
-    weighed = terms.weights(terms.zone_counts(pages, "page_id"), "page_id", n)
-    return terms.weak_terms(terms.weak_candidates(terms.site_weights(weighed, n))).select(F.col("rank").cast("long").alias("rank"), "term", "strength", F.col("tier").cast("long").alias("tier"))
+    weighed = terms.weights(save(terms.zone_counts(pages, "page_id")), "page_id", n)
+    return terms.weak_terms(terms.weak_candidates(save(terms.site_weights(weighed, n)))).select(F.col("rank").cast("long").alias("rank"), "term", "strength", F.col("tier").cast("long").alias("tier"))
 
 
 @query
 def page_specific_terms(spark, sf_dir):
-    return terms.page_specific(terms.term_counts(documents(spark, sf_dir), "doc_id", "text"), "doc_id").select("doc_id", F.array_join("terms", ",").alias("terms"))
+    return terms.page_specific(save(terms.term_counts(documents(spark, sf_dir), "doc_id", "text")), "doc_id").select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
 @query
 def duplicate_profiles(spark, sf_dir):
-    return terms.duplicate_profiles(terms.term_counts(documents(spark, sf_dir), "doc_id", "text"), "doc_id").select("doc_id", "profile")
+    return terms.duplicate_profiles(save(terms.term_counts(documents(spark, sf_dir), "doc_id", "text")), "doc_id").select("doc_id", "profile")
 
 
 @query
@@ -145,7 +150,7 @@ def evidence_text(spark, sf_dir):
 
 @query
 def exact_duplicates(spark, sf_dir):
-    return duplicates.exact_groups(documents(spark, sf_dir), "doc_id", "text").select("representative", F.array_join("duplicates", ",").alias("duplicates"))
+    return duplicates.exact_groups(documents(spark, sf_dir), "doc_id", "text")
 
 
 @query
@@ -155,7 +160,7 @@ def fnv1a_tokens(spark, sf_dir):
 
 
 def _hashes(spark, sf_dir):
-    return duplicates.document_simhash(duplicates.representatives(documents(spark, sf_dir), "doc_id", "text"), "doc_id", "text")
+    return duplicates.document_simhash(duplicates.representatives(documents(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
 @query
@@ -165,13 +170,12 @@ def simhash_documents(spark, sf_dir):
 
 @query
 def near_duplicate_pairs(spark, sf_dir):
-    return duplicates.near_pairs(_hashes(spark, sf_dir), "doc_id").select("a", "b", F.col("distance").cast("long").alias("distance"))
+    return duplicates.near_pairs(save(_hashes(spark, sf_dir)), "doc_id").select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query
 def near_duplicate_groups(spark, sf_dir):
-    groups = duplicates.leader_groups(duplicates.near_pairs(_hashes(spark, sf_dir), "doc_id"))
-    return groups.select("representative", F.array_join("duplicates", ",").alias("duplicates"))
+    return duplicates.leader_groups(duplicates.near_pairs(save(_hashes(spark, sf_dir)), "doc_id"))
 
 
 # ---------------------------------------------------------------- URLs
@@ -219,68 +223,70 @@ def crawl_traps(spark, sf_dir):
 # ---------------------------------------------------------------- pages
 
 
-def _parsed(spark, sf_dir):
-    return parse_pages(load(spark, sf_dir, "pages"), ["page_id"])
+def _parsed(spark, sf_dir, *fields: str):
+    """The parsed pages; ``fields``: those that are needed (none: all)."""
+    return parse_pages(load(spark, sf_dir, "pages"), ["page_id"], fields=fields or None)
 
 
 @query
 def page_titles(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", F.get("titles", F.lit(0)).alias("title"), F.size("titles").cast("long").alias("n"))
+    return _parsed(spark, sf_dir, "titles").select("page_id", F.get("titles", F.lit(0)).alias("title"), F.size("titles").cast("long").alias("n"))
 
 
 @query
 def title_findings(spark, sf_dir):
-    return checks.metadata_findings(_parsed(spark, sf_dir)).where("id like 'SEO-TITLE%'").select("id", "url")
+    return checks.metadata_findings(_parsed(spark, sf_dir, "titles", "descriptions")).where("id like 'SEO-TITLE%'").select("id", "url")
 
 
 @query
 def duplicate_titles(spark, sf_dir):
-    all_one = _parsed(spark, sf_dir).withColumn("site", F.lit(""))
+    all_one = save(_parsed(spark, sf_dir, "titles")).withColumn("site", F.lit(""))
     found = checks.shared_values(all_one, F.get("titles", F.lit(0)), "SEO-TITLE-004")
     return found.select("url", F.get("evidence", F.lit(0)).alias("title"), (F.size("evidence") - 1).cast("long").alias("others"))
 
 
 @query
 def duplicate_h1(spark, sf_dir):
-    all_one = _parsed(spark, sf_dir).withColumn("site", F.lit(""))
+    all_one = save(_parsed(spark, sf_dir, "titles", "descriptions", "headings")).withColumn("site", F.lit(""))
     found = checks.shared_metadata(all_one).where("id = 'SEO-HEADING-005'")
     return found.select("url", F.get("evidence", F.lit(0)).alias("h1"), F.array_join("evidence", "|").alias("evidence"))
 
 
 @query
 def page_lang_counts(spark, sf_dir):
-    return _parsed(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return _parsed(spark, sf_dir, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def page_links(spark, sf_dir):
-    rows = _parsed(spark, sf_dir).select("page_id", F.posexplode("links").alias("pos", "x"))
+    rows = _parsed(spark, sf_dir, "links").select("page_id", F.posexplode("links").alias("pos", "x"))
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("x.url").alias("url"), F.col("x.anchor").alias("anchor"))
 
 
 @query
 def outbound_counts(spark, sf_dir):
-    pages = _parsed(spark, sf_dir).withColumn("indexable", F.lit(True))
-    return links.link_metrics(pages).select("url", "outbound")
+    pages = save(_parsed(spark, sf_dir, "links")).withColumn("indexable", F.lit(True))
+    return links.link_metrics(pages).select("url", "inbound", "outbound")
 
 
 @query
 def anchor_reuse_page(spark, sf_dir):
-    return checks.anchor_reuse(_parsed(spark, sf_dir)).select("url", "anchor", "n", "targets")
+    return checks.anchor_reuse(_parsed(spark, sf_dir, "links")).select("url", "anchor", "n", "targets")
 
 
 @query
 def anchor_reuse_site(spark, sf_dir):
-    """Link texts over all hosts, every link counted as internal and fetched."""
-    rows = _parsed(spark, sf_dir).select(F.explode("links").alias("x")).select(F.lower("x.anchor").alias("anchor"), "x.url")
-    return rows.groupBy("anchor").agg(F.count_distinct("url").alias("targets")).where("targets >= 2")
+    """Link texts over all hosts, taken as one site whose every target is fetched."""
+    pages = save(_parsed(spark, sf_dir, "links")).withColumn("site", F.lit("all")).withColumn("indexable", F.lit(True))
+    rows = links.link_rows(pages)
+    return links.anchor_targets(rows, rows.select(F.col("target").alias("url"))).select("anchor", "targets")
 
 
 @query
 def page_findings(spark, sf_dir):
     """Findings of single pages, counted by rule."""
-    pages = checks.with_robots(_parsed(spark, sf_dir)).withColumn("headers", F.create_map().cast("map<string,string>")).persist()
-    parts = [checks.metadata_findings(pages), checks.heading_findings(pages), checks.canonical_findings(pages), checks.robots_findings(pages), checks.language_findings(pages), checks.social_findings(pages), checks.image_findings(pages), checks.structured_findings(pages), checks.hygiene_findings(pages), checks.mixed_content(pages)]
+    pages = save(checks.with_robots(_parsed(spark, sf_dir)).withColumn("headers", F.create_map().cast("map<string,string>")))
+    parts = [checks.metadata_findings(pages), checks.heading_findings(pages), checks.canonical_findings(pages), checks.robots_findings(pages), checks.language_findings(pages), checks.social_findings(pages), checks.image_findings(pages), structured.structured_findings(pages), checks.hygiene_findings(pages), checks.mixed_content(pages)]
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
@@ -291,15 +297,15 @@ def page_findings(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    """Customers as pages of one site: page i links to (i + j + 1) mod n for j under 20, as far as j divides i + 1; some
-    pages are noindex, fail, or link to themselves."""
+    """Customers as pages of one site: page i links to (i + j) mod n for j under 20, itself included; some pages are
+    noindex or fail."""
     c = load(spark, sf_dir, "customer").select("c_custkey")
     n = c.count()
     u = lambda x: F.concat(F.lit("https://s.test/"), x.cast("string"))
     ids = c.select(F.col("c_custkey").alias("i"))
     target = lambda j: F.struct(u((F.col("i") + j + 1) % n).alias("url"), F.lit(False).alias("external"), F.lit(False).alias("resource"), ((F.col("i") + j) % 7 == 0).alias("nofollow"), F.concat(F.lit("Anchor "), ((F.col("i") + j + 1) % 50).cast("string")).alias("anchor"))
-    all_links = F.array(*[F.when((F.col("i") + 1) % (j + 1) == 0, target(j * 3 - 1)) for j in range(20)])
-    return ids.select(F.lit("s.test").alias("site"), u(F.col("i")).alias("url"), F.array_compact(all_links).alias("links"), (F.col("i") % 5 != 0).alias("indexable"), (F.col("i") == 1).alias("is_start"), (F.col("i") % 11 == 0).alias("failed"))
+    all_links = F.array(*[target(j - 1) for j in range(20)])
+    return ids.select(F.lit("s.test").alias("site"), u(F.col("i")).alias("url"), all_links.alias("links"), (F.col("i") % 5 != 0).alias("indexable"), (F.col("i") == 1).alias("is_start"), (F.col("i") % 11 == 0).alias("failed"))
 
 
 @query
@@ -374,13 +380,13 @@ def hreflang_findings(spark, sf_dir):
 @query
 def robots_match(spark, sf_dir):
     asked = frame(spark, "robots_asked")
-    rules = robots.rules_for(frame(spark, "robots_rules"), asked.select("asked").distinct())
+    rules = robots.rules_for(frame(spark, "robots_rules"), asked)
     return robots.allowed(asked, rules).select("origin", "asked", "path", "allowed", "pattern")
 
 
 @query
 def robots_agent_fallback(spark, sf_dir):
-    asked = frame(spark, "robots_asked").select("asked").distinct()
+    asked = frame(spark, "robots_asked").select("origin", "asked").distinct()
     return robots.rules_for(frame(spark, "robots_rules"), asked).groupBy("origin", "asked").agg(F.count(F.lit(1)).alias("n"), F.min("line").cast("long").alias("first_line"))
 
 
@@ -420,36 +426,23 @@ def hygiene_headers(spark, sf_dir):
     return checks.hygiene_findings(rows).select("id", "url", F.array_join("evidence", "|").alias("evidence"))
 
 
-def _schema_rules(spark):
-    from .sources.structured import GENERAL, RECOMMENDED, REQUIRED
-
-    alias = spark.createDataFrame(list(GENERAL.items()), "type string, general string")
-    need = spark.createDataFrame([(g, i, p, True) for g, groups in REQUIRED.items() for i, x in enumerate(groups) for p in x.split("|")] + [(g, 100 + i, p, False) for g, ps in RECOMMENDED.items() for i, p in enumerate(ps.split())], "general string, k int, property string, required boolean")
-    return alias, need
-
-
 @query
 def schema_properties(spark, sf_dir):
-    """Missing required groups and recommended properties, by joins with the type rules."""
-    alias, need = _schema_rules(spark)
-    props = frame(spark, "schema_items")
-    items = props.select("url", "item", "type", "top").distinct().join(F.broadcast(alias), "type").join(F.broadcast(need), "general")
-    have = props.where("trim(value) <> ''").select("url", "item", "property", F.lit(1).alias("one"))
-    joined = items.join(have, ["url", "item", "property"], "left")
-    groups = joined.groupBy("url", "item", "type", "top", "required", "k").agg(F.max(F.coalesce("one", F.lit(0))).alias("met"), F.array_join(F.sort_array(F.collect_set("property")), "|").alias("property"))
-    return groups.where("met = 0 and (required or top)").select("url", "item", "type", "required", "property")
+    """Missing required groups and recommended properties of JSON-LD in pages."""
+    pages = parse_pages(frame(spark, "ld_pages"), [])
+    items = pages.select("url", F.explode("schema_items").alias("i"))
+    gap = items.select("url", F.col("i.path").alias("path"), F.explode(structured.gaps(F.col("i.types"), F.col("i.filled"), F.col("i.top"))).alias("g"))
+    return gap.select("url", "path", "g.type", "g.required", F.array_join(F.sort_array("g.names"), "|").alias("property"))
 
 
 @query
 def breadcrumb_checks(spark, sf_dir):
-    """Window form of the breadcrumb checks: repeats refer to the first holder, gaps to the first missing position."""
-    rows = frame(spark, "crumbs")
-    w = Window.partitionBy("url", "list")
-    first = lambda c: F.min("idx").over(Window.partitionBy("url", "list", c))
-    flagged = rows.withColumn("n", F.max("idx").over(w)).withColumn("dup_position", (F.col("position") > 0) & (first("position") < F.col("idx"))).withColumn("dup_item", (F.col("item") != "") & (first("item") < F.col("idx")))
-    one = flagged.groupBy("url", "list").agg(F.count_if(F.col("dup_position") | F.col("dup_item")).alias("repeats"), F.count_if(F.col("name") == "").alias("nameless"), F.count_if((F.col("item") == "") & (F.col("idx") < F.col("n"))).alias("targetless"), F.sort_array(F.collect_set("position")).alias("positions"), F.max("n").alias("n"))
-    gap = F.array_min(F.array_except(F.sequence(F.lit(1), F.col("n")), "positions"))
-    return one.select("url", "list", "repeats", "nameless", "targetless", F.when((F.col("repeats") == 0) & (F.size("positions") == F.col("n")), gap).cast("long").alias("gap"))
+    """Breadcrumb lists of pages: entries that repeat an earlier one, entries without name or target, the first missing position."""
+    lists = parse_pages(frame(spark, "crumb_pages"), []).select("url", F.explode("crumbs").alias("c"))
+    own = lists.select("url", F.filter("c.entries", lambda e: e["kind"] == "entry").alias("entries"))
+    without = lambda what: F.size(F.filter(structured.entry_faults(F.col("entries")), lambda x: x["fault"] == what)).cast("long")
+    repeated = F.size(F.array_distinct(F.transform(structured.repeats(F.col("entries")), lambda x: x["at"]))).cast("long")
+    return own.select("url", repeated.alias("repeats"), without("no name").alias("nameless"), without("no target").alias("targetless"), structured.first_gap(F.col("entries")).cast("long").alias("gap"))
 
 
 # ---------------------------------------------------------------- sitemaps
@@ -466,8 +459,8 @@ def sitemap_vs_crawl(spark, sf_dir):
 
 @query
 def sitemap_scope(spark, sf_dir):
-    rows = frame(spark, "sitemap_listed")
-    return rows.select("url", "lastmod", (site_key(F.col("url")) == F.col("site")).alias("in_scope"))
+    rows = frame(spark, "sitemap_listed").select("site", F.lit("https://s.test/sitemap.xml").alias("url"), F.lit("urlset").alias("kind"), F.array(F.struct(F.col("url").alias("loc"), "lastmod")).alias("entries"))
+    return sitemaps.listed_urls(rows).select(F.col("loc").alias("url"), "lastmod", (F.col("state") == "ok").alias("in_scope"))
 
 
 # ---------------------------------------------------------------- findings and reports
@@ -480,9 +473,9 @@ def _document_findings(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", url.alias("url"), n.alias("n"), size.alias("size"), "lang", "text")
     own = findings.finding
     each = findings.spread(base, own("content", "SEO-CONTENT-003", F.col("url"), when=F.col("n") == 0), own("content", "SEO-CONTENT-002", F.col("url"), when=F.col("n").between(1, 39)), own("metadata", "SEO-LANG-001", F.col("url"), when=F.col("lang").isNull()), own("metadata", "SEO-TITLE-006", F.col("url"), findings.lines(F.concat(F.col("size").cast("string"), F.lit(" characters"))), F.col("size") > 5000), own("web-hygiene", "WEB-HYGIENE-001", F.col("url"), when=F.col("lang") == "de"))
-    groups = duplicates.exact_groups(docs, "doc_id", "text")
+    groups = duplicates.listed(duplicates.exact_groups(docs, "doc_id", "text"))
     told = F.transform("duplicates", lambda d: F.concat(F.lit("doc:"), d.cast("string")))
-    dup = findings.spread(groups, own("content", "SEO-DUPLICATE-001", F.concat(F.lit("doc:"), F.col("representative").cast("string")), told))
+    dup = findings.spread(groups, own("content", "SEO-DUPLICATE-001", F.concat(F.lit("doc:"), F.col("representative").cast("string")), told, total=F.col("n")))
     return each.union(dup)
 
 
@@ -517,7 +510,7 @@ def _two_reports(spark, sf_dir):
 @query
 def report_diff(spark, sf_dir):
     """Findings that only the report without src1 has (new), or only the one without src2 (resolved)."""
-    new, gone = findings.changed(*_two_reports(spark, sf_dir))
+    new, gone = findings.changed(*map(save, _two_reports(spark, sf_dir)))
     both = new.withColumn("change", F.lit("new")).union(gone.withColumn("change", F.lit("resolved")))
     return both.select("change", "id", "url", F.array_join("evidence", "|").alias("evidence"))
 
@@ -528,24 +521,69 @@ def group_diff(spark, sf_dir):
     return findings.group_changes(now.where("grp <> 'metadata'"), then.where("grp <> 'content'"))
 
 
+@query
+def worst_by_group(spark, sf_dir):
+    return findings.worst_by_group(findings.with_rules(_document_findings(documents(spark, sf_dir)))).select("grp", "n", "severity_name")
+
+
+@query
+def severity_overrides(spark, sf_dir):
+    """Findings by severity where two rules weigh otherwise than by default."""
+    found = findings.with_severity(findings.with_rules(_document_findings(documents(spark, sf_dir))), {"SEO-CONTENT-002": "high", "WEB-HYGIENE-001": "info"})
+    return findings.at_least(found, "low").groupBy("id", "severity_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- the whole audit
+
+
+def _audited(spark):
+    return audit(sample_site.corpus(spark), sample_site.START, ["clean"], sample_site.robots_files(spark), sample_site.sitemap_files(spark), sample_site.other_fetches(spark))
+
+
+@query
+def audit_findings(spark, sf_dir):
+    """Findings of the sample site, but for the terms of single pages."""
+    found = _audited(spark).findings.where("id <> 'SEO-TERMS-002'")
+    return found.groupBy("id", "severity_name", "url").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def audit_crawl(spark, sf_dir):
+    """How a crawl of the sample site with few pages ends: pages by depth, skipped URLs by reason, the stop reason."""
+    done = crawl_corpus(sample_site.corpus(spark), sample_site.START, max_pages=40, robots_files=sample_site.robots_files(spark))
+    depths = done.corpus.groupBy(F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    skips = done.skipped.groupBy(F.concat(F.lit("skipped "), "reason").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return depths.union(skips).union(done.corpus.groupBy(F.lit(f"stopped {done.stop_reason}").alias("what")).agg(F.count(F.lit(1)).alias("n")))
+
+
 # ---------------------------------------------------------------- crawl, network, log
 
 
+def _branching(spark, sf_dir):
+    """(starts, links, disallowed): customers as pages, page i linking to (3 i + j + 1) mod n for j under 20, so that levels
+    grow; names have letters only, for the trap guard takes numbers for one pattern."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"))
+    n = c.count()
+    u = lambda x: F.concat(F.lit("https://s.test/"), F.translate(x.cast("string"), "0123456789", "abcdefghij"))
+    to = F.explode(F.array(*[(3 * F.col("i") + j + 1) % n for j in range(20)]))
+    rows = c.select("i", to.alias("t")).select(F.lit("s.test").alias("site"), u(F.col("i")).alias("source"), u(F.col("t")).alias("target"))
+    one = lambda where: c.where(where).select(F.lit("s.test").alias("site"), u(F.col("i")).alias("url"))
+    return one("i = 1"), rows, one("i % 11 = 0")
+
+
 @query
 def crawl_levels(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    rows = g.select("site", F.col("url").alias("source"), F.explode("links.url").alias("target"))
-    pages, _ = crawl.crawl(g.where("is_start").select("site", "url"), rows, max_pages=400, max_depth=4)
+    starts, rows, _ = _branching(spark, sf_dir)
+    pages, _ = crawl.crawl(starts, rows)
     return pages.select("url", F.col("depth").cast("long").alias("depth"))
 
 
 @query
 def crawl_skips(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    rows = g.select("site", F.col("url").alias("source"), F.explode("links.url").alias("target"))
-    shut = g.where("failed").select("site", "url")
-    _, skipped = crawl.crawl(g.where("is_start").select("site", "url"), rows, max_pages=100, max_depth=3, disallowed=shut)
-    return crawl.skip_counts(skipped).select("site", "reason", "n")
+    starts, rows, shut = _branching(spark, sf_dir)
+    pages, skipped = crawl.crawl(starts, rows, disallowed=shut)
+    counts = crawl.skip_counts(skipped).select("site", "reason", "n")
+    return counts.union(crawl.stop_reasons(pages, skipped).select("site", F.concat(F.lit("stopped: "), "stop_reason"), "pages"))
 
 
 @query
@@ -556,7 +594,7 @@ def rate_limiter_schedule(spark, sf_dir):
 
 @query
 def fetch_tallies(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    return fetch_log.tallies(load(spark, sf_dir, "events"))
 
 
 @query
@@ -578,3 +616,22 @@ def url_parts(spark, sf_dir):
 def gram_counts(spark, sf_dir):
     words = documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("w"))
     return words.select("doc_id", F.size(grams(F.col("w"))).cast("long").alias("n_grams"))
+
+
+@query
+def redirect_chains(spark, sf_dir):
+    starts = frame(spark, "hops").select("url").union(spark.createDataFrame([("https://s.test/unknown",)], "url string"))
+    return redirects.resolve(starts, frame(spark, "hops")).select("url", "final_url", "status", F.col("redirects").cast("long").alias("redirects"), "error")
+
+
+@query
+def host_verdicts(spark, sf_dir):
+    rows = frame(spark, "resolved")
+    return network.host_verdicts(rows).select("host", "permitted", "blocked_class")
+
+
+@query
+def followed_links(spark, sf_dir):
+    """What a crawl of the pages would ask for, by method."""
+    rows = crawl.followed_links(_parsed(spark, sf_dir, "links", "images"))
+    return rows.select("source", "target", crawl.request_method(F.col("target")).alias("method"))

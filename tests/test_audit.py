@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators import checks, crawl, duplicates, findings, network, robots, sitemaps, terms, traps
+from pagequarry.operators import checks, crawl, duplicates, findings, network, robots, sitemaps, structured, terms, traps
 from pagequarry.plans.audit import audit
 from pagequarry.plans.report import build_report, compare, exit_code, highlights, is_unchanged, render
 from pagequarry.sources.reports import load_report, report_findings
@@ -95,7 +95,7 @@ def test_robots_precedence(spark):
     rules = [("o", "*", False, "/a*b$", 1), ("o", "*", True, "/a", 2), ("o", "x", False, "/(.)", 3)]
     df = spark.createDataFrame(rules, "origin string, agent string, allow boolean, pattern string, line int")
     asked = spark.createDataFrame([("o", "*", p) for p in ("/ab", "/aab", "/abc", "/zz", "")] + [("o", "x", "/(.)"), ("o", "x", "/q")], "origin string, asked string, path string")
-    out = {(r["asked"], r["path"]): r["allowed"] for r in robots.allowed(asked, robots.rules_for(df, asked.select("asked").distinct())).collect()}
+    out = {(r["asked"], r["path"]): r["allowed"] for r in robots.allowed(asked, robots.rules_for(df, asked)).collect()}
     assert out == {("*", "/ab"): False, ("*", "/aab"): False, ("*", "/abc"): True, ("*", "/zz"): True, ("*", "/"): True, ("x", "/(.)"): False, ("x", "/q"): True}
 
 
@@ -122,7 +122,7 @@ def test_trap_limits_hold_across_levels(spark):
 def test_leader_groups_follow_key_order(spark):
     # 1-2, 2-3, 3-4: 2 joins 1, 3 leads, 4 joins 3; 10-11, 10-12
     pairs = spark.createDataFrame([(1, 2, 0), (2, 3, 0), (3, 4, 0), (10, 11, 0), (10, 12, 0)], "a long, b long, distance int")
-    assert {(r[0], tuple(r[1])) for r in duplicates.leader_groups(pairs).collect()} == {(1, (2,)), (3, (4,)), (10, (11, 12))}
+    assert {(r[0], tuple(r[1])) for r in duplicates.listed(duplicates.leader_groups(pairs)).collect()} == {(1, (2,)), (3, (4,)), (10, (11, 12))}
 
 
 def test_zone_weights(spark):
@@ -165,3 +165,133 @@ def test_stream_tallies(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["n"] for r in spark.sql("select n from tallies order by start").collect()] == [10, 10, 10]
+
+
+def test_url_texts(spark):
+    cases = {"/x": True, "a b": False, "": False, " https://h.test/ ": True, "ftp://x": False, "https:///x": False, "mailto:a": False, "//h/x": True, "#top": True}
+    df = spark.createDataFrame([(k,) for k in cases], "v string").select("v", structured.is_url_text(F.col("v")).alias("ok"))
+    assert {r["v"]: r["ok"] for r in df.collect()} == cases
+
+
+def test_structured_findings_name_what_is_wrong(spark):
+    from pagequarry.sources.html import parse_pages
+
+    ld = lambda value: f'<script type="application/ld+json">{json.dumps(value)}</script>'
+    entry = lambda position, name, item: {"@type": "ListItem", "position": position, "name": name, "item": item}
+    crumbs = lambda *entries: {"@context": "https://schema.org", "@type": "BreadcrumbList", "itemListElement": list(entries)}
+    html = {
+        "bad": ld(crumbs(entry("x1", "A", "/a"), entry(2, "", "ht tp"), {"@type": "Thing"}, 7)),
+        "twice": ld(crumbs(entry(1, "A", "/a"), entry(1, "B", "/a"), entry(3, "C", ""))),
+        "hole": ld(crumbs(entry(1, "A", "/a"), entry(3, "B", "/b"))),
+        "none": ld({"@context": "https://schema.org", "@type": "BreadcrumbList"}) + ld(crumbs()),
+        "item": ld([{"@context": "https://schema.org", "@type": ["NewsArticle", "Article"], "url": "ftp://x"}, {"@context": "https://schema.org", "@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q"}, 3]}]),
+        "fine": ld({"@context": "https://schema.org", "@type": "WebSite", "url": "https://s.test/"}),
+    }
+    pages = parse_pages(spark.createDataFrame([(f"https://s.test/{k}", v) for k, v in html.items()], "url string, html string"), [])
+    found = {(r["id"].removeprefix("SEO-"), r["url"].rpartition("/")[2]): r["evidence"] for r in structured.structured_findings(pages).collect()}
+    lead = "json-ld block 1 (root): "
+    assert found == {
+        ("BREADCRUMB-001", "bad"): [lead + "element 3 is no ListItem", lead + "element 4 is no object"],
+        ("BREADCRUMB-002", "bad"): [lead + 'entry 1: position "x1" is no whole number from 1', lead + "entry 2: no name", lead + 'entry 2: target "ht tp" is no URL'],
+        ("BREADCRUMB-003", "twice"): [lead + "position 1 in entries 1 and 2", lead + "target /a in entries 1 and 2"],
+        ("BREADCRUMB-002", "hole"): [lead + "positions leave out 2"],
+        ("BREADCRUMB-001", "none"): [lead + "no itemListElement", "json-ld block 2 (root): itemListElement is empty"],
+        ("SCHEMA-004", "item"): ["block 1 [0] (NewsArticle): missing headline", "block 1 [1] mainEntity[0]: no text of acceptedAnswer", "block 1 [1] mainEntity[1]: no Question"],
+        ("SCHEMA-005", "item"): ["block 1 [0] (NewsArticle): missing author", "block 1 [0] (NewsArticle): missing datePublished", "block 1 [0] (NewsArticle): missing image"],
+        ("SCHEMA-006", "item"): ["block 1 [0].url: ftp://x"],
+        ("SCHEMA-006", "bad"): ["block 1 itemListElement[1].item: ht tp"],
+        ("SCHEMA-006", "twice"): ["block 1 itemListElement[2].item: "],
+    }
+
+
+def test_decomposed_text_gives_the_same_tokens(spark):
+    import unicodedata
+
+    from pagequarry.functions.text import tokens
+
+    texts = ["café zażółć gęślą", "Ｗide ÅNGSTRÖM Å", "한국어 text", "plain ascii words", None]
+    rows = [(i, t and unicodedata.normalize(form, t)) for i, t in enumerate(texts) for form in ("NFC", "NFD")]
+    out = spark.createDataFrame(rows, "i int, t string").select("i", tokens(F.col("t")).alias("w")).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["i"], []).append(r["w"])
+    assert all(a == b for a, b in by.values()) and by[0][0] == ["café", "zażółć", "gęślą"] and by[4][0] == []
+
+
+def test_the_sample_site_has_exactly_the_expected_findings(spark):
+    from collections import Counter
+
+    from pagequarry import sample_site
+
+    done = audit(sample_site.corpus(spark), sample_site.START, ["clean"], sample_site.robots_files(spark), sample_site.sitemap_files(spark), sample_site.other_fetches(spark))
+    have = Counter((r["id"], r["url"]) for r in done.findings.where("id <> 'SEO-TERMS-002'").collect())
+    assert have == Counter(sample_site.expected())
+    assert len({i for i, _ in have}) > 80
+    report = build_report(done, sample_site.START, "max-pages", {"max-pages": 3, "max-depth": 1})
+    page_ = render(report, "html")
+    assert page_.index("<section id='critical'>") < page_.index("<section id='high'>") < page_.index("<section id='info'>")
+    assert page_.index("max-depth</td><td>1") < page_.index("max-pages</td><td>3") and "Crawl stopped: max-pages; 1 max-depth; 3 max-pages" in render(report)
+    worst = {r["grp"]: r["severity_name"] for r in findings.worst_by_group(done.findings).collect()}
+    assert worst["metadata"] == "critical" and worst["crawlability"] == "high" and worst["content"] == "medium"
+    milder = findings.with_severity(done.findings, {"SEO-INDEX-006": "info"})
+    assert milder.where("severity_name = 'critical'").count() == 0 and findings.at_least(milder, "high").where("severity < 3").count() == 0
+
+
+def test_followed_links_and_methods(spark):
+    from pagequarry.sources.html import parse_pages
+
+    html = "<a href=/a>a</a><a href=/a>again</a><a href=https://o.test/>out</a><img src=/i.png><img src=https://o.test/j.png><a href='mailto:x'>m</a>"
+    pages = parse_pages(spark.createDataFrame([("https://s.test/", html)], "url string, html string"), [], fields=("links", "images"))
+    rows = crawl.followed_links(pages).select("target", crawl.request_method(F.col("target")).alias("m")).collect()
+    assert {(r["target"], r["m"]) for r in rows} == {("https://s.test/a", "GET"), ("https://s.test/i.png", "HEAD")} and len(rows) == 2
+
+
+def test_external_links_and_http_upgrade(spark):
+    from pagequarry.operators import links
+
+    x = "array<struct<url:string,external:boolean>>"
+    pages = spark.createDataFrame([("https://s.test/", 0, [(f"https://o{k:03}.test/", True) for k in range(99, -1, -1)]), ("https://s.test/z", 1, [("https://late.test/", True), ("https://s.test/in", False)])], f"url string, depth int, links {x}")
+    log = spark.createDataFrame([("https://o007.test/", 500, ""), ("https://o008.test/", 0, "timeout"), ("https://late.test/", 404, ""), ("https://o009.test/", 200, "")], "url string, status int, error string")
+    assert {r["url"] for r in links.external_findings(pages, log).collect()} == {"https://o007.test/", "https://o008.test/"}
+    probe = lambda *rows: [tuple(r["evidence"]) for r in checks.upgrade_findings("https://s.test/", spark.createDataFrame(list(rows), "url string, status int, error string, redirects int, final_url string")).collect()]
+    assert probe(("http://s.test/", 200, "", 1, "https://s.test/")) == []
+    assert probe(("http://s.test/", 200, "", 0, "http://s.test/")) == [("http://s.test/",)]
+    assert probe(("http://s.test/", 0, "timeout", 0, "")) == probe() == [("no answer over http",)]
+
+
+@pytest.mark.parametrize(
+    ("raw", "headers", "want"),
+    [
+        ("<title>żółć</title>".encode(), None, "żółć"),
+        ("<title>żółć</title>".encode("iso8859-2"), {"Content-Type": "text/html; charset=ISO-8859-2"}, "żółć"),
+        (b"<meta charset=windows-1250>" + "<title>żółć</title>".encode("cp1250"), None, "żółć"),
+        ("<title>“x” é</title>".encode("cp1252"), {"content-type": "text/html; charset=latin1"}, "“x” é"),
+        ("<title>é</title>".encode("latin-1"), None, "é"),
+        ("<title>é</title>".encode("utf-16"), {"content-type": "text/html; charset=utf-8"}, "é"),
+        (b"<meta http-equiv=content-type content='text/html; charset=utf-16'><title>\xc3\xa9</title>", {"content-type": "text/html; charset=nonsense"}, "é"),
+    ],
+)
+def test_page_bytes_are_decoded(raw, headers, want):
+    from pagequarry.sources.html import parse_page
+
+    assert parse_page("https://s.test/", raw, None, headers)["titles"] == [want]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pagequarry import __main__ as cli
+    from pagequarry import sample_site
+
+    assert cli.start_address(" site.test/x ") == "https://site.test/x"
+    few = sample_site.corpus(spark).where("url in ('https://site.test/', 'https://site.test/map', 'https://site.test/clean', 'https://site.test/gone')")
+    few.coalesce(1).write.parquet(str(tmp_path / "corpus"))
+    run = lambda *args: (cli.main([*args]), capsys.readouterr())
+    corpus, report = str(tmp_path / "corpus"), str(tmp_path / "report.json")
+    code, _ = run("audit", corpus, "site.test", "--format", "json", "--output", report, "--fail-on", "high")
+    saved = json.loads((tmp_path / "report.json").read_text())
+    assert code == 1 and saved["summary"]["pages"] == 3 and saved["summary"]["highest_severity"] == "critical"
+    code, out = run("audit", corpus, "site.test", "--max-depth", "1", "--fail-on", "critical", "--severity", "SEO-INDEX-006=low", "--baseline", report, "--diff")
+    assert code == 0 and "resolved" in out.out and "SEO-HTTP-001" in out.out
+    for wrong in (["audit", corpus, "ftp://x"], ["audit", corpus, "site.test", "--max-pages", "0"], ["audit", corpus, "site.test", "--severity", "A=b"], ["audit", corpus, "site.test", "--diff"], ["nothing"]):
+        assert run(*wrong)[0] == 2, wrong
+    assert run("diff", report, report)[1].out == "No changes since the baseline.\n"
+    assert run("version")[1].out.strip()

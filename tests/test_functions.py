@@ -81,11 +81,12 @@ def test_fnv_and_simhash(spark):
     words = ["foo", "", "zażółć", "a", "x" * 30]
     for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", hashing.fnv1a(F.col("w")).alias("h")).collect():
         assert r["h"] % 2**64 == fnv(r["w"])
-    docs = {1: ["a", "b", "b"], 2: ["a"], 3: ["c", "d"]}
-    rows = [(k, w, ws.count(w)) for k, ws in docs.items() for w in set(ws)]
-    for r in hashing.simhash(spark.createDataFrame(rows, "k int, w string, n int"), "k", "w", "n").collect():
-        votes = [sum(1 if fnv(w) >> b & 1 else -1 for w in docs[r["k"]]) for b in range(64)]
-        assert r["simhash"] % 2**64 == sum(1 << b for b in range(64) if votes[b] < 0)
+    docs = {1: ["a", "b", "b"], 2: ["a"], 3: ["c", "d"], 4: [], 5: None, 6: [f"w{i % 700}" for i in range(70_000)], 7: ["zażółć", "", "x" * 300]}
+    out = {r["k"]: r["simhash"] for r in hashing.token_simhash(spark.createDataFrame(list(docs.items()), "k int, w array<string>"), "k", "w").collect()}
+    assert set(out) == {1, 2, 3, 6, 7}
+    for k, simhash in out.items():
+        votes = [sum(1 if h >> b & 1 else -1 for h in map(fnv, docs[k])) for b in range(64)]
+        assert simhash % 2**64 == sum(1 << b for b in range(64) if votes[b] < 0)
 
 
 def test_rules(spark):

@@ -5,7 +5,7 @@ import pytest
 from pagequarry.sources import robots, sitemap
 from pagequarry.sources.dom import parse_html
 from pagequarry.sources.html import header_robots, link_header_targets, parse_page
-from pagequarry.sources.structured import StructuredData, is_schema_org, is_url_value, positive, type_names
+from pagequarry.sources.structured import StructuredData, is_filled, is_schema_org, type_names
 
 BASE = "https://s.test/dir/page"
 
@@ -54,28 +54,29 @@ def test_json_ld():
     data = StructuredData()
     for block in ('{"@context":"https://schema.org/","@graph":[{"@type":"Organization"},{"@id":"#x"},{"name":"untyped"}]}', "{bad", "", '"text"', '{"@type":"schema:Article","headline":"h","author":{"@type":"Person"}}', '[{"@context":"http://schema.org","@type":"FAQPage","mainEntity":{"@type":"Question","name":"q"}}]', '{"@context":"https://schema.org","@type":"Product","name":"p","offers":{},"url":"ht tp"}'):
         data.add_block(block)
-    required, recommended, bad = data.property_lines()
     assert [e.split(":")[0] for e in data.errors] == ["block 2", "block 3", "block 4"]
     assert len(data.untyped) == 1 and len(data.context) == 1
-    assert any("Organization" in x and "name" in x for x in required) and any("acceptedAnswer" in x for x in required) and any("offers or review" in x for x in required)
-    assert any("author" not in x and "datePublished" in x for x in recommended) and bad == ["block 7 (root).url: ht tp"]
+    facts = {i["types"][0]: i for i in data.item_facts()}
+    assert facts["Organization"]["filled"] == ["@type"] and facts["Organization"]["top"] and not facts["Person"]["top"]
+    assert facts["FAQPage"]["faq"] == [{"question": True, "named": True, "answered": False}]
+    assert facts["Product"]["filled"] == ["@context", "@type", "name", "url"] and facts["Product"]["links"] == [{"property": "url", "text": "ht tp"}]
 
 
 def test_schema_helpers():
     assert type_names(["https://schema.org/A", "schema:B", "A", 3]) == ["A", "B"]
     assert is_schema_org([{"@vocab": "http://schema.org"}]) and not is_schema_org("https://example.com")
-    assert is_url_value("/x") and not is_url_value("a b") and not is_url_value("ftp://x")
-    assert [positive(x) for x in ("1", " 2 ", "0", "1.0", None, "x")] == [1, 2, 0, 0, 0, 0]
+    assert [is_filled(x) for x in (None, " ", "x", [], [" ", {"a": 1}], {}, False)] == [False, False, True, False, True, False, True]
 
 
-def test_breadcrumbs_of_both_kinds():
+def test_breadcrumb_facts_of_both_kinds():
     html = """<ol itemscope itemtype="https://schema.org/BreadcrumbList"><li itemprop="itemListElement" itemscope itemtype="https://schema.org/ListItem">
     <a itemprop="item" href="/a"><span itemprop="name">A</span></a><meta itemprop="position" content="1"></li>
     <li itemprop="itemListElement" itemscope itemtype="https://schema.org/ListItem"><span itemprop="name">B</span><meta itemprop="position" content="3"></li></ol>
-    <script type="application/ld+json">{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"","item":{"@id":"/x"}},{"@type":"Thing"},4]}</script>"""
-    page = parse_page(BASE, html)
-    assert page["crumb_issues"] == ["json-ld block 1 (root): entry 1: missing name", "microdata microdata item 1: positions are not sequential from 1 (missing 2)"]
-    assert len(page["crumb_errors"]) == 2 and page["crumb_dups"] == []
+    <script type="application/ld+json">{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"","item":{"@id":"/x","name":"N"}},{"@type":"Thing"},4]}</script>"""
+    ld, micro = parse_page(BASE, html)["crumbs"]
+    entry = lambda kind, position="", name="", item="": {"kind": kind, "position": position, "name": name, "item": item}
+    assert ld == {"source": "json-ld", "place": "block 1 (root)", "given": "list", "entries": [entry("entry", "1", "N", "/x"), entry("object"), entry("other")]}
+    assert micro == {"source": "microdata", "place": "item 1", "given": "list", "entries": [entry("entry", "1", "A", "https://s.test/a"), entry("entry", "3", "B")]}
 
 
 def test_robots_file():
