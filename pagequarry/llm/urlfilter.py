@@ -5,7 +5,13 @@ words as they need.  A rule's position i is a bit; ``*`` and ``**`` put a
 self-loop on the bit before them (``*``: any byte but ``/``; ``**``: any byte).
 The Shift-And step ``D = ((D << 1 | starts) & B[c]) | (D & L[c])`` moves every
 rule on by one byte at once, for a whole batch of urls at once; a url matches
-the rules whose last bit is set at its end.
+the rules whose last bit is set at its end.  The work is a step of numpy for each
+byte of the batch's longest url, over the urls that are that long.
+
+Site rules are held against host and path as they stand.  The other rules are
+held against the canonical url: host without user, port and final dots,
+punycode as Unicode, accents taken off and letters folded; path with the escapes
+of plain characters undone, dot segments resolved and letters folded.
 
 Cases: null urls and urls without ``://`` have an empty host and path and match
 only globs of the empty string; very long urls just take more steps; repeated
@@ -20,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import ascii_lower
+from .storage import ascii_lower, lean, slices
 
 
 @dataclass(frozen=True)
@@ -38,13 +44,59 @@ def site_rule(site: str, verdict: str) -> list[Rule]:
 
 #: The contract's rules.
 SITES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: The method's own: what the url is about, where no site rule fits.
-OWN_BLOCKS = ["*casino*", "*cheap-*", "*pills*", "*spam*", "*poker*", "*viagra*", "*xxx*"]
+#: Topics that the method blocks where no site rule fits: as a part of a host or of a path between separators.
+TOPICS = "casino poker gambling slots betting lottery viagra cialis porn xxx escort payday".split()
+HOST_TOPICS = "adult bets pills spam".split()
+
+
+def topic_rules(topics: list[str], host_topics: list[str] = ()) -> list[Rule]:
+    """Globs over canonical urls, in which marks stand for separators: host parts between ``<``, path parts between ``/``
+    (see ``canonical``)."""
+    hosts = [f"**<{t}<**" for t in [*topics, *host_topics]]
+    return [Rule(glob, "block", None, 10) for glob in [*hosts, *(f"**>**/{t}/**" for t in topics)]]
 
 
 def default_rules() -> list[Rule]:
-    own = [Rule(f"{glob}{tail}", "block", None, 10) for glob in OWN_BLOCKS for tail in ("", "/**")]
-    return [r for site, verdict in SITES for r in site_rule(site, verdict)] + own
+    return [r for site, verdict in SITES for r in site_rule(site, verdict)] + topic_rules(TOPICS, HOST_TOPICS)
+
+
+def load_rules(rows: DataFrame, most: int = 100_000) -> list[Rule]:
+    """Rules from a table (glob, verdict, name, rank); at most ``most``, for the automaton is in every worker."""
+    found = rows.select("glob", "verdict", "name", "rank").orderBy(F.desc("rank"), "glob").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules")
+    return [Rule(*r) for r in found]
+
+
+def _plain(text: str) -> str:
+    """Accents off, letters folded."""
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+
+
+def canonical(host: str, path: str) -> str:
+    """``<host parts<>/path parts/``: labels of the host, and after a label with hyphens its parts, each behind a ``<``;
+    parts of the path each behind a ``/``.  User and port say nothing of a site's topic and are left out."""
+    from urllib.parse import unquote
+
+    name = host.rpartition("@")[2]
+    name = name if name.startswith("[") else name.partition(":")[0]
+    labels = []
+    for label in name.rstrip(".").split("."):
+        try:
+            label = label.encode("ascii").decode("idna") if label.startswith("xn--") else label
+        except UnicodeError:
+            pass
+        labels.append(_plain(label))
+    parts = []
+    for part in _plain(unquote(path)).split("/"):
+        if part == "..":
+            parts = parts[:-1]
+        elif part != ".":
+            parts.append(part)
+    split = "<".join(label if "-" not in label else f"{label}<" + label.replace("-", "<") for label in labels)
+    return f"<{split}<>" + "/" + "/".join(parts).replace("_", "/").replace("-", "/").replace(".", "/") + "/"
 
 
 class WildcardAutomaton:
@@ -120,15 +172,17 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str =
     """(page_id, host, path, rule, verdict): the highest ranking rule that fits decides, else ``default``."""
     rules = sorted(rules or default_rules(), key=lambda r: -r.rank)
     globs = [r.glob for r in rules]
-    verdicts, names = [r.verdict for r in rules], [r.name for r in rules]
+    verdicts, names, own = [r.verdict for r in rules], [r.name for r in rules], np.array([r.name is None for r in rules])
 
     def judged(batches):
         import pyarrow as pa
 
         automaton = WildcardAutomaton(globs)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            fits = automaton.run([(h + p).encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)])
+            both = [(h + p, canonical(h, p)) for h, p in zip(hosts, paths, strict=True)]
+            given, plain = (automaton.run([urls[k].encode("utf-8", "surrogatepass") for urls in both]) for k in (0, 1))
+            fits = np.where(own, plain, given)
             hit, best = fits.any(1), fits.argmax(1)
             rule = [names[k] if f else None for k, f in zip(best, hit, strict=True)]
             verdict = [verdicts[k] if f else default for k, f in zip(best, hit, strict=True)]
@@ -136,4 +190,4 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str =
 
     host, path = host_and_path(F.col(url_col))
     narrow = pages.select(F.col(key_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    return narrow.mapInArrow(judged, "page_id long, host string, path string, rule string, verdict string")
+    return narrow.mapInArrow(lean(judged), "page_id long, host string, path string, rule string, verdict string")
