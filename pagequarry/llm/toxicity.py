@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated isotonically.
 
-Features of a text (ten, all rates or counts that any language has): densities
-and counts of lexicon words and of lexicon stems, lexicon words in the reach of
-a second-person pronoun, lexicon words that only show after undoing
+Features of a text (eleven, all rates or counts that any language has):
+densities and counts of lexicon words and of lexicon stems, lexicon words in the
+reach of a second-person pronoun, lexicon words that only show after undoing
 obfuscation, capitals, punctuation, digits inside words, symbol runs, length.
 The lexicon is learned: the words and word beginnings whose document frequency
 among toxic training rows most exceeds that among the others.
@@ -10,12 +10,13 @@ among toxic training rows most exceeds that among the others.
 Fitting uses at most ``MAX_TRAIN`` labelled rows, drawn by a hash of the id, of
 those that ``crc32(doc_id) mod 3`` does not hold out.  A fifth of them is kept
 from the lexicon and the trees: it calibrates (pool adjacent violators).
-Trees are grown on the driver (at most MAX_TRAIN x 10 numbers); scoring runs
+Of rows that share an id the one with the smallest text hash is trained on.
+Trees are grown on the driver (at most MAX_TRAIN x 11 numbers); scoring runs
 over all documents.
 
 Cases: null and empty texts are scored on zero features; a document without a
-label is scored like any other; labels that are null or repeat an id are left
-out (conflicting labels: the larger counts); with no labels, or labels of one
+label is scored like any other; null labels are left out, of several for one id
+the larger counts, labels above 0 are 1 and all others 0; with no labels, or labels of one
 class only, every score is the share of label 1 (0.5 without any); repeated
 rows score alike; an empty table gives an empty result.
 """
@@ -29,9 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import utf8_rows
+from .storage import lean, materialize, slices, utf8_rows
 
-FOLDS, HELD_OUT, MAX_TRAIN, CUT = 3, 1, 24_000, 0.7
+FOLDS, HELD_OUT, MAX_TRAIN, CUT, MOST_TERMS = 3, 1, 24_000, 0.7, 500_000
 LEXICON, MIN_TOXIC_DOCS, MIN_LOG_ODDS, STEMS = 3000, 4, 2.0, (4, 5, 6)
 TREES, DEPTH, RATE, BIN_COUNT, MIN_LEAF, RIDGE = 60, 3, 0.2, 64, 20, 1.0
 
@@ -70,7 +71,7 @@ def features(raw: bytes, words: frozenset, beginnings: frozenset) -> list[float]
     mixed = _MIXED.findall(raw)
     disguised = sum(1 for w in plain if w not in words and w.translate(LEET, b"*.-_") in words) if mixed or b"*" in raw else 0
     size = len(raw)
-    return [len(hits) / n, float(min(len(hits), 50)), stem_hits / n, float(min(stem_hits, 50)), near / n, disguised / n, len(_UPPER.findall(raw)) / size, len(_PUNCT.findall(raw)) / size, len(mixed) / n, len(_RUNS.findall(raw)) / n, float(np.log1p(n))]
+    return [len(hits) / n, float(len(hits)), stem_hits / n, float(stem_hits), near / n, disguised / n, len(_UPPER.findall(raw)) / size, len(_PUNCT.findall(raw)) / size, len(mixed) / n, len(_RUNS.findall(raw)) / n, float(np.log1p(n))]
 
 
 # ---------------------------------------------------------------- trees
@@ -144,14 +145,10 @@ class Boosted:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots (score, probability) of the rising step fit by pool adjacent violators."""
-    order = np.argsort(score, kind="stable")
+    levels, at = np.unique(score, return_inverse=True)  # equal scores are one level
     blocks: list[list[float]] = []  # sum, count, least score, greatest score
-    for s, v in zip(score[order], y[order], strict=True):
-        if blocks and blocks[-1][3] == s:
-            blocks[-1][0] += v
-            blocks[-1][1] += 1
-        else:
-            blocks.append([float(v), 1.0, float(s), float(s)])
+    for level, total, count in zip(levels, np.bincount(at, y, len(levels)), np.bincount(at, minlength=len(levels)), strict=True):
+        blocks.append([float(total), float(count), float(level), float(level)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             b = blocks.pop()
             blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
@@ -177,7 +174,7 @@ def remainder(doc_id):
 def train_rows(labels: DataFrame, target: str, most: int = MAX_TRAIN) -> list[tuple[int, int]]:
     """(doc_id, label) of at most ``most`` labelled rows outside the held-out fold."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (remainder(F.col("doc_id")) != HELD_OUT))
-    one = own.groupBy("doc_id").agg(F.max(F.col(target)).alias("y"))
+    one = own.groupBy("doc_id").agg(F.max((F.col(target) > 0).cast("int")).alias("y"))
     return [(r["doc_id"], int(r["y"])) for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
@@ -194,21 +191,31 @@ def fit(docs: DataFrame, labels: DataFrame):
         return (sum(ys.values()) / len(ys)) if ys else 0.5
     chosen = spark.createDataFrame([(d, y, calibrates(d)) for d, y in picked], "train_id bigint, y int, hold boolean")
     # At most MAX_TRAIN rows of 13 bytes.
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("train_id"))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(chosen), F.col("doc_id") == F.col("train_id"))
+    least = materialize(labelled.groupBy(F.col("doc_id").alias("own_id")).agg(F.min("text_hash").alias("own_hash"), F.min("y").alias("own_y"), F.max("hold").alias("own_hold")), "labelled-rows")  # a row for each of them
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(least), (F.col("doc_id") == F.col("own_id")) & (F.xxhash64("text") == F.col("own_hash")))
+    train = materialize(train.select("doc_id", "text", F.col("own_y").alias("y"), F.col("own_hold").alias("hold")).dropDuplicates(["doc_id"]), "labelled-texts")
 
     def terms(batches):
         import pyarrow as pa
 
         counts: dict[bytes, list[int]] = {}
-        for batch in batches:
+
+        def told():
+            kept = list(counts.items())
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.binary()), *(pa.array([c[k] for _, c in kept], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
+
+        for batch in slices(batches):
             for raw, y in zip(utf8_rows(batch), batch.column("y").to_pylist(), strict=True):
                 words = set(plain_words(raw))
                 for t in words.union(s for w in words for s in stems(w)):
                     counts.setdefault(t, [0, 0])[y] += 1
-        kept = list(counts.items())
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.binary()), *(pa.array([c[k] for _, c in kept], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
+                if len(counts) > MOST_TERMS:  # the sums go on in Spark
+                    yield told()
+                    counts.clear()
+        yield told()
 
-    seen = train.where("not hold").select("text", "y").mapInArrow(terms, "term binary, clean long, toxic long")
+    seen = train.where("not hold").select("text", "y").mapInArrow(lean(terms), "term binary, clean long, toxic long")
     n1 = sum(1 for d, y in picked if y and not calibrates(d))
     n0 = sum(1 for d, y in picked if not y and not calibrates(d))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
@@ -217,8 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     found = [bytes(r["term"]) for r in rows]
     words = frozenset(t for t in found if not t.endswith(b"*"))
     beginnings = frozenset(t for t in found if t.endswith(b"*"))
-    scored = feature_rows(train, words, beginnings).collect()  # MAX_TRAIN rows at most
-    seen_ids: dict[int, list[float]] = {r["doc_id"]: r["x"] for r in sorted(scored, key=lambda r: (r["doc_id"], r["x"]))}
+    seen_ids = {r["doc_id"]: r["x"] for r in feature_rows(train, words, beginnings).collect()}  # MAX_TRAIN rows at most
     ids = sorted(seen_ids)
     if len({ys[d] for d in ids}) < 2:
         return sum(ys.values()) / len(ys)
@@ -237,11 +243,11 @@ def feature_rows(docs: DataFrame, words: frozenset, beginnings: frozenset) -> Da
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             xs = [features(raw, *sets.value) for raw in utf8_rows(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,9 +266,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         words, beginnings, edges, base, grown, knots = shared.value
         trees = Boosted(edges, base)
         trees.trees = grown
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(raw, words, beginnings) for raw in utf8_rows(batch)]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(calibrated(knots, trees.margin(x)), pa.float64())], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
