@@ -29,6 +29,13 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Heavy sources come early, light ones late.
 TILTS = (-0.5, 0.0, 0.5)
 SHARE, CAP, SEED = 1.5, 2, "mix-1"
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` written once, and broadcast if it has at most BROADCAST_ROWS rows."""
+    df = materialize(df, "mix-small")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def targets(sizes: list[int], share: float = SHARE, cap: int = CAP, weights=WEIGHTS) -> list[float]:
@@ -60,9 +67,9 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights=WEIGHTS,
     starts = sums.select(F.col("source").alias("source_"), F.col("pid").alias("pid_"), F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("pid", "source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row for each partition and each source that begins in one; one row for each source
-    queued = dealt.join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("source_")) & (F.col("pid") == F.col("pid_"))).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
+    queued = dealt.join(small(starts), F.col("source").eqNullSafe(F.col("source_")) & (F.col("pid") == F.col("pid_"))).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
     plan = plan.withColumnRenamed("source", "named")
-    queued = queued.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("named")))
+    queued = queued.join(small(plan), F.col("source").eqNullSafe(F.col("named")))
     middle = [F.col("start") + F.col("size") / 2 + k * F.col("source_size") for k in range(cap)]
     copies = sum(((m <= F.col("target")) & (F.col("size") > 0)).cast("int") for m in middle)
     positions = F.filter(F.array(*[F.when((m <= F.col("target")) & (F.col("size") > 0), demand_inverse(m / F.col("target"), F.col("tilt"))) for m in middle]), lambda p: p.isNotNull())
@@ -85,7 +92,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents as trained on: a row for each copy taken, in training order, with docs' columns.
 
     Rows of one id share its copies: each of n such rows gets as many as any of them."""
-    plan = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max_by("positions", "copies").alias("positions"))
-    keyed = plan.select(F.col("doc_id").alias("mix_id"), F.col("positions").alias("mix_at"))
-    copies = docs.join(keyed, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_position", F.explode("mix_at"))
-    return by_position(copies.select(*docs.columns, "mix_position"), "mix_position").select(*docs.columns)
+    names = docs.columns
+    inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own_id = F.col(f"c{names.index('doc_id')}")
+    plan = mix(docs.select("doc_id", "source", "text"), **options).where("copies > 0").groupBy("doc_id").agg(F.max_by("positions", "copies").alias("positions"))
+    copies = inner.join(plan, own_id.eqNullSafe(F.col("doc_id"))).select(*inner.columns, "doc_id", F.explode("positions").alias("position"))
+    return by_position(copies).select(*inner.columns).toDF(*names)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .mixing import SEED
-from .urlfilter import OWN_BLOCKS, SITES
+from .urlfilter import SITES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = f"regexp_extract_all({{}}, '{_WORD}')"
 
 DECONTAMINATION = f"""
 WITH item AS (
@@ -16,24 +17,31 @@ WITH item AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS n, w[i : i + least(13, len(w)) - 1] AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM item WHERE len(w) > 0)
 ), doc AS (
-  SELECT doc_id, row_number() OVER () AS r, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents
+  SELECT doc_id, row_number() OVER () AS r, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w, coalesce(text, '') AS text FROM documents
 ), doc_window AS (
   SELECT r, n, i, w[i : i + n - 1] AS g
   FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)
 ), hit AS (
   SELECT r, i, n, item_id FROM doc_window JOIN item_window USING (n, g)
 ), word_hits AS (
-  SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS word FROM hit) GROUP BY r
+  SELECT r, count(DISTINCT word) AS n_hit, min(word) AS head, max(word) AS tail FROM (SELECT r, unnest(range(i, i + n)) AS word FROM hit) GROUP BY r
+), split AS (
+  SELECT r, head, tail, w, string_split_regex(text, '{_WORD}') AS gap FROM doc JOIN word_hits USING (r)
+), place AS (
+  SELECT r, CAST(list_sum(list_transform(gap[1 : head], lambda x: strlen(x))) + coalesce(list_sum(list_transform(w[1 : head - 1], lambda x: strlen(x))), 0) AS BIGINT) AS hit_start,
+    CAST(list_sum(list_transform(gap[1 : tail], lambda x: strlen(x))) + list_sum(list_transform(w[1 : tail], lambda x: strlen(x))) AS BIGINT) AS hit_end FROM split
 ), item_hits AS (
   SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN word_hits USING (r) LEFT JOIN item_hits USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, hit_start, hit_end
+FROM doc LEFT JOIN word_hits USING (r) LEFT JOIN item_hits USING (r) LEFT JOIN place USING (r)
 """
 
 _RULES = ", ".join(f"('{site.partition('/')[0]}', '/{site.partition('/')[2]}', '{site}', '{verdict}')" for site, verdict in SITES)
-_OWN = " OR ".join(f"contains(host, '{glob.strip('*')}')" for glob in OWN_BLOCKS)
+#: What the method blocks of its own, in the words of SQL: a host with one of these topics in a label, or a path with one.
+_TOPICS = "casino|poker|gambling|slots|betting|lottery|viagra|cialis|porn|xxx|escort|payday"
+_PLAIN = f"regexp_replace(regexp_replace({_LOWER.format("regexp_replace(host, '^.*@', '')")}, ':[0-9]*$', ''), '[.]+$', '')"
 
 URL_FILTER = f"""
 WITH page AS (
@@ -46,7 +54,8 @@ best AS (
   SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM page JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, lead) GROUP BY r
 )
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_OWN} THEN 'block' ELSE 'allow' END) AS verdict FROM page LEFT JOIN best USING (r)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches({_PLAIN}, '(^|[.-])({_TOPICS}|adult|bets|pills|spam)([.-]|$)') OR regexp_matches(lower(path), '[/_.-]({_TOPICS})([/_.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM page LEFT JOIN best USING (r)
 """
 
 LINE_DEDUP = f"""
@@ -84,7 +93,9 @@ WITH doc AS (
 )
 SELECT doc_id, size, source_size, target, CAST(size * (CAST(one AS INT) + CAST(two AS INT)) AS BIGINT) AS taken,
   round(CASE WHEN NOT one THEN NULL WHEN tilt = 0 THEN middle / target
-    ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (middle / target)) - (1 - tilt)) / (2 * tilt) END, 6) AS position
+    ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (middle / target)) - (1 - tilt)) / (2 * tilt) END, 6) AS position,
+  round(CASE WHEN NOT two THEN NULL WHEN tilt = 0 THEN (middle + source_size) / target
+    ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * ((middle + source_size) / target)) - (1 - tilt)) / (2 * tilt) END, 6) AS second_position
 FROM taken
 """
 

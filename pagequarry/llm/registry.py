@@ -46,8 +46,8 @@ def op7_simhash(spark, sf_dir):
 
 def op8_mixing(spark, sf_dir):
     plan = mixing.mix(table(spark, sf_dir, "documents"))
-    placed = plan.withColumn("position", F.get("positions", F.lit(0)))
-    return mixing.by_position(placed).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    placed = plan.withColumn("position", F.get("positions", F.lit(0))).withColumn("second_position", F.get("positions", F.lit(1)))
+    return mixing.by_position(placed).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.round("second_position", 6).alias("second_position"))
 
 
 def op9_sharding(spark, sf_dir):
