@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at")
         joined = large.join(least, F.col("a") == F.col("at"))
         small = joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("at", "low")).distinct()
-        now, new = _settle(small)
+        (now, new), last = _settle(small), now
+        discard(last)
         if new == mark:
             break
         mark = new

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import ascii_lower, bucketed, materialize, stripped
+from .storage import ascii_lower, bucketed, discard, materialize, stripped
 
 MIN_CHARS, MIN_DOCS, LEAST_BATCHES, BATCH_LINES, FANOUT = 20, 3, 4, 200_000_000, 2
 RESULTS = ("lines", "kept", "n_dropped")
@@ -71,18 +71,25 @@ class LineRuns:
         """``batch``: distinct (line, doc_id) of documents that came in no earlier batch."""
         own = batch.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         if self.runs():
-            own = bucketed(own, "line", "line-batch", ordered=True)
+            own = spent = bucketed(own, "line", "line-batch", ordered=True)
             self.again.append(materialize(reduce(DataFrame.unionByName, self.seen(own)), "line-again"))
             if len(self.again) > self.fanout:
-                self.again = [materialize(summed(self.again), "line-again")]
+                both, self.again = self.again, [materialize(summed(self.again), "line-again")]
+                discard(*both)
+        else:
+            spent = None
         run, level = bucketed(self.unseen(own), "line", "line-run", ordered=True), 0
+        if spent is not None:
+            discard(spent)
         while True:
             if len(self.levels) == level:
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            run, self.levels[level] = bucketed(reduce(DataFrame.unionByName, self.levels[level]), "line", "line-run", ordered=True), []
+            run, merged = bucketed(reduce(DataFrame.unionByName, self.levels[level]), "line", "line-run", ordered=True), self.levels[level]
+            discard(*merged)
+            self.levels[level] = []
             level += 1
 
     def repeated(self, min_docs: int) -> DataFrame:

@@ -41,10 +41,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bucketed, materialize, utf8_rows
+from .storage import bucketed, discard, lean, materialize, slices, utf8_rows
 
 ORDER, SLACK, HELD_OUT, LEAST_HELD, STEADY = 6, 0.15, 10, 20, 2400
-CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES, SLICE_ROWS, MERGE_KEYS = 1 << 20, 10 << 20, 8 << 20, 1000, 2_000_000
+CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES, MERGE_KEYS = 1 << 19, 5 << 20, 8 << 20, 1_000_000
 MOST_SHARDS, BLOCKS_AN_ANSWER, BROADCAST_IDS = 4096, 256, 2_000_000
 
 _FREE_ZERO = bytes([1, *range(1, 256)])
@@ -65,13 +65,6 @@ def chunks(raws: list[bytes]):
         yield start, raws[start:]
 
 
-def slices(batches):
-    """Arrow batches of at most SLICE_ROWS rows, so that a worker holds few texts twice."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(start, SLICE_ROWS)
-
-
 def grams(raws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the ``order`` bytes ending at each byte of the texts, and where each text's keys end."""
     lead = bytes(order - 1)
@@ -250,7 +243,7 @@ def train(docs: DataFrame, order: int = ORDER, shards: int | None = None, shard_
         kinds = pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())
         return pa.table([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["shard", "keys", "counts", "seen", "pairs", "n"])
 
-    sent = docs.select("text").mapInArrow(count, "shard int, keys binary, counts binary")
+    sent = docs.select("text").mapInArrow(lean(count), "shard int, keys binary, counts binary")
     model = materialize(sent.groupBy("shard").applyInArrow(add_up, "shard int, keys binary, counts binary, seen array<long>, pairs array<long>, n array<long>"), "gram-counts")
     # Four numbers an order, and at most 65,536 byte pairs, whatever the text.
     seen = {r["pos"]: r["n"] for r in model.select(F.posexplode("seen").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
@@ -310,7 +303,7 @@ def with_scores(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, p
         if held:
             yield block(held, number)
 
-    blocks = bucketed(rows.mapInArrow(box, "block long, box binary"), "block", "text-blocks")
+    blocks = bucketed(rows.mapInArrow(lean(box), "block long, box binary"), "block", "text-blocks")
     copies = max(1, -(-blocks.count() // blocks_an_answer))
 
     def ask(batches):
@@ -332,7 +325,7 @@ def with_scores(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, p
         logs = [own.log_probabilities(unpacked(x.as_py())).astype(precision).tobytes() for x in questions.column("asked")]
         return pa.table([questions.column("block"), questions.column("shard"), pa.array(logs, pa.binary())], ["block", "shard", "logs"])
 
-    asked = blocks.mapInArrow(ask, "block long, shard int, copy int, asked binary")
+    asked = blocks.mapInArrow(lean(ask), "block long, shard int, copy int, asked binary")
     copied = model.counts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     answers = asked.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(answer, "block long, shard int, logs binary")
 
@@ -356,7 +349,9 @@ def with_scores(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, p
         return table.append_column("n_bytes", pa.array([len(r) for r in raws], pa.int64())).append_column("log_p", pa.array(sums, pa.float64()))
 
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, widened(rows, "n_bytes long, log_p double"))
-    return scored.toDF(*names, "n_bytes", "log_p")
+    out = scored.toDF(*names, "n_bytes", "log_p")
+    out.blocks = blocks  # for whoever is done with the result
+    return out
 
 
 def widened(df: DataFrame, more: str):
@@ -407,8 +402,10 @@ def judged(docs: DataFrame, labels: DataFrame, order: int, slack: float) -> Data
         sized = F.octet_length(F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))).cast("long")
         return inner.withColumn("n_bytes", sized).withColumn("log_perplexity", F.lit(None).cast("double")).withColumn("threshold", F.lit(None).cast("double")).withColumn("keep", F.col("n_bytes") > 0)
     model = train(trusted.where(~held) if apart else trusted, order, max(1, min(MOST_SHARDS, -(-there["bytes"] // SHARD_BYTES))))
-    known = with_scores((trusted.where(held) if apart else trusted).select("lang", "text"), model).where("n_bytes > 0").select("lang", (-F.col("log_p") / F.col("n_bytes")).alias("x"), F.col("n_bytes").alias("n"))
-    table = materialize(limits(materialize(known, "trusted-scores"), LEAST_HELD if apart else 1, slack), "limits")
+    sample = with_scores((trusted.where(held) if apart else trusted).select("lang", "text"), model)
+    known = materialize(sample.where("n_bytes > 0").select("lang", (-F.col("log_p") / F.col("n_bytes")).alias("x"), F.col("n_bytes").alias("n")), "trusted-scores")
+    discard(sample.blocks)
+    table = materialize(limits(known, LEAST_HELD if apart else 1, slack), "limits")
     overall = table.where("overall").first()
     scored = with_scores(docs, model).toDF(*inner.columns, "n_bytes", "log_p")
     own = table.where("not overall").drop("overall")

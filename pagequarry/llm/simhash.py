@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize, utf8_rows
+from .storage import discard, lean, materialize, slices, utf8_rows
 
 SAMPLE, FILE_LIMIT, BROADCAST_IDS = 2048, 256, 2_000_000
 HASH_SEED = 42
 #: near_groups: bins of a sketch, bands and bins of a band, texts of a block, and how far an estimate decides.
-BINS, BANDS, ROWS, BLOCK, MARGIN = 512, 24, 6, 256, 0.08
+BINS, BANDS, ROWS, BLOCK, MARGIN = 512, 24, 7, 256, 0.08
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -81,11 +81,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(shingle_hashes(raw, shingle)) for raw in utf8_rows(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- parts and thresholds
@@ -205,6 +205,7 @@ def links(nodes: DataFrame, tau: int = 2, file_limit: int = FILE_LIMIT) -> DataF
     filed = materialize(filed, "filed")
     sizes = filed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(filed.join(sizes, ["part", "value"]), "files")
+    discard(filed)
 
     def verify(batches):
         import pyarrow as pa
@@ -270,7 +271,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             fps, sigs, keys = [], [], []
             for raw in utf8_rows(batch):
                 hashes = shingle_hashes(raw, shingle)
@@ -281,7 +282,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 keys.append([signed(xxh64_intdigest(packed[k * wide : (k + 1) * wide], k)) for k in range(BANDS if packed else 0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, fp long, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(lean(run), "doc_id long, text_key long, fp long, sig binary, bands array<long>")
 
 
 def likeness(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -405,7 +406,7 @@ def compared(met: DataFrame, similarity: float, margin: float) -> DataFrame:
             yield rows()
 
     dealt = met.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return dealt.mapInArrow(run, "band int, value long, i int, j int, a long, b long, probe boolean")
+    return dealt.mapInArrow(lean(run), "band int, value long, i int, j int, a long, b long, probe boolean")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -414,13 +415,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in utf8_rows(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(sets, pa.binary())], ["key", "hashes"])
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(side.withColumnRenamed("text_key", "wanted_key"), (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return own.select("text_key", "text").mapInArrow(run, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    return own.select("text_key", "text").mapInArrow(lean(run), "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -436,7 +437,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     hashes = sets.select("key", "hashes")
     joined = pairs.join(hashes.toDF("ka", "ha"), F.col("a") == F.col("ka")).join(hashes.toDF("kb", "hb"), F.col("b") == F.col("kb"))
-    return joined.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ha", "hb").mapInArrow(lean(run), "a long, b long")
 
 
 def meetings(shared: DataFrame, sig: DataFrame, high: float, block: int) -> tuple[DataFrame, DataFrame]:
@@ -461,7 +462,7 @@ def meetings(shared: DataFrame, sig: DataFrame, high: float, block: int) -> tupl
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "value", "n", "text_key", "pivot")), pa.array(likeness(own, pivot) >= high)], ["band", "value", "n", "text_key", "pivot", "linked"])
 
     beside = many.join(sig.withColumnRenamed("text_key", "s_"), F.col("text_key") == F.col("s_")).join(pivots, (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_")))
-    stars = materialize(beside.select("band", "value", "n", "text_key", "pivot", "sig", "pivot_sig").mapInArrow(star, "band int, value long, n long, text_key long, pivot long, linked boolean"), "stars")
+    stars = materialize(beside.select("band", "value", "n", "text_key", "pivot", "sig", "pivot_sig").mapInArrow(lean(star), "band int, value long, n long, text_key long, pivot long, linked boolean"), "stars")
     found = stars.where("linked and text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b"))
     others = stars.where("not linked").groupBy("band", "value").agg(F.count(F.lit(1)).alias("m")).select(F.col("band").alias("b_"), F.col("value").alias("v_"), "m")
     rest = stars.join(others, (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_")))
@@ -504,9 +505,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau:
     alike = first.where("b is not null").select("a", "b").union(second.select("a", "b")).union(starred).union(verified(pairs, sets, similarity))
     roots = components(alike)
     rooted = materialize(nodes.join(roots, F.col("text_key") == F.col("node"), "left").select("text_key", "first_id", F.coalesce("root", "text_key").alias("root")), "near-roots")
-    firsts = rooted.groupBy(F.col("root").alias("r_")).agg(F.min("first_id").alias("component_id"))
+    firsts = materialize(rooted.groupBy(F.col("root").alias("r_")).agg(F.min("first_id").alias("component_id")), "near-firsts")  # so that a hot root's join can be split
     named = materialize(rooted.join(firsts, F.col("root") == F.col("r_")).select(F.col("text_key").alias("t_"), "root", "component_id"), "near-named")
-    return rows.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("t_")).select("doc_id", "text_key", "root", "component_id")
+    found = materialize(rows.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("t_")).select("doc_id", "text_key", "root", "component_id"), "near-groups")
+    discard(rows, nodes, shared, first, pairs, wanted, sets, rooted, firsts, named)
+    return found
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -521,8 +524,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     groups = near_groups(docs.select("doc_id", "text"), **options)
     rows = materialize(groups.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n")), "near-rows")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    heads = rows.groupBy(F.col("root").alias("r_")).agg(F.min(rank).alias("head"))
+    heads = materialize(rows.groupBy(F.col("root").alias("r_")).agg(F.min(rank).alias("head")), "near-heads")
     judged = materialize(rows.join(heads, F.col("root") == F.col("r_")).withColumn("stays", rank == F.col("head")).where("not stays or n > 1").select("doc_id", "text_key", "stays"), "near-judged")
+    discard(groups, rows, heads)
 
     def side(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys

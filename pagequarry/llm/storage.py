@@ -41,7 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` or ``bucketed`` wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, key: str, name: str, ordered: bool = False) -> DataFrame:
@@ -54,6 +64,7 @@ def bucketed(df: DataFrame, key: str, name: str, ordered: bool = False) -> DataF
     (writer.sortBy(key) if ordered else writer).saveAsTable(called)
     out = spark.table(called)
     spark.sql(f"DROP TABLE {called}")  # from the catalog; the files stay
+    out.stored_at = path
     return out
 
 
@@ -80,9 +91,34 @@ def space_words(col):
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches of at most ``rows`` rows, so that a worker holds few texts twice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def utf8_rows(batch, column: str = "text"):
     """The UTF-8 bytes of a string column of an Arrow batch; null gives b''."""
     import pyarrow as pa
 
     col = batch.column(batch.schema.get_field_index(column))
     return [v if v is not None else b"" for v in col.cast(pa.binary()).to_pylist()]
+
+
+def lean(run):
+    """``run`` (an iterator of batches to one of batches), giving freed memory back to the system when a task ends, so
+    that idle Python workers stay small."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
