@@ -64,6 +64,15 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--max-pages", type=number(1, 1_000_000))
     a.add_argument("--max-depth", type=number(0, 1000))
     a.add_argument("--severity", action="append", default=[], metavar="RULE=SEVERITY", help="another severity for a rule")
+    c = sub.add_parser("crawl", help="fetch a site and store it for audits: DIR/corpus, DIR/robots, DIR/sitemaps")
+    c.add_argument("start_url")
+    c.add_argument("output")
+    c.add_argument("--max-pages", type=number(1, 1_000_000), default=500)
+    c.add_argument("--max-depth", type=number(0, 1000), default=10)
+    c.add_argument("--timeout", type=number(1, 3600), default=15, help="seconds for a fetch with its redirects")
+    c.add_argument("--requests-per-second", type=number(1, 1000), default=5)
+    c.add_argument("--user-agent", default="pagequarry")
+    c.add_argument("--allow-private", action="store_true", help="loopback, private and link-local addresses too")
     d = sub.add_parser("diff", help="compare two saved reports")
     d.add_argument("baseline")
     d.add_argument("current")
@@ -106,6 +115,21 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"version": __version__}) if args.json else __version__)
         return reports.EXIT_OK
     spark = session()
+    if args.command == "crawl":
+        from .plans.live_crawl import live_crawl
+        from .sources.fetch import Limits
+
+        try:
+            start = start_address(args.start_url)
+        except BadUrl as e:
+            print(f"invalid argument: {e}", file=sys.stderr)
+            return reports.EXIT_USAGE
+        done = live_crawl(spark, start, args.max_pages, args.max_depth, Limits(timeout=args.timeout, per_second=args.requests_per_second, agent=args.user_agent, allow_private=args.allow_private))
+        for name, table in (("corpus", done.corpus), ("robots", done.robots_files), ("sitemaps", done.sitemap_files)):
+            table.write.parquet(f"{args.output}/{name}")
+        print(f"{done.corpus.count()} pages stored; stopped: {done.stop_reason}")
+        failed = done.stop_reason == "start-disallowed" or done.corpus.where((F.col("url") == start) & (F.col("error") != "")).limit(1).count() > 0
+        return reports.exit_code({"summary": {"highest_severity": ""}}, None, failed)
     if args.command == "diff":
         loaded = [report_findings(load_report(spark, p)) for p in (args.current, args.baseline)]
         diff = reports.compare(*loaded)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +12,30 @@ from ..storage import save
 from .traps import admitted
 
 MAX_PAGES, MAX_DEPTH = 500, 10
+Expand = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+Judge = Callable[[DataFrame], DataFrame]
 
 
 def queue_limit(max_pages: int) -> int:
     return min(max(10 * max_pages, 1000), 100_000)
 
 
-def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, seeds: DataFrame | None = None, disallowed: DataFrame | None = None, redirects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(starts: DataFrame, links: DataFrame | Expand, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, seeds: DataFrame | None = None, disallowed: DataFrame | Judge | None = None, redirects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages (site, url, depth) in the order of a breadth-first crawl, and skipped URLs (site, url, reason).
 
     ``starts``, ``seeds``, ``disallowed``: site, url; ``links``: site, source, target; ``redirects``: url, final_url.
+    Instead of tables of all links and refusals, ``links`` may be a function from a level (site, url, depth) to its links
+    and redirects, and ``disallowed`` one from URLs to those that are refused.
     All sites go forward a level at a time; a level is joined with the links, cleared of URLs seen, and filtered by
     depth, robots, traps, queue and page limit, each site for itself.  Levels are at most max_depth + 1."""
     level = save(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
     pages, skipped, seen, passed = level, None, level.select("site", "url"), None
     for depth in range(1, max_depth + 2):
-        reached = level.join(links.withColumnRenamed("site", "site_"), (F.col("url") == F.col("source")) & (F.col("site") == F.col("site_"))).select("site", F.col("target").alias("url"))
+        if callable(links):
+            known, redirects = links(level)
+        else:
+            known = links
+        reached = level.join(known.withColumnRenamed("site", "site_"), (F.col("url") == F.col("source")) & (F.col("site") == F.col("site_"))).select("site", F.col("target").alias("url"))
         if depth == 1 and seeds is not None:
             reached = reached.union(seeds.select("site", "url"))
         if redirects is not None:
@@ -40,7 +50,8 @@ def crawl(starts: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, max_d
             break
         judged = new
         if disallowed is not None:
-            shut = disallowed.select("site", "url").distinct().withColumn("shut", F.lit(True))
+            refused = disallowed(judged.select("url")) if callable(disallowed) else disallowed
+            shut = refused.select("site", "url").distinct().withColumn("shut", F.lit(True))
             judged = judged.join(shut, ["site", "url"], "left")
         else:
             judged = judged.withColumn("shut", F.lit(None).cast("boolean"))

@@ -47,6 +47,12 @@ def address_key(text: str | None) -> tuple[int, str]:
     return ip.version, f"{int(ip):032x}"
 
 
+def class_of(ip: str) -> str:
+    """The class of one address, as ``classify`` gives it for many."""
+    version, key = address_key(ip)
+    return next((kind for _, v, low, high, kind in prefix_rows() if v == version and low <= key <= high), "reserved")
+
+
 def classify(addresses: DataFrame, ip: str) -> DataFrame:
     """``addresses`` with ``ip_class``: the first prefix that holds the address (a range join with 38 rows)."""
     spark = addresses.sparkSession

@@ -11,8 +11,9 @@ from .findings import finding, lines, spread
 MAX_FILES, MAX_URLS, MAX_DEPTH, MAX_LISTED = 50, 50_000, 2, 100
 
 
-def collect_files(files: DataFrame, seeds: DataFrame, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Files reached from ``seeds`` (site, url, source, declared) through indexes, breadth first, ``max_files`` a site.
+def reached_files(files: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Files reached from ``seeds`` (site, url, source, declared) through indexes, with their place ``k`` in breadth-first
+    order of their site.
 
     ``files``: url and the parsed fields of every stored file.  Adds site, source, depth, declared."""
     level = seeds.select("site", "url", "source", "declared", F.lit(0).alias("depth"), F.lit(0).alias("pos"))
@@ -27,7 +28,17 @@ def collect_files(files: DataFrame, seeds: DataFrame, max_files: int = MAX_FILES
             index = here.where("kind = 'sitemapindex'")
             level = index.select("site", F.col("url").alias("source"), F.lit(True).alias("declared"), F.posexplode("entries").alias("pos", "e")).select("site", normal_url(F.col("e.loc")).alias("url"), "source", "declared", F.lit(depth + 1).alias("depth"), "pos")
     rank = F.row_number().over(Window.partitionBy("site").orderBy("depth", "source", "pos", "url"))
-    return found.withColumn("k", rank).where(F.col("k") <= max_files).drop("k", "pos")
+    return found.withColumn("k", rank).drop("pos")
+
+
+def collect_files(files: DataFrame, seeds: DataFrame, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The first ``max_files`` of each site's ``reached_files``."""
+    return reached_files(files, seeds, max_depth).where(F.col("k") <= max_files).drop("k")
+
+
+def skipped_files(reached: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+    """(site, left_out): how many of a site's files are beyond ``max_files``."""
+    return reached.groupBy("site").agg(F.count_if(F.col("k") > max_files).alias("left_out"))
 
 
 def listed_urls(files: DataFrame) -> DataFrame:
@@ -66,10 +77,12 @@ def sitemap_file_findings(files: DataFrame, listed: DataFrame) -> DataFrame:
     return each.union(none).union(wrong)
 
 
-def sitemap_limits(listed: DataFrame, skipped_files: int = 0, most: int = MAX_URLS) -> DataFrame:
-    extra = listed.where("state = 'ok'").groupBy("site").agg((F.count_distinct("url") - most).alias("over"))
-    told = lines(F.lit(f"sitemap files not fetched: {skipped_files}"), F.concat(F.lit("sitemap URLs not recorded: "), F.greatest(F.col("over"), F.lit(0)).cast("string")))
-    return spread(extra, finding("crawlability", "SEO-SITEMAP-008", F.lit(""), told, (F.col("over") > 0) | F.lit(skipped_files > 0)))
+def sitemap_limits(listed: DataFrame, skipped: DataFrame, most: int = MAX_URLS) -> DataFrame:
+    """``skipped`` as of ``skipped_files``."""
+    extra = listed.where("state = 'ok'").groupBy("site").agg(F.greatest(F.count_distinct("url") - most, F.lit(0)).alias("over"))
+    both = skipped.join(extra, "site", "left").select(F.col("left_out"), F.coalesce("over", F.lit(0)).alias("over"))
+    told = lines(F.concat(F.lit("sitemap files not fetched: "), F.col("left_out").cast("string")), F.concat(F.lit("sitemap URLs not recorded: "), F.col("over").cast("string")))
+    return spread(both, finding("crawlability", "SEO-SITEMAP-008", F.lit(""), told, (F.col("over") > 0) | (F.col("left_out") > 0)))
 
 
 def bad_targets(urls: DataFrame, observed: DataFrame, disallowed: DataFrame) -> DataFrame:

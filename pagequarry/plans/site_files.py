@@ -9,6 +9,7 @@ from ..functions.urls import path_of, query_of, site_key
 from ..operators import robots, sitemaps
 from ..sources.robots import PRODUCT, parse_robots_files
 from ..sources.sitemap import parse_sitemap_files
+from ..storage import save
 
 FILE = ["url", "final_url", "status", "error"]
 
@@ -59,10 +60,11 @@ def sitemap_part(files: DataFrame, seeds: DataFrame, observed: DataFrame, parsed
     stored = parse_sitemap_files(files.withColumnRenamed("error", "fetch_error"), ["url", "status", "fetch_error"])
     failed = F.coalesce(F.when(F.coalesce("fetch_error", F.lit("")) != "", F.col("fetch_error")), F.when(~F.col("status").between(200, 299), F.concat(F.lit("HTTP status "), F.col("status").cast("string"))))
     stored = stored.withColumn("invalid", F.col("invalid") & failed.isNull()).withColumn("kind", F.when(failed.isNull(), F.col("kind"))).withColumn("warnings", F.when(failed.isNull(), F.col("warnings")).otherwise(F.array().cast("array<string>"))).withColumn("error", F.coalesce(failed, "error"))
-    found = sitemaps.collect_files(stored, seeds)
+    reached = save(sitemaps.reached_files(stored, seeds))
+    found = reached.where(F.col("k") <= sitemaps.MAX_FILES).drop("k")
     listed = sitemaps.listed_urls(found.where("error is null"))
     urls = sitemaps.sitemap_urls(listed)
-    parts = sitemaps.sitemap_file_findings(found, listed).union(sitemaps.sitemap_limits(listed))
+    parts = sitemaps.sitemap_file_findings(found, listed).union(sitemaps.sitemap_limits(listed, sitemaps.skipped_files(reached)))
     return parts.union(sitemaps.bad_targets(urls, observed, disallowed_urls(urls, parsed_robots)))
 
 

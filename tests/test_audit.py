@@ -135,6 +135,11 @@ def test_sitemap_collection(spark):
     seeds = spark.createDataFrame([("s.test", "https://s.test/i.xml", "robots.txt", True)], "site string, url string, source string, declared boolean")
     found = sitemaps.collect_files(files, seeds)
     assert sorted((r["url"], r["depth"]) for r in found.collect()) == [("https://s.test/i.xml", 0), ("https://s.test/m.xml", 1)]
+    reached = sitemaps.reached_files(files, seeds)
+    assert [tuple(r) for r in sitemaps.skipped_files(reached, 1).collect()] == [("s.test", 1)]
+    told = sitemaps.sitemap_limits(sitemaps.listed_urls(found), sitemaps.skipped_files(reached, 1), 0).first()
+    assert told["id"] == "SEO-SITEMAP-008" and told["evidence"] == ["sitemap files not fetched: 1", "sitemap URLs not recorded: 1"]
+    assert sitemaps.sitemap_limits(sitemaps.listed_urls(found), sitemaps.skipped_files(reached)).count() == 0
     listed = sitemaps.listed_urls(found)
     assert {r["state"] for r in listed.collect()} == {"ok", "out-of-scope", "invalid"} and sitemaps.sitemap_urls(listed).count() == 1
 
