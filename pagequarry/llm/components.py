@@ -21,13 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
         if not mark[0]:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("low"))
-        large = both.join(low, F.col("a") == F.col("at")).where("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at")
+        # Least neighbours are written before they are joined, so that the join of a hot node's edges can be split.
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("low")), "low")
+        large = materialize(both.join(low, F.col("a") == F.col("at")).where("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "large")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at"), "least")
         joined = large.join(least, F.col("a") == F.col("at"))
         small = joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("at", "low")).distinct()
         (now, new), last = _settle(small), now
-        discard(last)
+        discard(last, low, large, least)
         if new == mark:
             break
         mark = new

@@ -13,8 +13,8 @@ Everything is array expressions on one row: no shuffle to make a fingerprint.
 Cases: null and empty texts, and texts of white space, have the empty
 fingerprint, which is like itself (1) and unlike any other (0); the next
 document is the next distinct (doc_id, text), by id and then by text hash, the
-first after the last, so repeated rows get equal results; a null id sorts first;
-with a single document the next is itself; an empty table gives an empty result.
+first after the last, so repeated rows get equal results; a null id sorts first,
+as the least long, which stands for it, does (that id comes back as null); with a single document the next is itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations

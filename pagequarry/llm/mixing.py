@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sharding import running_sums
 from .storage import materialize, partitions, space_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -38,27 +39,32 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def targets(sizes: list[int], share: float = SHARE, cap: int = CAP, weights=WEIGHTS) -> list[float]:
-    """Word targets of the sources, in order (water filling)."""
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    want, capped = share * sum(sizes), set()
-    while True:
-        left = want - sum(cap * sizes[i] for i in capped)
-        heavy = sum(w for i, w in enumerate(weight) if i not in capped)
-        level = left / heavy if heavy else 0.0
-        over = {i for i in range(len(sizes)) if i not in capped and level * weight[i] > cap * sizes[i]}
-        if not over:
-            return [float(cap * s) if i in capped else level * weight[i] for i, s in enumerate(sizes)]
-        capped |= over
+def source_plan(sizes: DataFrame, share: float = SHARE, cap: int = CAP, weights=WEIGHTS, tilts=TILTS) -> DataFrame:
+    """(named, source_size, target, tilt) of ``sizes`` (source, words), a row for each source, in order of sources.
+
+    Water filling without a loop: in order of words by weight the sources fill up one after the other, so the level is
+    that of the first source which stays below its cap when all before it have theirs.  Orders and running sums are
+    distributed, for there may be as many sources as hosts; only totals and the level come to the driver."""
+    total = sizes.agg(F.sum("words")).first()[0] or 0
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("k") % len(values)).cast("int"))
+    ordered = running_sums(sizes.select(F.col("source").isNull().alias("last"), "source", "words", F.lit(1).alias("one")), ["last", "source"], "one", "mix-sources")
+    numbered = ordered.withColumn("k", F.col("cum") - 1)
+    weighed = numbered.select("source", "words", "k", pick(weights).alias("w"), pick(tilts).alias("tilt")).withColumn("ratio", F.col("words") / F.col("w"))
+    first = running_sums(weighed.withColumn("most", F.col("words") * cap), ["ratio", "k"], "most", "mix-caps").withColumnRenamed("cum", "caps").drop("pid")
+    both = running_sums(first, ["ratio", "k"], "w", "mix-weights").drop("pid")
+    heavy = both.agg(F.sum("w")).first()[0] or 0.0
+    level = (share * total - (F.col("caps") - F.col("most"))) / (heavy - (F.col("cum") - F.col("w")))
+    found = both.withColumn("level", level).where(F.col("level") * F.col("w") <= F.col("most")).agg(F.min(F.struct("ratio", "k", "level")).alias("f")).first()["f"]
+    below = F.lit(True) if found is None else (F.col("ratio") < found["ratio"]) | ((F.col("ratio") == found["ratio"]) & (F.col("k") < found["k"]))
+    target = F.when(below, F.col("most").cast("double")).otherwise(F.lit(found["level"] if found else 0.0) * F.col("w"))
+    return both.select(F.col("source").alias("named"), F.col("words").alias("source_size"), target.alias("target"), "tilt")
 
 
 def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights=WEIGHTS, tilts=TILTS, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, positions (of the copies, 0 to 1)."""
     spark = docs.sparkSession
     rows = materialize(docs.select("doc_id", "source", F.size(space_words(F.col("text"))).cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed))).alias("draw")), "mix-rows")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()  # a row for each source
-    aims = targets([r["words"] for r in by_source], share, cap, weights)
-    plan = spark.createDataFrame([(r["source"], r["words"], t, float(tilts[i % len(tilts)])) for i, (r, t) in enumerate(zip(by_source, aims, strict=True))], "source string, source_size bigint, target double, tilt double")
+    plan = source_plan(materialize(rows.groupBy("source").agg(F.sum("size").alias("words")), "mix-sizes"), share, cap, weights, tilts)
 
     order = ["source", "draw", "doc_id", "size"]
     dealt = materialize(rows.repartitionByRange(partitions(spark), *order).withColumn("pid", F.spark_partition_id()), "mix-dealt")
@@ -68,7 +74,6 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights=WEIGHTS,
     inside = Window.partitionBy("pid", "source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row for each partition and each source that begins in one; one row for each source
     queued = dealt.join(small(starts), F.col("source").eqNullSafe(F.col("source_")) & (F.col("pid") == F.col("pid_"))).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
-    plan = plan.withColumnRenamed("source", "named")
     queued = queued.join(small(plan), F.col("source").eqNullSafe(F.col("named")))
     middle = [F.col("start") + F.col("size") / 2 + k * F.col("source_size") for k in range(cap)]
     copies = sum(((m <= F.col("target")) & (F.col("size") > 0)).cast("int") for m in middle)

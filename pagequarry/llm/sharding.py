@@ -123,7 +123,8 @@ def running_sums(df: DataFrame, order: list[str], value: str, name: str) -> Data
     for r in sorted(sums, key=lambda r: r["pid"]):
         before.append((r["pid"], at))
         at += r["part"]
-    offsets = spark.createDataFrame(before, "pid int, before bigint")
+    kind = dealt.agg(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    offsets = spark.createDataFrame([(p, float(x) if kind == "double" else x) for p, x in before], f"pid int, before {kind}")
     inside = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return dealt.join(F.broadcast(offsets), "pid").withColumn("cum", F.col("before") + F.sum(value).over(inside)).drop("before")
 

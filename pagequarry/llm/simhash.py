@@ -264,8 +264,8 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_key, fp, sig, bands): hash of the text, fingerprint, low bytes of the sketch, and a key for each
-    band; texts without words have no bands."""
+    """(doc_id, text_key, fp, sig, bands): hash of the text, fingerprint, the low four bits of each bin of the sketch, and
+    a key for each band; texts without words have no bands."""
 
     def run(batches):
         import pyarrow as pa
@@ -277,7 +277,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 hashes = shingle_hashes(raw, shingle)
                 fps.append(fingerprint(hashes))
                 full = sketch(hashes) if len(hashes) else np.zeros(0, np.uint64)
-                sigs.append(full.astype(np.uint8).tobytes())
+                low = (full & np.uint64(15)).astype(np.uint8)
+                sigs.append((low[0::2] << 4 | low[1::2]).tobytes())
                 packed, wide = full.tobytes(), 8 * ROWS
                 keys.append([signed(xxh64_intdigest(packed[k * wide : (k + 1) * wide], k)) for k in range(BANDS if packed else 0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "sig", "bands"])
@@ -285,9 +286,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(lean(run), "doc_id long, text_key long, fp long, sig binary, bands array<long>")
 
 
+#: Of two bins in a byte, how many are zero.
+_EQUAL_BINS = np.array([(b >> 4 == 0) + (b & 15 == 0) for b in range(256)], np.uint8)
+
+
 def likeness(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Estimated similarity of each sketch to one: equal bins, less those equal by chance."""
-    return ((sigs == one).mean(1) - 1 / 256) / (1 - 1 / 256)
+    return (_EQUAL_BINS[sigs ^ one].sum(1, dtype=np.int64) / BINS - 1 / 16) / (1 - 1 / 16)
 
 
 def shared_part(a: np.ndarray, b: np.ndarray) -> float:

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
+BATCH_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -36,11 +38,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS rows at most while a table is written, for rows hold whole texts and both sides of the
+    pipe to Python hold a batch."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(setting)
+    if 0 < int(had) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, had)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -61,7 +80,8 @@ def bucketed(df: DataFrame, key: str, name: str, ordered: bool = False) -> DataF
     path, count = new_path(spark, name), partitions(spark)
     called = f"pagequarry_{uuid.uuid4().hex}"
     writer = (df.repartition(count, key) if ordered else df).write.bucketBy(count, key).format("parquet").option("path", path)
-    (writer.sortBy(key) if ordered else writer).saveAsTable(called)
+    with small_batches(spark):
+        (writer.sortBy(key) if ordered else writer).saveAsTable(called)
     out = spark.table(called)
     spark.sql(f"DROP TABLE {called}")  # from the catalog; the files stay
     out.stored_at = path
