@@ -742,6 +742,20 @@ def test_a_pivot_spares_pairs_but_no_link(spark):
 # ---------------------------------------------------------------- 8
 
 
+def water_filled(sizes, share=mixing.SHARE, cap=mixing.CAP, weights=mixing.WEIGHTS):
+    """Targets by capping whatever is above and sharing again, until nothing is."""
+    weight = [weights[i % len(weights)] for i in range(len(sizes))]
+    want, capped = share * sum(sizes), set()
+    while True:
+        left = want - sum(cap * sizes[i] for i in capped)
+        heavy = sum(w for i, w in enumerate(weight) if i not in capped)
+        level = left / heavy if heavy else 0.0
+        over = {i for i in range(len(sizes)) if i not in capped and level * weight[i] > cap * sizes[i]}
+        if not over:
+            return [float(cap * s) if i in capped else level * weight[i] for i, s in enumerate(sizes)]
+        capped |= over
+
+
 def test_mix_meets_targets(docs, none):
     rows, df = docs
     out = got(mixing.mix(df))
@@ -754,7 +768,7 @@ def test_mix_meets_targets(docs, none):
         assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["copies"] == len(r["positions"])
         assert all(0 <= p <= 1 for p in r["positions"])
     order = sorted(size, key=lambda s: (s is None, s))
-    assert [aim[s] for s in order] == pytest.approx(mixing.targets([size[s] for s in order]))
+    assert [aim[s] for s in order] == pytest.approx(water_filled([size[s] for s in order]))
     assert sum(aim.values()) == pytest.approx(1.5 * sum(size.values()))
     biggest = {s: max(r["size"] for r in out if r["source"] == s) for s in size}
     assert all(abs(took[s] - aim[s]) <= biggest[s] / 2 + 1 and aim[s] <= 2 * size[s] for s in size)
@@ -763,9 +777,14 @@ def test_mix_meets_targets(docs, none):
     assert got(mixing.mix(none)) == []
 
 
-def test_targets_reshare_excess():
-    assert mixing.targets([10, 1000, 1000]) == [20.0, pytest.approx(1996.67, abs=0.1), pytest.approx(998.33, abs=0.1)]
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def test_plans_match_water_filling(spark):
+    rng = random.Random(6)
+    for sizes in ([10, 1000, 1000], [0, 0], [7], [], [rng.randrange(0, 50) ** 3 for _ in range(200)], [5, 5, 5, 5]):
+        names = [None if i == len(sizes) - 1 and len(sizes) > 2 else f"s{i:04d}" for i in range(len(sizes))]
+        df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, words long")
+        plan = {r["named"]: r for r in mixing.source_plan(df).collect()}
+        assert [plan[n]["target"] for n in names] == pytest.approx(water_filled(sizes)) and [plan[n]["tilt"] for n in names] == [mixing.TILTS[i % 3] for i in range(len(names))]
+    assert water_filled([10, 1000, 1000]) == [20.0, pytest.approx(1996.67, abs=0.1), pytest.approx(998.33, abs=0.1)]
 
 
 def test_demand_inverse_and_training_order(spark, docs):
@@ -840,10 +859,22 @@ def test_shards_hold_groups_together(spark, docs, none):
         for r in out:
             where[r["text_crc32"], r["size"]].add(r["shard"])
         assert all(len(s) == 1 for s in where.values())
-        groups = Counter()
-        for _, t in texts:
+        groups, first = Counter(), {}
+        for d, t in texts:
             groups[t] += len(t.encode()) + 1
-        assert max(load.values()) <= max(max(groups.values()), sum(load.values()) / 16 + max(groups.values()))
+            d = sharding.NULL_ID if d is None else d
+            first[t] = min(first.get(t, d), d)
+        # groups above an even share of what is left have a shard of their own, the others are cut where they fit best
+        left, rest, giants = 16, sum(groups.values()), []
+        for t in sorted(groups, key=lambda t: (-groups[t], hashlib.md5(t.encode()).digest())):
+            if left > 1 and groups[t] * left > rest:
+                giants.append(t)
+                left, rest = left - 1, rest - groups[t]
+        small = sorted((t for t in groups if t not in giants), key=lambda t: (first[t], hashlib.md5(t.encode()).digest()))
+        home = {t: where[zlib.crc32(t.encode()), len(t.encode()) + 1] for t in groups}
+        line = [min(home[t]) for t in small]
+        assert line == sorted(line) and max(line) < left and sorted(min(home[t]) for t in giants) == list(range(left, 16))
+        assert max(load[s] for s in range(left)) == brute_capacity([groups[t] for t in small], left)
     assert got(sharding.assign_shards(none)) == []
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from pagequarry.llm import mixing
+from test_llm_operators import water_filled
 
 
 def test_run_matches_brute_force(spark, tmp_path):
@@ -29,7 +30,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     for i in clean:
         total[source[i]] += size[i]
     order = sorted(total, key=lambda s: (s is None, s))
-    aim = dict(zip(order, mixing.targets([total[s] for s in order]), strict=True))
+    aim = dict(zip(order, water_filled([total[s] for s in order]), strict=True))
     want, at = Counter(), Counter()
     for i in sorted(clean, key=lambda i: hashlib.md5(f"{i}:{mixing.SEED}".encode()).hexdigest()):
         s = source[i]
@@ -43,3 +44,35 @@ def test_run_matches_brute_force(spark, tmp_path):
         slots[r["shard"]].append(r["slot"])
         shard[r["doc_id"]].add(r["shard"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in shard.values())
+
+
+NAMES = ["keep", "mix_id", "gone_id", "block", "text_key", "runs", "c0", "position", "limit_"]
+
+
+def test_run_takes_odd_rows_and_columns(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = [(i, " ".join(word() for _ in range(60)), "en", ["a", None][i % 2], i) for i in range(40)]
+    rows += [(None, " ".join(word() for _ in range(60)), None, "a", None), (None, None, None, None, None), (50, None, "en", "a", 1), (51, "", "en", "a", 1), (52, " \n", "de", "a", 1), rows[3], rows[3], (3, "another text under a used id " * 9, "en", "a", 1), (53, " ".join(word() for _ in range(30_000)), "en", "b", 1)]
+    extra = tuple(f"{n}!" for n in NAMES)
+    spark.createDataFrame([r + extra for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(40)] + [(None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(rows[7][1].split()[:20])), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    names, counts = docs.columns, [len(rows)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"file://{tmp_path}")
+        assert docs.columns == names, name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        counts.append(docs.count())
+        assert {tuple(r[n] for n in NAMES) for r in docs.collect()} == {extra}, name
+    assert counts[0] > counts[1] > counts[2] > counts[3]
+    out = corpus_pipeline.deal_shards(spark, docs, f"file://{tmp_path}").collect()
+    assert len(out) == counts[4] and 7 not in {r["doc_id"] for r in out}
+
+
+def test_run_takes_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
