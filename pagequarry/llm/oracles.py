@@ -17,7 +17,7 @@ WITH item AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS n, w[i : i + least(13, len(w)) - 1] AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM item WHERE len(w) > 0)
 ), doc AS (
-  SELECT doc_id, row_number() OVER () AS r, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w, coalesce(text, '') AS text FROM documents
+  SELECT doc_id, row_number() OVER () AS r, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w, {_LOWER.format("coalesce(text, '')")} AS text FROM documents
 ), doc_window AS (
   SELECT r, n, i, w[i : i + n - 1] AS g
   FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)
