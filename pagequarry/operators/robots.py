@@ -15,6 +15,14 @@ def agent_token(name: Column) -> Column:
     return F.regexp_extract(name, r"^[^/ \t]*", 0)
 
 
+def crawl_delay(agents: Column, delays: Column, agent: str) -> Column:
+    """Seconds that robots.txt asks ``agent`` to wait: of the groups that name it, else of ``*``; null where none says so.
+    It is reported, not kept: requests are spaced by the crawler's own limit."""
+    named = F.exists(agents, lambda a: agent_token(a) == agent)
+    of = lambda d: F.exists(d["agents"], lambda a: F.when(named, agent_token(a) == agent).otherwise(a == "*"))
+    return F.get(F.filter(delays, of), F.lit(0))["seconds"]
+
+
 def pattern_regex(pattern: Column) -> Column:
     """A rule's pattern as a Java regex for the start of a path: * any run, a final $ the end.  Runs of * are one, and
     the runs are lazy, so a match needs no backtracking into what a later literal settled."""

@@ -24,6 +24,7 @@ class Audit:
     terms: DataFrame
     weak_terms: DataFrame
     scores: DataFrame
+    crawl_delays: DataFrame | None = None
 
 
 def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None, robots_files: DataFrame | None = None, sitemap_files: DataFrame | None = None, other_fetches: DataFrame | None = None) -> Audit:
@@ -90,8 +91,10 @@ def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None,
     ]
     if other_fetches is not None:
         parts += [links.external_findings(pages, other_fetches), checks.upgrade_findings(start_url, other_fetches)]
+    delays = None
     if robots_files is not None:
         parsed_robots = save(site_files.read_robots(robots_files))
+        delays = site_files.crawl_delays(parsed_robots)
         parts.append(site_files.robots_part(parsed_robots, start_url))
         if sitemap_files is not None:
             own = F.coalesce("canonical", F.lit(""))
@@ -111,4 +114,4 @@ def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None,
     strong = terms.site_strengths(site)
     top = terms.with_keywords(terms.top_terms(strong), strong, keywords or [])
     metrics = links.link_metrics(pages).join(pages.select("url", "depth", "indexable").dropDuplicates(["url"]), "url")
-    return Audit(pages, found, metrics, top.select("term", "strength"), terms.weak_terms(terms.weak_candidates(site)), findings.scores(found, n))
+    return Audit(pages, found, metrics, top.select("term", "strength"), terms.weak_terms(terms.weak_candidates(site)), findings.scores(found, n), delays)

@@ -34,10 +34,17 @@ def build_report(result: Audit, start_url: str, stop_reason: str = "completed",
         "terms": [r.asDict() for r in result.terms.collect()],
         "weak_terms": [{"term": r["term"], "strength": r["strength"]} for r in result.weak_terms.collect()],
         "pages": [r.asDict() for r in result.metrics.orderBy("url").collect()],
+        "crawl_delay_seconds": {r["url"]: r["seconds"] for r in result.crawl_delays.collect()} if result.crawl_delays is not None else {},  # one robots.txt for each origin
         "quick_wins": [r["id"] for r in quick_wins(result.findings).collect()],
     }
 
 
+def store(result: Audit, folder: str) -> None:
+    """The audit's frames as Parquet below ``folder``: the form for corpora whose findings no report document can hold."""
+    for name in ("findings", "metrics", "terms", "weak_terms", "scores"):
+        getattr(result, name).write.parquet(f"{folder}/{name}")
+
+
 def highlights(report: dict) -> tuple[list[str], list[str]]:
     """(strengths, weaknesses) in words."""
     good, bad = [], []
@@ -81,6 +88,7 @@ def render_text(report: dict, detailed: bool = False) -> str:
         out.append(f"Scores: SEO {report['scores']['seo']}, web hygiene {report['scores']['web_hygiene']}")
     if s["stop_reason"] != "completed" or s["skipped"]:
         out.append(f"Crawl stopped: {s['stop_reason']}" + "".join(f"; {n} {reason}" for reason, n in skipped_rows(report)))
+    out += [f"robots.txt at {url} asks for {seconds:g} seconds between requests" for url, seconds in sorted(report.get("crawl_delay_seconds", {}).items())]
     for title, lines in zip(("Strengths", "Weaknesses"), highlights(report), strict=True):
         out += [f"{title}:"] + [f"  {x}" for x in lines] if lines else []
     for group in GROUPS:

@@ -46,6 +46,11 @@ def robots_part(parsed: DataFrame, start_url: str) -> DataFrame:
     return robots.robots_findings(parsed, robots.allowed(asked, robots.rules_for(rule_rows(parsed), asked)), PRODUCT)
 
 
+def crawl_delays(parsed: DataFrame, agent: str = PRODUCT) -> DataFrame:
+    """(url, seconds) of each robots.txt that asks ``agent`` to wait."""
+    return parsed.select("url", robots.crawl_delay(F.col("agents"), F.col("delays"), agent).alias("seconds")).where("seconds is not null")
+
+
 def disallowed_urls(urls: DataFrame, parsed: DataFrame, agent: str = PRODUCT) -> DataFrame:
     """(url): those that their robots.txt keeps ``agent`` from; where it is unavailable, all."""
     asked = urls.select("url").distinct().select("url", robots_address(F.col("url")).alias("origin"), F.lit(agent).alias("asked"), request_path(F.col("url")).alias("path"))

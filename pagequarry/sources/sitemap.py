@@ -30,9 +30,16 @@ def is_lastmod(text: str) -> bool:
     return True
 
 
-def unpacked(data: bytes, most: int = MAX_FILE_BYTES) -> tuple[bytes, bool, bool]:
+def is_packed(data: bytes, url: str = "", content_type: str = "") -> bool:
+    """Is a file gzip: by its first bytes, its type, or its name where it does not begin like XML?"""
+    kind = content_type.partition(";")[0].strip().lower()
+    named = url.lower().partition("?")[0].endswith(".gz") and data.strip()[:1] not in (b"", b"<")
+    return data[:2] == b"\x1f\x8b" or kind in ("application/gzip", "application/x-gzip") or named
+
+
+def unpacked(data: bytes, most: int = MAX_FILE_BYTES, packed: bool | None = None) -> tuple[bytes, bool, bool]:
     """(bytes, was gzip, over the limit)."""
-    if data[:2] != b"\x1f\x8b":
+    if not (is_packed(data) if packed is None else packed):
         return data[: most + 1], False, len(data) > most
     try:
         out = gzip.GzipFile(fileobj=io.BytesIO(data)).read(most + 1)
@@ -41,8 +48,9 @@ def unpacked(data: bytes, most: int = MAX_FILE_BYTES) -> tuple[bytes, bool, bool
     return out, True, len(out) > most
 
 
-def parse_sitemap(data: bytes) -> dict:
-    out: dict = {"kind": None, "entries": [], "warnings": [], "truncated": False, "gzip": data[:2] == b"\x1f\x8b", "error": None, "invalid": False}
+def parse_sitemap(data: bytes, url: str = "", content_type: str = "") -> dict:
+    packed = is_packed(data, url, content_type)
+    out: dict = {"kind": None, "entries": [], "warnings": [], "truncated": False, "gzip": packed, "error": None, "invalid": False}
 
     def fail(message, invalid=True):
         out.update(error=message, invalid=invalid, entries=[])
@@ -53,7 +61,7 @@ def parse_sitemap(data: bytes) -> dict:
             out["warnings"].append(message)
 
     try:
-        raw, _, over = unpacked(data)
+        raw, _, over = unpacked(data, packed=packed)
     except ValueError as e:
         return fail(str(e), False)
     if over:
@@ -99,7 +107,8 @@ def _entry(out, warn, wanted, loc, lastmod):
 
 
 def parse_sitemap_files(files: DataFrame, keep: list[str], body: str = "body") -> DataFrame:
-    """``keep`` columns and the parsed fields of each file; body is text or binary."""
+    """``keep`` columns and the parsed fields of each file; body is text or binary.  Columns url and content_type, where
+    there are any, help to tell packed files."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -111,6 +120,7 @@ def parse_sitemap_files(files: DataFrame, keep: list[str], body: str = "body") -
 
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{**{c: r[c] for c in keep}, **parse_sitemap(r["__body"] or b"")}], schema=arrow)
+                yield pa.RecordBatch.from_pylist([{**{c: r[c] for c in keep}, **parse_sitemap(r["__body"] or b"", r["__url"] or "", r["__type"] or "")}], schema=arrow)
 
-    return files.select(*keep, F.col(body).cast("binary").alias("__body")).mapInArrow(run, schema)
+    known = lambda name: (F.col(name) if name in files.columns else F.lit(None)).cast("string")
+    return files.select(*keep, F.col(body).cast("binary").alias("__body"), known("url").alias("__url"), known("content_type").alias("__type")).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators import checks, crawl, duplicates, findings, network, robots, sitemaps, structured, terms, traps
 from pagequarry.plans.audit import audit
-from pagequarry.plans.report import build_report, compare, exit_code, highlights, is_unchanged, render
+from pagequarry.plans.report import build_report, compare, exit_code, highlights, is_unchanged, render, store
 from pagequarry.sources.reports import load_report, report_findings
 from pagequarry.streaming.fetch_log import windowed_tallies
 
@@ -42,7 +42,7 @@ def site(spark):
 
 @pytest.fixture(scope="module")
 def result(site, spark):
-    robots_txt = "User-agent: *\nDisallow: /b\nDisallow: /$\nUser-agent: bingbot\nSitemap: https://s.test/m.xml\nSitemap: rel.xml\nwrong"
+    robots_txt = "User-agent: *\nCrawl-delay: 2\nDisallow: /b\nDisallow: /$\nUser-agent: bingbot\nSitemap: https://s.test/m.xml\nSitemap: rel.xml\nwrong"
     files = spark.createDataFrame([("https://s.test/robots.txt", "https://s.test/robots.txt", 200, "", robots_txt)], "url string, final_url string, status int, error string, body string")
     listed = "".join(f"<url><loc>https://{x}</loc></url>" for x in ("s.test/a", "s.test/b", "s.test/dup1", "s.test/gone", "o.test/"))
     maps = spark.createDataFrame([("https://s.test/m.xml", 200, "", f"<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>{listed}</urlset>"), ("https://s.test/sitemap.xml", 404, "", None)], "url string, status int, error string, body string")
@@ -68,6 +68,9 @@ def test_report_forms_and_comparison(result, spark, tmp_path):
     report = build_report(result, "https://s.test/")
     assert report["summary"]["pages"] == 9 and report["summary"]["highest_severity"] == "critical" and 0 <= report["scores"]["seo"] <= 100
     assert {t["term"] for t in report["terms"]} >= {"gravel", "absent"}
+    assert report["crawl_delay_seconds"] == {"https://s.test/robots.txt": 2.0} and "asks for 2 seconds" in render(report)
+    store(result, str(tmp_path / "tables"))
+    assert spark.read.parquet(str(tmp_path / "tables" / "findings")).count() == sum(map(len, report["findings"].values()))
     for form in ("text", "detailed", "json", "html", "quick-wins"):
         assert "s.test" in render(report, form)
     assert "\x1b" not in render({**report, "summary": {**report["summary"], "start_url": "https://s.test/\x1b[31m"}})
@@ -99,6 +102,15 @@ def test_robots_precedence(spark):
     assert out == {("*", "/ab"): False, ("*", "/aab"): False, ("*", "/abc"): True, ("*", "/zz"): True, ("*", "/"): True, ("x", "/(.)"): False, ("x", "/q"): True}
 
 
+def test_crawl_delays(spark):
+    from pagequarry.plans import site_files
+    from pagequarry.sources.robots import parse_robots_files
+
+    texts = {"own": "User-agent: *\nCrawl-delay: 9\nUser-agent: Bot/2\nCrawl-delay: 1.5", "any": "User-agent: *\nCrawl-delay: 3", "named": "User-agent: *\nCrawl-delay: 3\nUser-agent: bot\nDisallow: /x", "none": "User-agent: *\nDisallow:"}
+    parsed = parse_robots_files(spark.createDataFrame(list(texts.items()), "url string, body string"), ["url"])
+    assert {r["url"]: r["seconds"] for r in site_files.crawl_delays(parsed, "bot").collect()} == {"own": 1.5, "any": 3.0}
+
+
 def test_traps_and_crawl(spark):
     urls = [f"https://s.test/c/{i}" for i in range(150)]
     df = spark.createDataFrame([("s.test", u) for u in urls], "site string, url string")

@@ -92,6 +92,8 @@ def test_sitemaps():
     for body in (xml, gzip.compress(xml)):
         out = sitemap.parse_sitemap(body)
         assert out["kind"] == "urlset" and [e["loc"] for e in out["entries"]] == ["https://s/a"] and len(out["warnings"]) == 2
+    assert sitemap.is_packed(b"x", "https://s/m.XML.gz") and not sitemap.is_packed(b" <urlset", "https://s/m.xml.gz") and sitemap.is_packed(b"<", "", "application/x-gzip; q=1") and not sitemap.is_packed(b"", "https://s/m.gz")
+    assert sitemap.parse_sitemap(b"no gzip", "https://s/m.gz")["error"].startswith("gzip") and sitemap.parse_sitemap(xml, "https://s/m.gz")["kind"] == "urlset"
     assert sitemap.parse_sitemap(b"<html/>")["invalid"] and sitemap.parse_sitemap(b"<urlset><url>")["invalid"] and sitemap.parse_sitemap(b"\x1f\x8bbad")["error"]
     assert [sitemap.is_lastmod(x) for x in ("2024", "2024-13", "2024-01-31", "2024-01-31T10:00Z", "2024-01-31T10:00:00.123456789+01:00", "31.1.2024")] == [True, False, True, True, True, False]
 
