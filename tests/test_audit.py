@@ -312,3 +312,17 @@ def test_command_line(spark, tmp_path, capsys):
         assert run(*wrong)[0] == 2, wrong
     assert run("diff", report, report)[1].out == "No changes since the baseline.\n"
     assert run("version")[1].out.strip()
+
+
+def test_stream_keeps_first_fetches(spark, tmp_path):
+    from pagequarry.streaming.fetch_log import first_fetches, tallies
+
+    rows = [(i % 12, datetime.datetime(2024, 1, 1, 0, i), i % 3, "fetch") for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    df.write.parquet(str(tmp_path / "in"))
+    assert [tuple(r) for r in tallies(df).collect()] == [("fetch", 30, 3)]
+    stream = first_fetches(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), late="1 hour")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("firsts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select count(*), count(distinct event_id) from firsts").first() == (12, 12)
