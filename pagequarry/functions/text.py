@@ -60,6 +60,12 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """The first ``most`` bytes of UTF-8 and an ellipsis, where there are more; a character is not cut in two."""
+    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    return F.when(F.octet_length(text) > most, F.concat(F.regexp_replace(head, "\ufffd$", ""), F.lit("…"))).otherwise(text)
+
+
 def printable(text: Column) -> Column:
     """Without control and format characters, but for newline and tab."""
     return F.regexp_replace(text, r"[\p{Cc}&&[^\n\t]]|\p{Cf}", "")

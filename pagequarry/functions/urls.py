@@ -167,6 +167,11 @@ def site_key(url: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), F.when(own, "").otherwise(F.concat(F.lit(":"), port)))
 
 
+def in_scope(url: Column, site: Column) -> Column:
+    """Does a normal URL belong to the site of that key?"""
+    return site_key(url) == site
+
+
 def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import cut_bytes, tokens
 from ..functions.urls import site_key
 from .findings import finding, lines, spread
 
+# Guideline lengths, limits and directive names.
 TITLE, DESCRIPTION, MIN_TOKENS, MIN_MAIN_SHARE = (15, 65), (50, 160), 40, 0.05
 DIRECTIVES = """index noindex follow nofollow none all noarchive nocache nosnippet noimageindex notranslate indexifembedded noodp noydir""".split()
 PREVIEWS = ["none", "standard", "large"]
@@ -49,9 +50,9 @@ def metadata_findings(pages: DataFrame) -> DataFrame:
 def heading_findings(pages: DataFrame) -> DataFrame:
     url, main = F.col("url"), F.filter("headings", lambda h: h["level"] == 1)
     numbered = F.transform("headings", lambda h, i: F.struct(h["level"].alias("level"), h["text"].alias("text"), (i + 1).alias("at"), F.when(i > 0, F.get(F.col("headings"), i - 1)["level"]).alias("before")))
-    empty = F.transform(F.filter(numbered, lambda h: h["text"] == ""), lambda h: F.format_string("heading %d: empty <h%d>", h["at"], h["level"]))
+    empty = F.transform(F.filter(numbered, lambda h: h["text"] == ""), lambda h: F.format_string("no text in h%d, heading %d of the page", h["level"], h["at"]))
     skips = F.filter(numbered, lambda h: F.when(h["before"].isNull(), h["level"] > 1).otherwise(h["level"] > h["before"] + 1))
-    told = F.transform(skips, lambda h: F.when(h["before"].isNull(), F.format_string("document starts with <h%d>", h["level"])).otherwise(F.format_string("<h%d> follows <h%d>", h["level"], h["before"])))
+    told = F.transform(skips, lambda h: F.when(h["before"].isNull(), F.format_string("first heading is h%d", h["level"])).otherwise(F.format_string("h%d right after h%d", h["level"], h["before"])))
     return spread(
         pages,
         finding("metadata", "SEO-HEADING-001", url, when=F.size(main) == 0),
@@ -222,7 +223,7 @@ def social_findings(pages: DataFrame) -> DataFrame:
     return spread(
         pages,
         *differ,
-        finding("metadata", "SEO-SOCIAL-004", url, F.transform(bad, lambda s: F.concat(F.lit("og:image: "), F.substring(s["value"], 1, 120))), F.size(bad) > 0),
+        finding("metadata", "SEO-SOCIAL-004", url, F.transform(bad, lambda s: F.concat(F.lit("og:image: "), s["value"])), F.size(bad) > 0),
         finding("metadata", "SEO-SOCIAL-005", url, missing, F.size(missing) > 0),
     )
 
@@ -241,7 +242,7 @@ def image_findings(pages: DataFrame) -> DataFrame:
 
 def anchor_findings(pages: DataFrame) -> DataFrame:
     internal = F.filter("links", lambda x: ~x["external"] & ~x["resource"])
-    bare = F.transform(F.filter(internal, lambda x: x["anchor"] == ""), lambda x: F.concat(F.lit("to "), F.substring(x["url"], 1, 120)))
+    bare = F.transform(F.filter(internal, lambda x: x["anchor"] == ""), lambda x: F.concat(F.lit("to "), cut_bytes(x["url"], 120)))
     empty = spread(pages, finding("metadata", "SEO-ANCHOR-001", F.col("url"), bare, F.size(bare) > 0))
     reused = anchor_reuse(pages)
     told = F.format_string('"%s" used for %d links to %d pages', F.col("anchor"), F.col("n"), F.col("targets"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import normal_url, site_key
+from ..functions.urls import in_scope, normal_url
 from .findings import finding, lines, spread
 
 MAX_FILES, MAX_URLS, MAX_DEPTH, MAX_LISTED = 50, 50_000, 2, 100
@@ -45,7 +45,7 @@ def listed_urls(files: DataFrame) -> DataFrame:
     """(site, sitemap, loc, url, state) of each entry of a url set; state: ok, out-of-scope or invalid; url is normal."""
     rows = files.where("kind = 'urlset'").select("site", F.col("url").alias("sitemap"), F.explode("entries").alias("e")).select("site", "sitemap", F.col("e.loc").alias("loc"), F.col("e.lastmod").alias("lastmod"))
     rows = rows.withColumn("url", normal_url(F.col("loc")))
-    state = F.when(F.col("url") == "", "invalid").when(site_key(F.col("url")) != F.col("site"), "out-of-scope").otherwise("ok")
+    state = F.when(F.col("url") == "", "invalid").when(~in_scope(F.col("url"), F.col("site")), "out-of-scope").otherwise("ok")
     return rows.withColumn("state", state)
 
 

@@ -168,15 +168,15 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "id int, raw string, normal string",
         [
             (1, "HTTP://Example.COM:80/a/../b", "http://example.com/b"),
-            (2, "https://example.com:0443", "https://example.com/"),
+            (2, "http://Shop.Example.org:00080/x", "http://shop.example.org/x"),
             (3, "https://example.com/%7euser/%2e%2e/x", "https://example.com/x"),
-            (4, "https://example.com/100%", "https://example.com/100%25"),
+            (4, "https://shop.example.org/50%-off", "https://shop.example.org/50%25-off"),
             (5, "https://example.com/ż?q=ł", "https://example.com/%C5%BC?q=%C5%82"),
             (6, "https://my_host.example/", "https://my_host.example/"),
             (7, "https://example.com/a#frag", "https://example.com/a"),
             (8, "https://example.com/?b=2&a=1", "https://example.com/?b=2&a=1"),
             (9, "ftp://example.com/", ""),
-            (10, "https://user@example.com/", ""),
+            (10, "https://me:secret@shop.example.org/", ""),
             (11, "//example.com/x", ""),
             (12, "https://example.com:99999/", ""),
             (13, "https://[2001:DB8::1]:8080/x", "https://[2001:db8::1]:8080/x"),

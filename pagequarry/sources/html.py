@@ -12,6 +12,7 @@ from ..functions.urls import is_resource, site_key_of, try_normalize
 from .dom import Node, parse_html
 from .structured import FACTS, StructuredData
 
+# How much of a page is kept.
 MAX_TEXT, MAX_HEADINGS, MAX_LINKS, MAX_IMAGES, MAX_CANONICALS, MAX_ROBOTS, MAX_SOCIAL, MAX_ALTERNATES = 1024, 500, 1000, 500, 20, 20, 10, 100
 MAX_MAIN_BYTES, MAX_MAIN_NODES, MAX_MIXED = 64 << 10, 20_000, 20
 CHROME = frozenset("head script style noscript nav header footer aside form template svg math".split())

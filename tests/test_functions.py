@@ -8,15 +8,15 @@ from pagequarry.rules import RULES, check_rules, rules_table
 
 CASES = {
     "HTTP://EXAMPLE.com/": "http://example.com/",
-    "https://example.com:443/a": "https://example.com/a",
+    "https://Kiosk.example:443/list": "https://kiosk.example/list",
     "https://example.com:0008080/a": "https://example.com:8080/a",
     "https://example.com/%7ejo/%2e%2e/x": "https://example.com/x",
     "https://example.com/50%": "https://example.com/50%25",
     "https://example.com/zażółć?b=ł&a=1": "https://example.com/za%C5%BC%C3%B3%C5%82%C4%87?b=%C5%82&a=1",
-    "https://faß.de": "https://xn--fa-hia.de/",
+    "https://straße.example": "https://xn--strae-oqa.example/",
     "https://under_score.example/": "https://under_score.example/",
     "https://example.com./a#f": "https://example.com/a",
-    "https://example.com/a/./b/../c": "https://example.com/a/c",
+    "https://kiosk.example/x/./y/../../z/": "https://kiosk.example/z/",
 }
 
 
@@ -97,3 +97,9 @@ def test_rules(spark):
         check_rules([("bad", "low", "content", "t", "a")])
 
 
+
+
+def test_texts_are_cut_by_bytes(spark):
+    cases = {"short": "short", "x" * 10: "x" * 10, "x" * 11: "x" * 10 + "…", "żółćżółć": "żółćż…", "a€€€€": "a€€€…", "ab€€€€": "ab€€…", "": ""}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.cut_bytes(F.col("t"), 10).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == cases
