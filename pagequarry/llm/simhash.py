@@ -44,7 +44,7 @@ from .storage import discard, lean, materialize, slices, utf8_rows
 SAMPLE, FILE_LIMIT, BROADCAST_IDS = 2048, 256, 2_000_000
 HASH_SEED = 42
 #: near_groups: bins of a sketch, bands and bins of a band, texts of a block, and how far an estimate decides.
-BINS, BANDS, ROWS, BLOCK, MARGIN = 512, 24, 7, 256, 0.08
+BINS, BANDS, ROWS, BLOCK, MARGIN = 512, 24, 7, 128, 0.08
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 

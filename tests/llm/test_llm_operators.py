@@ -692,7 +692,7 @@ def test_pages_of_one_template_stay_apart(spark):
     assert simhash.one_of_each(df).count() == 60
 
 
-@pytest.mark.parametrize("block", [256, 40])
+@pytest.mark.parametrize("block", [128, 40])
 def test_near_groups_lose_no_link_of_a_large_file(spark, block):
     import itertools
 
