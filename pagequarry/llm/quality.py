@@ -381,10 +381,10 @@ def limits(known: DataFrame, least: int, slack: float) -> DataFrame:
     for all others."""
     exact = F.lit(10_000)
     middles = known.groupBy("lang").agg(F.percentile_approx("x", F.lit(0.5), exact).alias("middle"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
-    overall = known.agg(F.percentile_approx("x", F.lit(0.5), exact).alias("middle"))
-    far = F.percentile_approx((F.col("x") - F.col("middle")) / scatter(F.col("n")), F.lit(0.99), exact)
-    own = known.join(middles.withColumnRenamed("lang", "known_lang"), F.col("lang").eqNullSafe(F.col("known_lang"))).groupBy("known_lang").agg(F.first("middle").alias("middle"), far.alias("reach"))
-    rest = known.crossJoin(F.broadcast(overall)).agg(F.first("middle").alias("middle"), far.alias("reach"))  # one row
+    overall = F.lit(known.agg(F.percentile_approx("x", F.lit(0.5), exact).alias("middle")).first()["middle"])
+    far = lambda middle: F.percentile_approx((F.col("x") - middle) / scatter(F.col("n")), F.lit(0.99), exact).alias("reach")
+    own = known.join(middles.withColumnRenamed("lang", "known_lang"), F.col("lang").eqNullSafe(F.col("known_lang"))).groupBy("known_lang").agg(F.first("middle").alias("middle"), far(F.col("middle")))
+    rest = known.agg(far(overall)).withColumn("middle", overall)  # one row
     both = own.select(F.lit(False).alias("overall"), "known_lang", "middle", "reach").union(rest.select(F.lit(True), F.lit(None).cast("string"), "middle", "reach"))
     return both.withColumn("reach", F.col("reach") + slack * F.abs("reach"))
 
