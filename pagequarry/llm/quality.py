@@ -2,7 +2,8 @@
 
 Counting: each task counts the n-grams (``ORDER`` bytes) of its trusted texts
 and deals them to shards by the two bytes before the last; a shard adds up what
-the tasks send.  All n-grams and contexts of order 3 and more that a shard needs
+the tasks send, in as many rounds as keep each sum to ``FAN_IN`` parts or the tasks
+of ``FOLD_BYTES``.  All n-grams and contexts of order 3 and more that a shard needs
 end in those two bytes, so a shard derives its continuation counts and context
 totals by itself.  Only figures of fixed size meet on the driver: four counts of
 counts for each order (for the three discounts), and the table of byte pairs
@@ -45,7 +46,9 @@ from .storage import bucketed, discard, lean, materialize, slices, utf8_rows
 
 ORDER, SLACK, HELD_OUT, LEAST_HELD, STEADY = 6, 0.15, 10, 20, 2400
 CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES, MERGE_KEYS = 1 << 19, 5 << 20, 8 << 20, 1_000_000
-MOST_SHARDS, BLOCKS_AN_ANSWER, BROADCAST_IDS = 4096, 256, 2_000_000
+MOST_SHARDS, BLOCKS_AN_ANSWER, BROADCAST_IDS = 65_521, 256, 2_000_000
+#: Bytes of text whose tasks meet in one addition of counts, and how many sums meet in the next.
+FOLD_BYTES, FAN_IN = 16 << 30, 256
 
 _FREE_ZERO = bytes([1, *range(1, 256)])
 
@@ -206,16 +209,20 @@ class Shard:
         return np.log(p)
 
 
-def train(docs: DataFrame, order: int = ORDER, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> Model:
-    """The model of all texts of ``docs``; by default a shard for every ``shard_bytes`` of them."""
+def train(docs: DataFrame, order: int = ORDER, shards: int | None = None, shard_bytes: int = SHARD_BYTES, size: int | None = None, fold_bytes: int = FOLD_BYTES) -> Model:
+    """The model of all texts of ``docs``, of about ``size`` bytes; by default a shard for every ``shard_bytes``."""
     if not 2 <= order <= 8:
         raise ValueError("an order from 2 to 8 is needed")
-    if shards is None:
+    if size is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, min(MOST_SHARDS, -(-size // shard_bytes)))
+    shards = shards or max(1, min(MOST_SHARDS, -(-size // shard_bytes)))
+    folds = first_folds = max(1, -(-size // fold_bytes))
 
     def count(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        fold = TaskContext.get().partitionId() % first_folds
 
         parts, held = [], 0
         for batch in slices(batches):
@@ -229,12 +236,22 @@ def train(docs: DataFrame, order: int = ORDER, shards: int | None = None, shard_
         if parts:
             keys, counts = added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             for shard, at in by_shard(keys, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed(keys[at])], pa.binary()), pa.array([planes(counts[at])], pa.binary())], ["shard", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([fold], pa.int32()), pa.array([packed(keys[at])], pa.binary()), pa.array([planes(counts[at])], pa.binary())], ["shard", "fold", "keys", "counts"])
+
+    def met(parts):
+        return added(np.concatenate([unpacked(x.as_py()) for x in parts.column("keys")]), np.concatenate([from_planes(x.as_py()).astype(np.int64) for x in parts.column("counts")]))
+
+    def join_parts(parts):
+        import pyarrow as pa
+
+        keys, counts = met(parts)
+        row = parts.slice(0, 1)
+        return pa.table([row.column("shard"), row.column("fold"), pa.array([packed(keys)], pa.binary()), pa.array([planes(counts)], pa.binary())], ["shard", "fold", "keys", "counts"])
 
     def add_up(parts):
         import pyarrow as pa
 
-        keys, counts = added(np.concatenate([unpacked(x.as_py()) for x in parts.column("keys")]), np.concatenate([from_planes(x.as_py()).astype(np.int64) for x in parts.column("counts")]))
+        keys, counts = met(parts)
         tables = lowered(keys, counts, order) if order > 2 else {}
         seen = [n for k in range(3, order + 1) for n in low_counts(tables[k][1])]
         after = lowest(tables[3][0], 2) if tables else keys
@@ -243,7 +260,12 @@ def train(docs: DataFrame, order: int = ORDER, shards: int | None = None, shard_
         kinds = pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())
         return pa.table([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["shard", "keys", "counts", "seen", "pairs", "n"])
 
-    sent = docs.select("text").mapInArrow(lean(count), "shard int, keys binary, counts binary")
+    columns = "shard int, fold int, keys binary, counts binary"
+    sent = docs.select("text").mapInArrow(lean(count), columns)
+    while folds > 1:
+        sent = materialize(sent.groupBy("shard", "fold").applyInArrow(join_parts, columns), "gram-parts")
+        folds = -(-folds // FAN_IN)
+        sent = sent.withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int"))
     model = materialize(sent.groupBy("shard").applyInArrow(add_up, "shard int, keys binary, counts binary, seen array<long>, pairs array<long>, n array<long>"), "gram-counts")
     # Four numbers an order, and at most 65,536 byte pairs, whatever the text.
     seen = {r["pos"]: r["n"] for r in model.select(F.posexplode("seen").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
@@ -401,7 +423,7 @@ def judged(docs: DataFrame, labels: DataFrame, order: int, slack: float) -> Data
     if not there["bytes"]:
         sized = F.octet_length(F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))).cast("long")
         return inner.withColumn("n_bytes", sized).withColumn("log_perplexity", F.lit(None).cast("double")).withColumn("threshold", F.lit(None).cast("double")).withColumn("keep", F.col("n_bytes") > 0)
-    model = train(trusted.where(~held) if apart else trusted, order, max(1, min(MOST_SHARDS, -(-there["bytes"] // SHARD_BYTES))))
+    model = train(trusted.where(~held) if apart else trusted, order, size=there["bytes"])
     sample = with_scores((trusted.where(held) if apart else trusted).select("lang", "text"), model)
     known = materialize(sample.where("n_bytes > 0").select("lang", (-F.col("log_p") / F.col("n_bytes")).alias("x"), F.col("n_bytes").alias("n")), "trusted-scores")
     discard(sample.blocks)
