@@ -235,12 +235,13 @@ def kneser_ney(texts, order):
     return score
 
 
-def test_language_model_matches_reference_and_shards_agree(spark):
+def test_language_model_matches_reference_and_shards_agree(spark, monkeypatch):
     texts = [t for t in sample_texts(30) if t is None or len(t) < 2000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     score = kneser_ney(texts[:15], 3)
-    for shards in (1, 7):
-        model = quality.train(df.where("doc_id < 15"), 3, shards)
+    monkeypatch.setattr(quality, "FAN_IN", 2)
+    for shards, fold_bytes in ((1, quality.FOLD_BYTES), (7, 1000)):
+        model = quality.train(df.where("doc_id < 15").repartition(9), 3, shards, fold_bytes=fold_bytes)
         assert model.counts.count() > shards // 2
         for precision, near in (("float64", 1e-9), ("float16", 1e-3)):
             out = {r["doc_id"]: r for r in quality.with_scores(df, model, precision=precision).collect()}
