@@ -91,3 +91,15 @@ def leader_groups(pairs: DataFrame) -> DataFrame:
         done.append(state)
     joined = reduce(DataFrame.union, done).where("leader is not null")
     return joined.select(F.col("leader").alias("representative"), F.col("k").alias("duplicate"))
+
+
+def near_groups(hashes: DataFrame, key: str) -> DataFrame:
+    """(representative, duplicate): leader groups of all pages.
+
+    Pages of one hash have the same near pages, so only the one with the smallest key takes part in pairs and rounds, and
+    the others go where it goes: a hash on any number of pages costs one row there."""
+    heads = save(hashes.groupBy("simhash").agg(F.min(key).alias(key)))
+    groups = leader_groups(near_pairs(heads, key))
+    led = heads.join(groups, F.col(key) == F.col("duplicate"), "left").select(F.col("simhash").alias("hash"), F.coalesce("representative", key).alias("representative"))
+    rows = hashes.join(save(led), F.col("simhash") == F.col("hash"))
+    return rows.where(F.col(key) != F.col("representative")).select("representative", F.col(key).alias("duplicate"))

@@ -56,7 +56,7 @@ def audit(corpus: DataFrame, start_url: str, keywords: list[str] | None = None,
     text = indexable.select("url", F.col("main_text").alias("text"))
     counts = save(terms.term_counts(text, "url", "text"))
     exact = duplicates.exact_groups(text, "url", "text")
-    near = duplicates.leader_groups(duplicates.near_pairs(duplicates.document_simhash(duplicates.representatives(text, "url", "text"), "url"), "url"))
+    near = duplicates.near_groups(save(duplicates.document_simhash(duplicates.representatives(text, "url", "text"), "url")), "url")
     group = lambda rows, rule: findings.spread(duplicates.listed(rows), findings.finding("content", rule, F.col("representative"), F.col("duplicates"), total=F.col("n")))
     common = findings.spread(terms.common_terms(counts, F.lit(n)), findings.finding("content", "SEO-TERMS-001", F.lit(""), findings.lines(F.concat("term", F.lit(" (site strength "), "strength", F.lit(")")))))
     specific = findings.spread(terms.page_specific(counts, "url"), findings.finding("content", "SEO-TERMS-002", F.col("url"), F.col("terms")))

@@ -175,7 +175,7 @@ def near_duplicate_pairs(spark, sf_dir):
 
 @query
 def near_duplicate_groups(spark, sf_dir):
-    return duplicates.leader_groups(duplicates.near_pairs(save(_hashes(spark, sf_dir)), "doc_id"))
+    return duplicates.near_groups(save(_hashes(spark, sf_dir)), "doc_id")
 
 
 # ---------------------------------------------------------------- URLs

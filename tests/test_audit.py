@@ -137,6 +137,30 @@ def test_leader_groups_follow_key_order(spark):
     assert {(r[0], tuple(r[1])) for r in duplicates.listed(duplicates.leader_groups(pairs)).collect()} == {(1, (2,)), (3, (4,)), (10, (11, 12))}
 
 
+def test_near_groups_follow_leaders_of_all_pages(spark):
+    import random
+
+    rng = random.Random(3)
+    centres = [rng.getrandbits(63) for _ in range(6)]
+    hashes = {}
+    for key in range(150):
+        h = rng.choice(centres)
+        for _ in range(rng.choice([0, 0, 1, 3, 5, 7])):
+            h ^= 1 << rng.randrange(63)
+        hashes[key] = h
+    leaders, want = [], set()
+    for key, h in hashes.items():
+        first = next((k for k in leaders if (hashes[k] ^ h).bit_count() <= 5), None)
+        if first is None:
+            leaders.append(key)
+        else:
+            want.add((first, key))
+    df = spark.createDataFrame(list(hashes.items()), "id long, simhash long")
+    assert {tuple(r) for r in duplicates.near_groups(df, "id").collect()} == want
+    pairs = {(a, b): (hashes[a] ^ hashes[b]).bit_count() for a in hashes for b in hashes if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 5}
+    assert {(r["a"], r["b"]): r["distance"] for r in duplicates.near_pairs(df, "id").collect()} == pairs
+
+
 def test_zone_weights(spark):
     pages = spark.createDataFrame([("u", "alpha", "beta", "gamma alpha", "alpha delta")], "url string, title string, description string, headings string, body string")
     assert {r["term"]: (r["n"], r["meta"], r["heading"]) for r in terms.zone_counts(pages).collect()} == {"alpha": (8, True, True), "beta": (2, True, False), "gamma": (3, False, True), "delta": (1, False, False)}
