@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import save
 from .findings import finding, lines, spread
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
-    """(site, source, pos, target, external, resource, nofollow, anchor, indexable): a page's first link to each target."""
-    rows = pages.select("site", F.col("url").alias("source"), "indexable", F.posexplode("links").alias("pos", "x")).where("x.url <> ''")
-    first = F.row_number().over(Window.partitionBy("source", F.col("x.url")).orderBy("pos"))
-    return rows.withColumn("k", first).where("k = 1").select("site", "source", "pos", F.col("x.url").alias("target"), "x.external", "x.resource", "x.nofollow", "x.anchor", "indexable")
+    """(site, source, pos, target, external, resource, nofollow, anchor, indexable): a page's first link to each target.
+
+    A page's links lie in its own row, so the first of each target is found there.  Only the links of a URL that several
+    rows have are dealt out and ranked."""
+    places = F.transform("links", lambda x: x["url"])
+    numbered = F.transform("links", lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    first = F.filter(numbered, lambda l: (l["x"]["url"] != "") & (F.array_position(places, l["x"]["url"]) == l["pos"] + 1))
+    rows = lambda some: some.select("site", F.col("url").alias("source"), "indexable", F.explode(first).alias("l")).select("site", "source", "l.pos", F.col("l.x.url").alias("target"), "l.x.external", "l.x.resource", "l.x.nofollow", "l.x.anchor", "indexable")
+    again = save(pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("url"))
+    if not again.limit(1).count():
+        return rows(pages)
+    k = F.row_number().over(Window.partitionBy("source", "target").orderBy("pos"))
+    ranked = rows(pages.join(again, "url", "left_semi")).withColumn("k", k).where("k = 1").drop("k")
+    return rows(pages.join(again, "url", "left_anti")).union(ranked)
 
 
 def inbound(links: DataFrame, fetched: DataFrame) -> DataFrame:
     """(url, n): links from other indexable pages, not nofollow, to fetched pages."""
     good = links.where("not external and not nofollow and indexable and source <> target")
-    return good.join(fetched.select(F.col("url").alias("target")).distinct(), "target", "left_semi").groupBy(F.col("target").alias("url")).agg(F.count(F.lit(1)).alias("n"))
+    counts = good.groupBy(F.col("target").alias("url")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(fetched.select("url").distinct(), "url", "left_semi")
 
 
 def orphans(pages: DataFrame, links: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -40,8 +52,9 @@ def broken_targets(links: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def anchor_targets(links: DataFrame, fetched: DataFrame) -> DataFrame:
     """(site, anchor, targets): link texts that lead indexable pages of a site to two or more fetched targets."""
-    rows = links.where("not external and indexable and trim(anchor) <> ''").join(fetched.select(F.col("url").alias("target")).distinct(), "target", "left_semi")
-    return rows.groupBy("site", F.lower("anchor").alias("anchor")).agg(F.count_distinct("target").alias("targets")).where("targets >= 2")
+    rows = links.where("not external and indexable and trim(anchor) <> ''").select("site", F.lower("anchor").alias("anchor"), "target").distinct()
+    led = rows.join(fetched.select(F.col("url").alias("target")).distinct(), "target", "left_semi")
+    return led.groupBy("site", "anchor").agg(F.count(F.lit(1)).alias("targets")).where("targets >= 2")
 
 
 def link_findings(pages: DataFrame, fetched: DataFrame) -> DataFrame:
